@@ -15,7 +15,7 @@ TREND_START = "TIMESTAMP '2024-02-15'"
 
 
 def rd(expression: str, digits: int = 4) -> str:
-    return f"CAST(ROUND(CAST({expression} AS DECIMAL(38,6)), {digits}) AS DOUBLE)"
+    return f"CAST(ROUND(CAST({expression} AS DECIMAL(38,8)), {digits}) AS DOUBLE)"
 
 
 def exact(expression: str) -> str:
@@ -316,8 +316,8 @@ ORACLE["moonshots_main"] = compose(
     *MAIN_BOOK,
     final=f"""
 SELECT pad AS launchpad_name, wallet AS trader_wallet, token AS token_mint_address,
-       {rd('invested', 6)} AS total_sol_invested, {rd('received', 6)} AS total_sol_received,
-       {rd('balance', 6)} AS current_token_balance, {rd('total_pnl')} AS total_pnl_sol,
+       {rd('invested')} AS total_sol_invested, {rd('received')} AS total_sol_received,
+       {rd('balance')} AS current_token_balance, {rd('total_pnl')} AS total_pnl_sol,
        {rd('return_pct', 2)} AS return_pct, trade_count AS total_trades,
        CAST(hold_hours AS DOUBLE) AS duration_hours, first_trade AS first_trade_time,
        last_trade AS last_trade_time, launch_time, {band('good.return_pct')} AS moonshot_tier,

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 AMOUNT = T.DecimalType(28, 9)  # one trade amount; sums widen to DECIMAL(38,9)
 _EXACT = T.DecimalType(28, 10)
-_ROUNDING = T.DecimalType(38, 6)
+_ROUNDING = T.DecimalType(38, 8)
 
 ACCOUNT_URL = "https://solscan.io/account/"
 TOKEN_URL = "https://solscan.io/token/"
@@ -21,7 +21,7 @@ def _col(value: Column | str) -> Column:
 def round_dec(value: Column | str, digits: int) -> Column:
     """Round half up to at most six digits, by way of DECIMAL.
 
-    Six digits first absorb the last-bit noise of a double, so 1.005 computed
+    Eight digits first absorb the last-bit noise of a double, so 1.005 computed
     as 1.00499999 still rounds up.
     """
     return F.round(_col(value).cast(_ROUNDING), digits).cast("double")

@@ -11,8 +11,7 @@ from __future__ import annotations
 from datetime import datetime
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from walletscope.functions.labels import FALLBACK_PROGRAM, PROGRAMS
 from walletscope.params import NORMALIZED, SIDED, USD
@@ -23,149 +22,143 @@ AS_OF = datetime(2024, 4, 15)
 USD_PARAMS = USD.with_(as_of=datetime(2002, 1, 1), lookback_days=2557)  # the whole history
 SIDED_PARAMS = SIDED.with_(as_of=AS_OF)
 NORMALIZED_PARAMS = NORMALIZED.with_(as_of=AS_OF)
-# Events are worth about 10 each, so positions start at 10.
+# An event is worth about 10 and moves little, so thresholds are lower.
 EVENT_PARAMS = USD.with_(as_of=datetime(2024, 2, 1), min_invested=Decimal("10"), min_return_pct=200.0)
 
+# Declared, so that opening a table needs no look into its files.
+TABLES = {
+    "part": "p_partkey bigint, p_brand string, p_type string, p_size int",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+_HOURLY = (
+    "timestamp_ntz'2024-01-01' + interval '1' minute"
+    " * (60 * datediff(l_shipdate, date'1995-01-01') + l_orderkey % 60)"
+)
+_QUANTITY = "cast(l_quantity as decimal(18,2))"
+_MONEY = "cast(l_extendedprice as decimal(18,2))"
+_THOUSANDTH = f"cast({_MONEY} * 0.001 as decimal(28,9))"
+_LAUNCH = "timestamp_ntz'2024-01-01' + interval '1' day * p_size"
+_PROGRAM = (
+    "case p_type " + " ".join(f"when '{kind}' then '{program}'" for kind, program in zip(PART_TYPES, PROGRAMS))
+    + " else p_type end"
+)
 
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def _money(column: str) -> Column:
-    return F.col(column).cast("decimal(18,2)")
-
-
-def _thousandth(column: str) -> Column:
-    return (_money(column) * F.lit(Decimal("0.001"))).cast("decimal(28,9)")
 
-
-def _compressed_time() -> Column:
-    """2024-01-01 plus one hour per day since 1995-01-01, plus minutes from the order key."""
-    hours = F.datediff("l_shipdate", F.lit(datetime(1995, 1, 1).date()))
-    minutes = (F.col("l_orderkey") % 60).cast("int")
-    return F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=hours, mins=minutes)
-
-
-def _signed(items: DataFrame, time: Column, amount: Column, price: Column) -> DataFrame:
-    quantity = _money("l_quantity")
-    return items.select(
-        F.lit("solana").alias("blockchain"),
-        F.col("l_partkey").cast("string").alias("token_address"),
-        F.col("l_suppkey").cast("string").alias("trader"),
-        F.when(F.col("l_linestatus") == "O", quantity).otherwise(-quantity).alias("token_amount"),
-        amount.alias("usd_amount"),
-        price.alias("token_price"),
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("tx_id"),
-        time.alias("block_time"),
+def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.schema(TABLES[table]).parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _signed(items: DataFrame, time: str, amount: str, price: str) -> DataFrame:
+    return items.selectExpr(
+        "'solana' as blockchain",
+        "cast(l_partkey as string) as token_address",
+        "cast(l_suppkey as string) as trader",
+        f"if(l_linestatus = 'O', {_QUANTITY}, -{_QUANTITY}) as token_amount",
+        f"{amount} as usd_amount",
+        f"{price} as token_price",
+        "concat_ws('-', l_orderkey, l_linenumber) as tx_id",
+        f"{time} as block_time",
     )
 
 
 def trades_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    price = F.col("l_extendedprice") / F.col("l_quantity")
-    return _signed(load(spark, sf_dir, "lineitem"), F.col("l_shipdate"), _money("l_extendedprice"), price)
+    return _signed(load(spark, sf_dir, "lineitem"), "l_shipdate", _MONEY, "l_extendedprice / l_quantity")
 
 
 def trades_signed_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    price = F.col("l_extendedprice") / F.col("l_quantity") / 1000
-    return _signed(load(spark, sf_dir, "lineitem"), _compressed_time(), _thousandth("l_extendedprice"), price)
+    items = load(spark, sf_dir, "lineitem")
+    return _signed(items, _HOURLY, _THOUSANDTH, "l_extendedprice / l_quantity / 1000")
 
 
 def trades_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "lineitem").select(
-        F.col("l_partkey").cast("string").alias("token_mint_address"),
-        F.col("l_suppkey").cast("string").alias("trader_wallet"),
-        F.when(F.col("l_linestatus") == "O", "buy").otherwise("sell").alias("instruction_name"),
-        _thousandth("l_extendedprice").alias("sol_amount"),
-        _money("l_quantity").alias("token_amount"),
-        (F.col("l_extendedprice") / F.col("l_quantity") / 1000).alias("price_per_token"),
-        _compressed_time().alias("block_time"),
+    return load(spark, sf_dir, "lineitem").selectExpr(
+        "cast(l_partkey as string) as token_mint_address",
+        "cast(l_suppkey as string) as trader_wallet",
+        "if(l_linestatus = 'O', 'buy', 'sell') as instruction_name",
+        f"{_THOUSANDTH} as sol_amount",
+        f"{_QUANTITY} as token_amount",
+        "l_extendedprice / l_quantity / 1000 as price_per_token",
+        f"{_HOURLY} as block_time",
     )
 
 
-def _launch_time(extra_hours: int = 0) -> Column:
-    return F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(
-        days=F.col("p_size"), hours=F.lit(extra_hours)
-    )
+def _rows_of_parts(spark: SparkSession, sf_dir: str, columns: list[str], *rows: tuple[str, tuple[str, ...]]) -> DataFrame:
+    """Several rows per part, each under a condition."""
 
+    def struct(values: tuple[str, ...]) -> str:
+        return "struct(" + ", ".join(f"{v} as {name}" for name, v in zip(columns, values)) + ")"
 
-def _program() -> Column:
-    pairs = [F.lit(text) for pair in zip(PART_TYPES, PROGRAMS) for text in pair]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("p_type")), F.col("p_type"))
+    each = ", ".join(f"if({condition}, {struct(values)}, null)" for condition, values in rows)
+    return load(spark, sf_dir, "part").selectExpr(f"inline(array_compact(array({each})))")
 
 
 def activity_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One creation per part, one later creation for LARGE parts, one repeated row for Brand#1, and mint rows."""
-    parts = load(spark, sf_dir, "part")
-
-    def rows(which: DataFrame, extra_hours: int, instruction: str) -> DataFrame:
-        return which.select(
-            F.col("p_partkey").cast("string").alias("token_mint_address"),
-            _launch_time(extra_hours).alias("block_time"),
-            F.col("p_brand").alias("creator_wallet"),
-            _program().alias("account"),
-            F.lit(instruction).alias("instruction_name"),
-        )
 
-    return (
-        rows(parts, 0, "create_token")
-        .unionByName(rows(parts.where(F.col("p_type") == "LARGE"), 240, "create_token"))
-        .unionByName(rows(parts.where(F.col("p_brand") == "Brand#1"), 0, "create_token"))
-        .unionByName(rows(parts, -5, "mint_to"))
+    def row(shift: str, instruction: str) -> tuple[str, ...]:
+        return "cast(p_partkey as string)", f"{_LAUNCH} {shift}", "p_brand", _PROGRAM, f"'{instruction}'"
+
+    return _rows_of_parts(
+        spark,
+        sf_dir,
+        ["token_mint_address", "block_time", "creator_wallet", "account", "instruction_name"],
+        ("true", row("", "create_token")),
+        ("p_type = 'LARGE'", row("+ interval 240 hours", "create_token")),
+        ("p_brand = 'Brand#1'", row("", "create_token")),
+        ("true", row("- interval 5 hours", "mint_to")),
     )
 
 
 def activity_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per part, a later one for LARGE parts, a second owner for Brand#1, no mint for Brand#2."""
-    parts = load(spark, sf_dir, "part")
-
-    def rows(which: DataFrame, extra_hours: int, prefix: str, owner: Column, mint: Column) -> DataFrame:
-        return which.select(
-            F.concat(F.lit(prefix), F.col("p_partkey").cast("string")).alias("tx_id"),
-            _launch_time(extra_hours).alias("block_time"),
-            mint.alias("account_mint"),
-            owner.alias("account_owner"),
-            _program().alias("account_program"),
-        )
 
-    brand, token = F.col("p_brand"), F.col("p_partkey").cast("string")
-    return (
-        rows(parts, 0, "a", brand, token)
-        .unionByName(rows(parts.where(F.col("p_type") == "LARGE"), 36, "b", brand, token))
-        .unionByName(rows(parts.where(brand == "Brand#1"), 0, "c", F.concat(F.lit("co-"), brand), token))
-        .unionByName(rows(parts.where(brand == "Brand#2"), 0, "d", brand, F.lit(None).cast("string")))
+    def row(prefix, shift="", mint="cast(p_partkey as string)", owner="p_brand") -> tuple[str, ...]:
+        return f"concat('{prefix}', p_partkey)", f"{_LAUNCH} {shift}", mint, owner, _PROGRAM
+
+    return _rows_of_parts(
+        spark,
+        sf_dir,
+        ["tx_id", "block_time", "account_mint", "account_owner", "account_program"],
+        ("true", row("a")),
+        ("p_type = 'LARGE'", row("b", shift="+ interval 36 hours")),
+        ("p_brand = 'Brand#1'", row("c", owner="concat('co-', p_brand)")),
+        ("p_brand = 'Brand#2'", row("d", mint="cast(null as string)")),
     )
 
 
 def instruction_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls of the fallback program by STANDARD parts (twice) and LARGE parts, other calls by ECONOMY parts."""
-    parts = load(spark, sf_dir, "part")
 
-    def rows(part_type: str, executor: str) -> DataFrame:
-        return parts.where(F.col("p_type") == part_type).select(
-            F.concat(F.lit("a"), F.col("p_partkey").cast("string")).alias("tx_id"),
-            _launch_time().alias("block_time"),
-            F.lit(executor).alias("executing_account"),
-        )
+    def row(executor: str) -> tuple[str, ...]:
+        return "concat('a', p_partkey)", _LAUNCH, f"'{executor}'"
 
-    standard = rows("STANDARD", FALLBACK_PROGRAM)
-    return (
-        standard.unionByName(standard)
-        .unionByName(rows("LARGE", FALLBACK_PROGRAM))
-        .unionByName(rows("ECONOMY", "vote"))
+    return _rows_of_parts(
+        spark,
+        sf_dir,
+        ["tx_id", "block_time", "executing_account"],
+        ("p_type in ('STANDARD', 'LARGE')", row(FALLBACK_PROGRAM)),
+        ("p_type = 'STANDARD'", row(FALLBACK_PROGRAM)),
+        ("p_type = 'ECONOMY'", row("vote")),
     )
 
 
 def trades_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases and clicks as signed trades with a trade id, for the incremental jobs."""
-    events = load(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "click"))
-    quantity = (F.col("event_id") % 7 + 1).cast("decimal(18,2)")
-    return events.select(
-        F.lit("solana").alias("blockchain"),
-        (F.get_json_object("props", "$.k").cast("int") % 10).cast("string").alias("token_address"),
-        F.col("user_id").cast("string").alias("trader"),
-        F.when(F.col("event_type") == "purchase", quantity).otherwise(-quantity).alias("token_amount"),
-        _money("value").alias("usd_amount"),
-        (F.col("value") / (F.col("event_id") % 7 + 1)).alias("token_price"),
-        F.col("event_id").cast("string").alias("tx_id"),
-        F.col("ts").alias("block_time"),
+    quantity = "cast(event_id % 7 + 1 as decimal(18,2))"
+    return (
+        load(spark, sf_dir, "events")
+        .where("event_type in ('purchase', 'click')")
+        .selectExpr(
+            "'solana' as blockchain",
+            "cast(cast(get_json_object(props, '$.k') as int) % 10 as string) as token_address",
+            "cast(user_id as string) as trader",
+            f"if(event_type = 'purchase', {quantity}, -{quantity}) as token_amount",
+            "cast(value as decimal(18,2)) as usd_amount",
+            "value / (event_id % 7 + 1) as token_price",
+            "cast(event_id as string) as tx_id",
+            "ts as block_time",
+        )
     )
