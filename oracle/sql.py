@@ -584,3 +584,73 @@ SELECT wallet AS trader_wallet, pad AS launchpad_name, {rd('profit')} AS total_p
        rank() OVER (ORDER BY profit DESC) AS profit_rank
 FROM per_wallet""",
 )
+
+# --- incremental ------------------------------------------------------------------------
+
+FILLS_EVENTS = """
+fills AS (
+  SELECT CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 10 AS VARCHAR) AS token,
+         CAST(user_id AS VARCHAR) AS wallet, event_type = 'purchase' AS buying,
+         CAST(event_id % 7 + 1 AS DECIMAL(18,2)) AS qty, CAST(value AS DECIMAL(18,2)) AS paid,
+         value / (event_id % 7 + 1) AS price, ts,
+         CAST(floor(date_diff('day', TIMESTAMP '2024-01-01', ts) / 10.0) AS INTEGER) AS delivery
+  FROM events WHERE event_type IN ('purchase', 'click'))"""
+
+EVENT_BOOK = (
+    FILLS_EVENTS,
+    "seen AS (SELECT token, MIN(ts) AS launch_time FROM fills GROUP BY token HAVING COUNT(*) >= 10)",
+    newest("fills"),
+    """
+own AS (SELECT fills.*, launch_time, CAST(NULL AS VARCHAR) AS pad FROM fills JOIN seen USING (token) WHERE paid > 0)""",
+    held("own", "pad, token, launch_time, wallet", ">= 10"),
+    EVALUATED,
+)
+ORACLE["stream_positions"] = compose(*EVENT_BOOK, final=f"SELECT {RETURN_COLUMNS} FROM book")
+
+# the book as it stood after each delivery
+DELIVERED = (
+    FILLS_EVENTS,
+    """
+known AS (
+  SELECT fills.* EXCLUDE (delivery), d.delivery FROM fills
+  JOIN (SELECT DISTINCT delivery FROM fills) d ON fills.delivery <= d.delivery)""",
+    "seen AS (SELECT delivery, token FROM known GROUP BY delivery, token HAVING COUNT(*) >= 10)",
+    """
+quotes AS (
+  SELECT delivery, token, price FROM known
+  QUALIFY row_number() OVER (PARTITION BY delivery, token ORDER BY ts DESC, price DESC NULLS LAST) = 1)""",
+    "own AS (SELECT known.* FROM known JOIN seen USING (delivery, token) WHERE paid > 0)",
+    held("own", "delivery, token, wallet", ">= 10"),
+    """
+book AS (
+  SELECT held.*, CAST(received - invested AS DOUBLE) + CAST(balance AS DOUBLE) * coalesce(price, 0) AS total_pnl,
+         (CAST(received - invested AS DOUBLE) + CAST(balance AS DOUBLE) * coalesce(price, 0))
+           / CAST(invested AS DOUBLE) * 100 AS return_pct
+  FROM held JOIN quotes USING (delivery, token))""",
+    "shots AS (SELECT * FROM book WHERE return_pct >= 200)",
+)
+ORACLE["stream_alerts"] = compose(
+    *DELIVERED,
+    "crowds AS (SELECT delivery, token, COUNT(*) AS n FROM shots GROUP BY delivery, token HAVING COUNT(*) >= 3)",
+    final=f"""
+SELECT 'moonshot' AS kind, token, wallet, {rd('return_pct')} AS return_pct, CAST(1 AS BIGINT) AS traders,
+       delivery AS batch
+FROM shots WHERE NOT EXISTS (
+  SELECT 1 FROM shots old WHERE old.token = shots.token AND old.wallet = shots.wallet
+    AND old.delivery = shots.delivery - 1)
+UNION ALL
+SELECT 'token', token, NULL, NULL, n, delivery FROM crowds
+WHERE NOT EXISTS (SELECT 1 FROM crowds old WHERE old.token = crowds.token AND old.delivery = crowds.delivery - 1)""",
+)
+
+HOURS = """
+hours AS (SELECT token, date_trunc('hour', ts) AS hour, COUNT(*) AS n FROM fills GROUP BY ALL),
+spikes AS (
+  SELECT token, hour, n, coalesce(SUM(n) OVER (PARTITION BY token ORDER BY hour
+           RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND INTERVAL 1 HOUR PRECEDING), 0) / 24.0::DOUBLE AS usual
+  FROM hours)"""
+SPIKES = f"SELECT token, hour, n AS trades, {rd('usual')} AS usual_trades FROM spikes WHERE n >= 3 AND usual > 0 AND n > 3 * usual"
+ORACLE["activity_spikes"] = compose(FILLS_EVENTS, HOURS, final=SPIKES)
+ORACLE["stream_spikes"] = compose(
+    FILLS_EVENTS, HOURS, final=f"{SPIKES} AND hour + INTERVAL 1 HOUR <= (SELECT MAX(ts) - INTERVAL 1 HOUR FROM fills)"
+)

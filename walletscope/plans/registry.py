@@ -22,6 +22,8 @@ from walletscope.session import materialize, new_folder
 from walletscope.sources import adapters as A
 from walletscope.sources import sinks
 from walletscope.sources.tables import sided_trades, signed_trades
+from walletscope.streaming import alerts
+from walletscope.streaming.jobs import CATCH_UP, ActivityJob, PositionJob, read_trade_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -328,3 +330,63 @@ def export_csv(spark, sf_dir):
     path = new_folder(spark, "wallet-list")
     sinks.export_csv(listing, path)
     return spark.read.schema(listing.schema).csv(path, header=True)
+
+
+# --- incremental ------------------------------------------------------------
+
+
+def _run_deliveries(spark: SparkSession, sf_dir: str, job, root: str) -> None:
+    """Deliver the trades in periods of ten days and let the job catch up after each."""
+    number = F.floor(F.datediff("block_time", F.lit("2024-01-01").cast("date")) / 10)
+    rows = A.trades_from_events(spark, sf_dir).withColumn("delivery", number)
+    last = rows.agg(F.max("delivery")).first()[0]
+    for delivery in range(last + 1):
+        part = rows.where(F.col("delivery") == delivery).drop("delivery")
+        part.write.mode("append").parquet(f"{root}/inbox")
+        job.start(read_trade_stream(spark, f"{root}/inbox"), CATCH_UP).awaitTermination()
+
+
+def _position_job(spark: SparkSession, sf_dir: str) -> PositionJob:
+    root = new_folder(spark, "stream")
+    job = PositionJob(spark, f"{root}/state", A.EVENT_PARAMS)
+    _run_deliveries(spark, sf_dir, job, root)
+    return job
+
+
+@query
+def stream_positions(spark, sf_dir):
+    """Positions kept by the incremental job over several deliveries."""
+    return _position_job(spark, sf_dir).returns()
+
+
+@query
+def stream_alerts(spark, sf_dir):
+    """New moonshots and newly successful tokens, with the delivery that made them so."""
+    job = _position_job(spark, sf_dir)
+    wallets = job.alerts("moonshot_alerts").select(
+        F.lit("moonshot").alias("kind"), "token", "wallet", "return_pct", F.lit(1).cast("bigint").alias("traders"), "batch"
+    )
+    tokens = job.alerts("token_alerts").select(
+        F.lit("token").alias("kind"),
+        "token",
+        F.lit(None).cast("string").alias("wallet"),
+        F.lit(None).cast("double").alias("return_pct"),
+        F.col("moonshot_traders").alias("traders"),
+        "batch",
+    )
+    return wallets.unionByName(tokens)
+
+
+@query
+def activity_spikes(spark, sf_dir):
+    """Hours of unusual trading over the whole history."""
+    return alerts.activity_spikes(alerts.hourly_activity(signed_trades(A.trades_from_events(spark, sf_dir))))
+
+
+@query
+def stream_spikes(spark, sf_dir):
+    """The same found hour by hour; hours not yet closed by the watermark are left out."""
+    root = new_folder(spark, "stream")
+    job = ActivityJob(spark, f"{root}/state")
+    _run_deliveries(spark, sf_dir, job, root)
+    return job.spikes()

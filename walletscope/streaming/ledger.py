@@ -1,0 +1,167 @@
+"""State of the incremental job: daily partial sums per (token, wallet).
+
+Sums, counts, minima, maxima and the newest price merge in any order, so late
+and out-of-order trades need no special rule. Every batch writes its partials
+to a folder of its own; repeating a batch overwrites that folder and nothing
+else. ``compact`` merges finished batches; readers see the merged table once
+its marker is written, as the last step.
+
+The history window starts at a midnight, so daily partials are exact at its
+edge, although the first trade in the window moves as the window slides.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from walletscope.functions.scalars import AMOUNT
+from walletscope.operators.joins import LIMITS, JoinLimits, join_by_key
+from walletscope.operators.positions import COLUMNS, book
+from walletscope.params import Params
+from walletscope.session import materialize
+
+_SUMS = ("invested", "tokens_bought", "received", "tokens_sold", "balance")
+_COUNTS = ("trade_count", "all_trades")
+_PARTIALS = (
+    "token string, wallet string, trade_date date, "
+    + ", ".join(f"{c} decimal(38,9)" for c in _SUMS)
+    + ", first_trade timestamp_ntz, last_trade timestamp_ntz, trade_count bigint, all_trades bigint"
+    + ", first_seen timestamp_ntz, newest struct<block_time: timestamp_ntz, price: double>"
+)
+_IDENTITY = ("tx_id", "token", "wallet", "side", "quantity", "amount", "block_time")
+
+
+def daily_partials(trades: DataFrame) -> DataFrame:
+    """Partials of canonical trades.
+
+    Trades without amount or quantity stay out of the sums, yet count for
+    when a token was first seen, how often it traded and its newest price.
+    """
+    real = (F.col("quantity") != 0) & (F.col("amount") > 0)
+    masked = trades.withColumns(
+        {
+            "quantity": F.when(real, F.col("quantity")),
+            "amount": F.when(real, F.col("amount")),
+            "trade_date": F.to_date("block_time"),
+            "seen_at": F.col("block_time"),
+            "block_time": F.when(real, F.col("block_time")),
+            "real": real,
+        }
+    )
+    *sums_and_times, _ = book()
+    grouped = masked.groupBy("token", "wallet", "trade_date").agg(
+        *sums_and_times,
+        F.count_if("real").alias("trade_count"),
+        F.count("*").alias("all_trades"),
+        F.min("seen_at").alias("first_seen"),
+        F.max(F.struct(F.col("seen_at").alias("block_time"), F.col("price"))).alias("newest"),
+    )
+    return grouped.withColumns({c: F.coalesce(c, F.lit(0).cast(AMOUNT)) for c in _SUMS})
+
+
+def _merged() -> list[Column]:
+    return [
+        *[F.sum(c).cast("decimal(38,9)").alias(c) for c in _SUMS],
+        F.min("first_trade").alias("first_trade"),
+        F.max("last_trade").alias("last_trade"),
+        *[F.sum(c).alias(c) for c in _COUNTS],
+        F.min("first_seen").alias("first_seen"),
+        F.max("newest").alias("newest"),
+    ]
+
+
+def positions_from_partials(
+    partials: DataFrame, params: Params, limits: JoinLimits = LIMITS, versions: tuple[str, ...] = ()
+) -> DataFrame:
+    """The launch-less positions, equal to ``positions_usd`` over the same trades.
+
+    ``versions`` names columns that keep several states of the ledger apart.
+    """
+    token = [*versions, "token"]
+    inside = partials.where(F.col("trade_date") >= F.lit(params.window_start.date()))
+    tokens = (
+        inside.groupBy(*token)
+        .agg(
+            F.min("first_seen").alias("launch_time"),
+            F.sum("all_trades").alias("_trades"),
+            F.max("newest")["price"].alias("latest_price"),
+        )
+        .where(F.col("_trades") >= params.min_token_trades)
+        .drop("_trades")
+    )
+    held = inside.groupBy(*token, "wallet").agg(*_merged()).where(F.col("invested") >= F.lit(params.min_invested))
+    joined = join_by_key(
+        held.drop("first_seen", "newest"), materialize(tokens, "ledger-tokens"), token, limits=limits
+    )
+    return joined.withColumn("launchpad_name", F.lit(None).cast("string")).select(*versions, *COLUMNS)
+
+
+class Ledger:
+    """The stored partials and the ids of the trades in them."""
+
+    def __init__(self, spark: SparkSession, root: str, limits: JoinLimits = LIMITS):
+        self.spark, self.root, self.limits = spark, root.rstrip("/"), limits
+        # Empty first entries, so that every table can be read from the start.
+        for table, schema in (("deltas", _PARTIALS), ("base", _PARTIALS), ("heads", "note string")):
+            self._empty(schema).write.mode("ignore").parquet(self._part(table, -1))
+        ids = self._empty("trade_id string, trade_date date").write.mode("ignore")
+        ids.partitionBy("trade_date").parquet(self._part("seen", -1))
+
+    def _empty(self, schema: str) -> DataFrame:
+        return self.spark.createDataFrame([], schema)
+
+    def _part(self, table: str, batch: int) -> str:
+        return f"{self.root}/{table}/batch={batch}"
+
+    def _read(self, table: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(f"{schema}, batch bigint").parquet(f"{self.root}/{table}")
+
+    def _head(self, before: int | None) -> int:
+        heads = self._read("heads", "note string").select("batch")
+        # The empty entry of batch -1 has no rows; "no head" reads as -1.
+        return _bounded(heads, before).agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
+
+    def partials(self, before: int | None = None) -> DataFrame:
+        """All stored partials, or those of the batches before a given one, with their batch."""
+        head = self._head(before)
+        base = self._read("base", _PARTIALS).where(F.col("batch") == head)
+        deltas = _bounded(self._read("deltas", _PARTIALS), before).where(F.col("batch") > head)
+        return base.unionByName(deltas)
+
+    def unseen(self, trades: DataFrame, batch: int) -> DataFrame:
+        """Trades of a batch, each once, that no earlier batch held.
+
+        Only the days the batch touches are looked up, and the batch is the
+        side that gets distributed, not the stored ids.
+        """
+        identity = F.to_json(F.struct(*_IDENTITY), {"ignoreNullFields": "false"})
+        rows = trades.withColumn("trade_id", F.sha2(identity, 256)).dropDuplicates(["trade_id"])
+        rows = materialize(rows.withColumn("trade_date", F.to_date("block_time")), "batch")
+        first, last = rows.agg(F.min("trade_date"), F.max("trade_date")).first()
+        if first is None:
+            return rows
+        stored = _bounded(self._read("seen", "trade_id string, trade_date date"), batch).where(
+            F.col("trade_date").between(F.lit(first), F.lit(last))
+        )
+        again = join_by_key(
+            stored.select("trade_id"), rows.select("trade_id"), ["trade_id"], "left_semi", limits=self.limits
+        )
+        return rows.join(again, "trade_id", "left_anti")
+
+    def append(self, fresh: DataFrame, batch: int) -> None:
+        """Store a batch; repeating it with the same number replaces it."""
+        ids = fresh.select("trade_id", "trade_date")
+        ids.write.mode("overwrite").partitionBy("trade_date").parquet(self._part("seen", batch))
+        daily_partials(fresh).write.mode("overwrite").parquet(self._part("deltas", batch))
+
+    def compact(self, upto: int) -> None:
+        """Merge all batches up to ``upto`` into one table; run beside the stream at any time."""
+        merged = self.partials(before=upto + 1).groupBy("token", "wallet", "trade_date").agg(*_merged())
+        merged.write.mode("overwrite").parquet(self._part("base", upto))
+        marker = self.spark.createDataFrame([("complete",)], "note string")
+        marker.write.mode("overwrite").parquet(self._part("heads", upto))
+
+
+def _bounded(df: DataFrame, before: int | None) -> DataFrame:
+    return df if before is None else df.where(F.col("batch") < before)
