@@ -9,7 +9,7 @@ from walletscope.operators.filters import drill, drill_among, filter_positions
 from walletscope.params import USD, Params
 from walletscope.plans import registry as G
 from walletscope.plans.flows import usd_flow
-from walletscope.session import new_folder, shared_dir
+from walletscope.session import materialize, new_folder, scratch, shared_dir
 from walletscope.sources import schemas as S
 from walletscope.sources import sinks
 from walletscope.sources.tables import count_rejects, read_table, signed_trades, since
@@ -92,3 +92,14 @@ def test_parameters(spark):
 def test_intermediate_results_go_to_the_folder_the_session_names(spark):
     folder = spark.conf.get("spark.checkpoint.dir", None)
     assert folder is None or shared_dir(spark) == folder.rstrip("/")
+
+
+def test_scratch_tables_are_removed_and_others_kept(spark):
+    kept = materialize(spark.range(3))
+    with scratch(spark):
+        inside = materialize(spark.range(5))
+        assert inside.count() == 5
+        folder = new_folder(spark, "probe").rsplit("/", 1)[0]
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    assert "scratch-" in folder and not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    assert kept.count() == 3

@@ -102,11 +102,17 @@ def numbered(
     order: list[Column],
     out: str,
     single_task_rows: int = SINGLE_TASK_ROWS,
+    limits: JoinLimits = LIMITS,
 ) -> DataFrame:
-    """Add row numbers per group; groups beyond ``single_task_rows`` are numbered range by range."""
+    """Add row numbers per group; groups too large for one task are numbered range by range.
+
+    Large means beyond ``single_task_rows`` and beyond 1/heavy_keys of all
+    rows, so at most ``heavy_keys`` groups are large and their table is small.
+    """
     per_group = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
     sizes = materialize(df.groupBy(*keys).agg(F.count("*").alias("_rows")), "group-sizes")
-    large = sizes.where(F.col("_rows") > single_task_rows).drop("_rows")
+    total = sizes.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    large = sizes.where(F.col("_rows") > max(single_task_rows, total // limits.heavy_keys)).drop("_rows")
     if large.isEmpty():
         return df.withColumn(out, per_group)
 
@@ -119,7 +125,7 @@ def numbered(
     inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
     numbered_large = (
         ranges.withColumn("_inside", inside)
-        .join(F.broadcast(offsets), [*keys, "_range"])
+        .join(F.broadcast(offsets), [*keys, "_range"])  # at most one row per large group and per range
         .withColumn(out, F.col("_inside") + F.col("_offset"))
         .drop("_range", "_inside", "_offset")
     )

@@ -122,6 +122,8 @@ def _intervals(launches: LaunchTable, params: Params) -> DataFrame:
 
     ``_copies`` counts the launch rows at or before ``_from``. Days bound the
     rows a trade is compared with; the last day stands for all later ones.
+    The window runs over distinct launch times, at most one per second of the
+    history for a token, however many launch rows it has.
     """
     by_time = Window.partitionBy("token").orderBy("launch_time")
     moments = launches.rows.groupBy("token", "launch_time").agg(F.count("*").alias("_rows"))

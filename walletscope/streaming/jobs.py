@@ -14,7 +14,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from walletscope.operators.joins import LIMITS, JoinLimits, join_by_key
 from walletscope.operators.returns import moonshots, with_returns
 from walletscope.params import Params
-from walletscope.session import materialize
+from walletscope.session import materialize, scratch
 from walletscope.sources.schemas import TRADES_SIGNED
 from walletscope.sources.tables import signed_trades
 from walletscope.streaming import alerts
@@ -44,6 +44,10 @@ class PositionJob:
 
     def process(self, raw_batch: DataFrame, batch: int) -> None:
         """One micro-batch. Every output is a folder named by the batch, so a repeat changes nothing."""
+        with scratch(self.spark):
+            self._process(raw_batch, batch)
+
+    def _process(self, raw_batch: DataFrame, batch: int) -> None:
         fresh = materialize(self.ledger.unseen(signed_trades(raw_batch), batch), "fresh")
         self.ledger.append(fresh, batch)
 
