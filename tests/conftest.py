@@ -12,11 +12,11 @@ from walletscope.session import build_session  # noqa: E402
 def spark():
     session = build_session(
         "tests",
-        master="local[8]",
+        master="local[4]",
         **{
-            "spark.sql.shuffle.partitions": "4",
+            "spark.sql.shuffle.partitions": "3",
             "spark.ui.showConsoleProgress": "false",
-            "spark.sql.streaming.noDataMicroBatches.enabled": "true",
+            "spark.python.sql.dataFrameDebugging.enabled": "false",
         },
     )
     session.sparkContext.setLogLevel("ERROR")
