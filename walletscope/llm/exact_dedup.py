@@ -15,12 +15,13 @@ gives an empty result. Extra columns are kept.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from walletscope.llm.common import free_name
+from walletscope.session import materialize
 
 HASH: Callable[[Column], Column] = F.md5
 
@@ -30,40 +31,52 @@ def duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: str = "last",
+    columns: Sequence[str] | None = None,
     content_hash: Callable[[Column], Column] = HASH,
 ) -> DataFrame:
-    """All rows and columns of ``docs``, and keep_id, group_size, kept (columns of these names are replaced)."""
+    """The rows of ``docs`` with ``columns`` (all by default), and keep_id, group_size, kept.
+
+    Columns of these three names are replaced. The groups are written once; texts
+    move with the aggregate, and again only if ``columns`` names them.
+    """
     docs = docs.drop("keep_id", "group_size", "kept")
+    wanted = [c for c in (columns or docs.columns) if c in docs.columns]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    mark = free_name(docs, "content")
-    hashed = docs.withColumn(mark, content_hash(text))
+    mark, exact = free_name(docs, "content"), free_name(docs, "exact")
     best = F.max(id_col) if keep == "last" else F.min(id_col)
-    groups = hashed.groupBy(mark).agg(
-        best.alias("keep_id"),
-        F.count(F.lit(1)).alias("group_size"),
-        (F.min(text) == F.max(text)).alias("one_text"),
-    )
-    joined = hashed.join(groups, mark, "left")
-    same = joined.where("one_text")
-    # Rows of colliding hashes: none, unless two texts share 128 bits.
-    mixed = joined.where("NOT one_text").drop("keep_id", "group_size")
-    exact = free_name(mixed, "exact")
-    by_text = (
-        mixed.withColumn(exact, text)
-        .groupBy(exact)
-        .agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    )
-    split = mixed.withColumn(exact, text).join(by_text, exact)
-    columns = [*docs.columns, "keep_id", "group_size"]
-    return (
-        same.select(*columns).unionByName(split.select(*columns)).withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
+    hashed = docs.withColumn(mark, content_hash(text))
+    groups = materialize(
+        hashed.groupBy(mark).agg(
+            best.alias("keep_id"),
+            F.count(F.lit(1)).alias("group_size"),
+            (F.min(text) == F.max(text)).alias("one_text"),
+        ),
+        "content-groups",
     )
 
+    def finished(rows: DataFrame) -> DataFrame:
+        kept = F.col(id_col).eqNullSafe(F.col("keep_id"))
+        return rows.withColumn("kept", kept).select(*wanted, "keep_id", "group_size", "kept")
+
+    lean = hashed.select(*dict.fromkeys([*wanted, id_col, mark]))
+    result = finished(lean.join(groups.where("one_text").drop("one_text"), mark))
+    if groups.where("NOT one_text").isEmpty():
+        return result
+    # Different texts under one hash: grouped by the texts themselves.
+    mixed = hashed.join(groups.where("NOT one_text").select(mark), mark, "left_semi").withColumn(exact, text)
+    by_text = mixed.groupBy(exact).agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return result.unionByName(finished(mixed.join(by_text, exact)))
+
 
 def op2_exact_dedup(docs: DataFrame) -> DataFrame:
-    lean = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    marked = duplicates(lean.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)))
-    return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    lean = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        "text",
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+    )
+    return duplicates(lean, columns=["doc_id", "text_sha256"]).select(
+        "doc_id", "keep_id", "group_size", "kept", "text_sha256"
+    )
 
 
 ORACLE = """
