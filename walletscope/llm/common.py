@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 from collections.abc import Callable
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import walletscope
+
 #: Folder of the public vocabulary files; a parameter of every operator that needs one.
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 #: Rows of an Arrow batch. Texts differ in length a thousandfold, so batches are small.
@@ -18,9 +24,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Python workers: texts reach them in batches of few rows."""
+def prepare(spark: SparkSession) -> None:
+    """Settings that queries with Python parts need.
+
+    Texts reach Python workers in batches of few rows, which bounds their memory.
+    The package goes to the executors, once per application.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    application = spark.sparkContext.applicationId
+    if application not in _shipped:
+        spark.sparkContext.addPyFile(_package())
+        _shipped.add(application)
+
+
+_shipped: set[str] = set()
+
+
+@lru_cache(maxsize=1)
+def _package() -> str:
+    root = Path(walletscope.__file__).parent
+    path = Path(tempfile.mkdtemp(prefix="walletscope-")) / "walletscope.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    return str(path)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from walletscope.llm import exact_dedup, fingerprints, sharding
-from walletscope.llm.common import small_batches, table
+from walletscope.llm import exact_dedup, fingerprints, packing, secret_scan, sharding, token_counts, word_bpe
+from walletscope.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        small_batches(spark)
+        prepare(spark)
         return operator(table(spark, sf_dir, name))
 
     return run
@@ -23,7 +23,11 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": _over("documents", fingerprints.op1_fingerprints),
     "op2_exact_dedup": _over("documents", exact_dedup.op2_exact_dedup),
+    "op3_secret_scan": _over("documents", secret_scan.op3_secret_scan),
+    "op5_token_counts": _over("documents", token_counts.op5_token_counts),
+    "op7_word_bpe": _over("documents", word_bpe.op7_word_bpe),
     "op8_sharding": _over("documents", sharding.op8_sharding),
+    "op9_packing": _over("documents", packing.op9_packing),
 }
 
 ORACLE: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE}

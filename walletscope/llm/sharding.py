@@ -42,18 +42,18 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
 
 def numbered(df: DataFrame, group: str, key: str, slot: str = "slot") -> DataFrame:
     """Adds ``slot``: 0, 1, 2, ... in each ``group``, in order of slices and keys. Reads ``df`` twice."""
-    rows = df.count()
-    slices = max(1, -(-rows // ROWS_A_SLICE))
-    part = free_name(df, "slice")
+    slices = max(1, -(-df.count() // ROWS_A_SLICE))
+    part, first = free_name(df, "slice"), free_name(df, "first_slot")
     dealt = df.withColumn(part, F.pmod(F.xxhash64(F.col(key), F.lit("slice")), F.lit(slices)))
     counts = dealt.groupBy(group, part).agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(group, part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy(group, part).orderBy(*[F.col(c) for c in (key, *[x for x in df.columns if x not in (key, group)])])
+    starts = counts.select(group, part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(first))
+    others = [c for c in df.columns if c not in (key, group)]
+    within = Window.partitionBy(group, part).orderBy(key, *others)
     return (
         dealt.withColumn(slot, F.row_number().over(within) - 1)
         .join(starts, [group, part])
-        .select(*df.columns, (F.col("start") + F.col(slot)).cast("bigint").alias(slot))
+        .select(*df.columns, (F.col(first) + F.col(slot)).cast("bigint").alias(slot))
     )
 
 
