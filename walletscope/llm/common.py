@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import walletscope
+from walletscope.session import materialize
 
 #: Folder of the public vocabulary files; a parameter of every operator that needs one.
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -61,3 +62,14 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = f"_{wanted}"
     return wanted
+
+
+def checked_broadcast(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` (narrow) rows; runs it to count them."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose id is not among ``dropped``; rows without an id stay. Writes the dropped ids."""
+    ids = materialize(dropped.select(id_col).where(F.col(id_col).isNotNull()).distinct(), "dropped-ids")
+    return docs.join(checked_broadcast(ids), id_col, "left_anti").select(docs.columns)
