@@ -11,8 +11,9 @@ from walletscope.session import materialize
 DATA = "/root/testdata/sf0.001"
 
 
-def test_stages(spark, documents):
+def test_stages(spark, with_secrets):
     """Each stage against a plain account of what it should do to its own input."""
+    documents = with_secrets
     docs, texts = documents, dict(documents.select("doc_id", "text").collect())
     for name, stage in cp.STAGES[:-1]:
         out = materialize(stage(spark, docs, DATA), "stage")
