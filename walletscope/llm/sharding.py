@@ -26,7 +26,8 @@ from walletscope.llm.common import free_name
 from walletscope.session import materialize
 
 SHARDS = 24
-ROWS_A_SLICE = 20_000
+ROWS_A_SLICE = 500
+MAX_SLICES = 20_000  # slices grow beyond ten million rows
 
 
 def score(key: Column, shard: int, weight: float) -> Column:
@@ -42,7 +43,7 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
 
 def numbered(df: DataFrame, group: str, key: str, slot: str = "slot") -> DataFrame:
     """Adds ``slot``: 0, 1, 2, ... in each ``group``, in order of slices and keys. Reads ``df`` twice."""
-    slices = max(1, -(-df.count() // ROWS_A_SLICE))
+    slices = max(1, min(MAX_SLICES, -(-df.count() // ROWS_A_SLICE)))
     part, first = free_name(df, "slice"), free_name(df, "first_slot")
     dealt = df.withColumn(part, F.pmod(F.xxhash64(F.col(key), F.lit("slice")), F.lit(slices)))
     counts = dealt.groupBy(group, part).agg(F.count(F.lit(1)).alias("n"))
