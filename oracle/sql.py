@@ -75,19 +75,21 @@ fills AS (
   SELECT CAST(l_partkey AS VARCHAR) AS token, CAST(l_suppkey AS VARCHAR) AS wallet,
          l_linestatus = 'O' AS buying, CAST(l_quantity AS DECIMAL(18,2)) AS qty,
          CAST(l_extendedprice AS DECIMAL(18,2)) AS paid, l_extendedprice / l_quantity AS price,
-         concat(l_orderkey, '-', l_linenumber) AS tx, l_shipdate AS ts
-  FROM lineitem)"""
+         concat(l_orderkey, '-', l_linenumber) AS tx, l_shipdate AS ts,
+         l_orderkey * 8 + l_linenumber AS pos
+  FROM lineitem WHERE l_shipdate <= TIMESTAMP '2002-01-01')"""
 
-FILLS_HOURLY = """
+FILLS_HOURLY = f"""
 fills AS (
-  SELECT CAST(l_partkey AS VARCHAR) AS token, CAST(l_suppkey AS VARCHAR) AS wallet,
+  SELECT * FROM (SELECT CAST(l_partkey AS VARCHAR) AS token, CAST(l_suppkey AS VARCHAR) AS wallet,
          l_linestatus = 'O' AS buying, CAST(l_quantity AS DECIMAL(18,2)) AS qty,
          CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 0.001 AS DECIMAL(18,5)) AS paid,
          l_extendedprice / l_quantity / 1000 AS price,
          concat(l_orderkey, '-', l_linenumber) AS tx,
          TIMESTAMP '2024-01-01' + to_hours(CAST(date_diff('day', TIMESTAMP '1995-01-01', l_shipdate) AS INTEGER))
-           + to_minutes(CAST(l_orderkey % 60 AS INTEGER)) AS ts
-  FROM lineitem)"""
+           + to_minutes(CAST(l_orderkey % 60 AS INTEGER)) AS ts,
+         l_orderkey * 8 + l_linenumber AS pos
+  FROM lineitem) WHERE ts <= {NOW})"""
 
 PARTS = f"""
 parts AS (
@@ -103,7 +105,7 @@ rows_ AS (
   UNION ALL SELECT token, born + INTERVAL 240 HOUR, brand, pad FROM parts WHERE ptype = 'LARGE'
   UNION ALL SELECT token, born, brand, pad FROM parts WHERE brand = 'Brand#1'),
 born_rows AS (
-  SELECT * FROM rows_ WHERE pad IS NOT NULL AND launch_time >= {WINDOW_START})"""
+  SELECT * FROM rows_ WHERE pad IS NOT NULL AND launch_time >= {WINDOW_START} AND launch_time <= {NOW})"""
 
 # every launch row of the wide form, by the outer join it is defined with
 WIDE = f"""
@@ -120,7 +122,8 @@ born_rows AS (
   SELECT DISTINCT mint AS token, activity.moment AS launch_time, owner AS creator,
          coalesce(pad, CASE WHEN caller = 'fallback' THEN 'pump.fun' END) AS pad
   FROM activity LEFT JOIN calls USING (tx, moment)
-  WHERE (pad IS NOT NULL OR caller = 'fallback') AND mint IS NOT NULL AND activity.moment >= {WINDOW_START})"""
+  WHERE (pad IS NOT NULL OR caller = 'fallback') AND mint IS NOT NULL AND activity.moment >= {WINDOW_START}
+    AND activity.moment <= {NOW})"""
 
 ONE_LAUNCH = """
 born AS (
@@ -132,7 +135,7 @@ def newest(source: str) -> str:
     return f"""
 quotes AS (
   SELECT token, price FROM {source}
-  QUALIFY row_number() OVER (PARTITION BY token ORDER BY ts DESC, price DESC NULLS LAST) = 1)"""
+  QUALIFY row_number() OVER (PARTITION BY token ORDER BY ts DESC, pos DESC) = 1)"""
 
 
 def held(source: str, keys: str, minimum: str, copies: str = "1") -> str:
@@ -592,7 +595,7 @@ fills AS (
   SELECT CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 10 AS VARCHAR) AS token,
          CAST(user_id AS VARCHAR) AS wallet, event_type = 'purchase' AS buying,
          CAST(event_id % 7 + 1 AS DECIMAL(18,2)) AS qty, CAST(value AS DECIMAL(18,2)) AS paid,
-         value / (event_id % 7 + 1) AS price, ts,
+         value / (event_id % 7 + 1) AS price, ts, event_id AS pos,
          CAST(floor(date_diff('day', TIMESTAMP '2024-01-01', ts) / 10.0) AS INTEGER) AS delivery
   FROM events WHERE event_type IN ('purchase', 'click'))"""
 
@@ -618,7 +621,7 @@ known AS (
     """
 quotes AS (
   SELECT delivery, token, price FROM known
-  QUALIFY row_number() OVER (PARTITION BY delivery, token ORDER BY ts DESC, price DESC NULLS LAST) = 1)""",
+  QUALIFY row_number() OVER (PARTITION BY delivery, token ORDER BY ts DESC, pos DESC) = 1)""",
     "own AS (SELECT known.* FROM known JOIN seen USING (delivery, token) WHERE paid > 0)",
     held("own", "delivery, token, wallet", ">= 10"),
     """

@@ -20,16 +20,17 @@ def dec(value):
 
 
 def sided(spark, rows):
-    """rows: (token, wallet, side, amount, quantity, price, time)"""
-    data = [(t, w, s, dec(a), dec(q), p, at) for t, w, s, a, q, p, at in rows]
+    """rows: (token, wallet, side, amount, quantity, price, time); a row's number is its position"""
+    data = [(t, w, s, dec(a), dec(q), p, at, i) for i, (t, w, s, a, q, p, at) in enumerate(rows)]
     return spark.createDataFrame(data, S.TRADES_SIDED)
 
 
 def signed(spark, rows, chain="solana"):
-    """rows: (token, wallet, signed quantity, usd, price, time[, tx])"""
+    """rows: (token, wallet, signed quantity, usd, price, time[, tx[, position]])"""
     data = []
     for number, (t, w, q, usd, p, when, *rest) in enumerate(rows):
-        data.append((chain, t, w, dec(q), dec(usd), p, rest[0] if rest else f"tx{number}", when))
+        tx, place = (*rest, None, None)[:2]
+        data.append((chain, t, w, dec(q), dec(usd), p, tx or f"tx{number}", when, place))
     return spark.createDataFrame(data, S.TRADES_SIGNED)
 
 

@@ -3,11 +3,15 @@
 import pytest
 
 from helpers import DATA, rows_of
+from walletscope.operators import positions
 from walletscope.operators import returns as R
 from walletscope.operators import trades as T
+from walletscope.operators.joins import JoinLimits
 from walletscope.plans import registry as G
 from walletscope.plans import rollups
+from walletscope.plans.flows import normalized_flow, sided_flow, usd_flow
 from walletscope.plans.registry import QUERIES
+from walletscope.session import materialize
 from walletscope.sources import adapters as A
 from walletscope.sources.tables import signed_trades
 
@@ -16,14 +20,51 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_positions_shuffle_trades_once_by_token_and_wallet(spark):
-    plan = plan_of(G.normalized(spark, DATA).positions)
-    wide = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
-    assert sum("wallet" in line for line in wide) == 1
-    # the other shuffle carries one row per token and map task
-    assert len(wide) == 2 and plan.count("partial_max(struct(block_time") == 1
-    assert "partial_sum" in plan
-    assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+def scans(spark, build):
+    """How often lineitem is read, and the executed plans, while a flow is built and run."""
+    plans = []
+
+    def recorded(df, label="table"):
+        plans.append(plan_of(df))
+        return materialize(df, label)
+
+    with pytest.MonkeyPatch.context() as patch:
+        for module in (positions, T, rollups, G):
+            patch.setattr(module, "materialize", recorded)
+        flow = build()
+        plans.append(plan_of(flow.returns))
+    return sum(p.count("lineitem.parquet") for p in plans), plans
+
+
+BUILDS = {
+    "usd": lambda spark, limits: usd_flow(A.trades_signed(spark, DATA), A.USD_PARAMS, limits),
+    **{
+        f"sided {grain}": lambda spark, limits, grain=grain: sided_flow(
+            A.activity_narrow(spark, DATA), A.trades_sided(spark, DATA), A.SIDED_PARAMS.with_(launch_grain=grain), limits
+        )
+        for grain in ("token", "event")
+    },
+    **{
+        f"normalized {grain}": lambda spark, limits, grain=grain: normalized_flow(
+            A.activity_wide(spark, DATA), A.instruction_calls(spark, DATA), A.trades_signed_compressed(spark, DATA),
+            A.NORMALIZED_PARAMS.with_(launch_grain=grain), limits
+        )
+        for grain in ("token", "event")
+    },
+}
+
+
+@pytest.mark.parametrize("limits", [JoinLimits(), JoinLimits(broadcast_bytes=0)], ids=["broadcast", "merge"])
+@pytest.mark.parametrize("name", BUILDS)
+def test_trades_are_read_once_and_hash_aggregated(spark, name, limits):
+    read, plans = scans(spark, lambda: BUILDS[name](spark, limits))
+    assert read == 1
+    (plan,) = [p for p in plans if "lineitem.parquet" in p]
+    assert "partial_max_by" in plan and "partial_sum" in plan
+    assert not any("CartesianProduct" in p or "NestedLoop" in p for p in plans)
+    assert "SortAggregate" not in plan and "SortAggregate" not in plans[-1]
+    if limits.broadcast_bytes:
+        assert "SortMergeJoin" not in plan
 
 
 @pytest.mark.parametrize("variant", [G.usd, G.sided, G.normalized])
@@ -37,7 +78,7 @@ def test_time_window_reaches_the_scan(spark):
     plan = plan_of(tokens)
     assert "GreaterThanOrEqual(l_shipdate" in plan
     schema = plan.split("ReadSchema: ")[1]
-    assert "l_suppkey" not in schema and "l_linenumber" not in schema
+    assert "l_linestatus" not in schema
 
 
 def test_top_k_keeps_rows_per_partition(spark):
@@ -52,14 +93,21 @@ def test_large_ranking_has_no_single_task(spark):
     singles = [i for i, line in enumerate(plan.splitlines()) if "Exchange SinglePartition" in line]
     for index in singles:
         assert "_total" in "".join(plan.splitlines()[index + 1 : index + 2])
-    assert rows_of(ranked) == rows_of(rollups.wallet_summary(returns, A.NORMALIZED_PARAMS))
+    small = rollups.wallet_summary(returns, A.NORMALIZED_PARAMS)
+    assert ranked.schema == small.schema and rows_of(ranked) == rows_of(small)
 
 
 def test_launchpad_median_routes_agree(spark):
     returns = G.stored(G.normalized(spark, DATA))
     small = rollups.launchpad_comparison(returns)
     large = rollups.launchpad_comparison(returns, single_task_rows=0)
-    assert rows_of(G.published(small)) == rows_of(G.published(large))
+    assert small.schema == large.schema and rows_of(G.published(small)) == rows_of(G.published(large))
+
+
+def test_positions_without_a_launchpad_are_compared_too(spark):
+    for rows in (0, 1_000_000):
+        (row,) = rollups.launchpad_comparison(G.usd(spark, DATA).returns, single_task_rows=rows).collect()
+        assert row.launchpad_name is None and row.total_trades > 0 and row.median_return_pct is not None
 
 
 @pytest.mark.parametrize("name", ["moonshots_usd", "moonshots_main", "wallet_moonshots", "launchpad_comparison"])

@@ -11,12 +11,13 @@ from walletscope.operators import returns as R
 from walletscope.operators.joins import JoinLimits
 from walletscope.operators.launches import launches_narrow, launches_wide
 from walletscope.params import NORMALIZED, SIDED, USD
+from walletscope.plans import rollups
 from walletscope.plans.flows import normalized_flow, sided_flow, usd_flow
 
 P_SIDED = SIDED.with_(as_of=T0 + timedelta(days=60))
 P_MAIN = NORMALIZED.with_(as_of=T0 + timedelta(days=60))
 P_USD = USD.with_(as_of=T0 + timedelta(days=60), min_token_trades=1)
-SORT_MERGE = JoinLimits(broadcast_bytes=0, heavy_keys=4, heavy_rows=2)
+SORT_MERGE = JoinLimits(broadcast_bytes=0)
 
 
 def one(df):
@@ -78,10 +79,79 @@ def test_missing_newest_price_counts_as_zero(spark, price):
     assert R.moonshots(book, P_SIDED).count() == 0
 
 
-def test_tied_newest_prices_take_the_highest_in_any_order(spark):
-    trades = [("A", "w", "buy", 1, 1, p, at(1)) for p in (3.0, 7.0, None, 5.0)]
+def test_tied_newest_prices_take_the_last_position_in_any_order(spark):
+    trades = [("A", f"w{i}", 1, 1, p, at(1), f"t{i}", i) for i, p in enumerate((3.0, 9.0, None, 5.0))]
+    params = P_USD.with_(min_invested=Decimal(0))
     for rows in (trades, trades[::-1]):
-        assert one(sided_book(spark, rows))["latest_price"] == 7.0
+        assert {r["latest_price"] for r in dicts(usd_flow(signed(spark, rows), params).positions)} == {5.0}
+        assert {r["latest_price"] for r in dicts(usd_flow(signed(spark, rows[:3] if rows is trades else rows[1:]), params).positions)} == {None}
+
+
+def test_ties_without_positions_do_not_depend_on_order(spark):
+    trades = [("A", f"w{i}", 1, 1, float(i), at(1), f"t{i}") for i in range(20)]
+    params = P_USD.with_(min_invested=Decimal(0))
+    found = [
+        {r["latest_price"] for r in dicts(usd_flow(signed(spark, rows).drop("trade_index").repartition(n), params).positions)}
+        for rows in (trades, trades[::-1]) for n in (1, 5)
+    ]
+    assert len(found[0]) == 1 and all(f == found[0] for f in found)
+
+
+def test_tiny_amounts_are_trades(spark):
+    """4e-10 tokens for 100 USD; the tokens vanish in nine decimals, the trade does not."""
+    row = one(usd_flow(signed(spark, [("A", "w", "0.0000000004", 100, 1.0, at())]), P_USD).positions)
+    assert row["invested"] == Decimal(100) and row["trade_count"] == 1 and row["tokens_bought"] == 0
+
+
+@pytest.mark.parametrize("price", [float("inf"), float("-inf")])
+def test_infinite_prices_count_as_missing(spark, price):
+    book = sided_book(spark, [("A", "w", "buy", 1, 1, 5.0, at(1)), ("A", "x", "buy", 1, 0.001, price, at(2))])
+    assert {r["unrealized"] for r in dicts(book)} == {0.0}
+    assert R.moonshots(book, P_SIDED).count() == 0
+
+
+def test_huge_profits_do_not_end_the_job(spark):
+    rows = [("A", "w", 1e9, 60, 1.0, at()), ("A", "w", 1, 60, 4e20, at(1)), ("A", "x", 1, 60, 4e20, at(1))]
+    returns = usd_flow(signed(spark, rows), P_USD).returns
+    best = rollups.repeat_winners(returns, P_USD.with_(min_repeat_moonshots=1)).first()
+    assert best["total_profit_usd"] == pytest.approx(4e29, rel=1e-6)
+    assert R.moonshots_usd(returns, P_USD).count() == 2
+
+
+def test_nothing_after_as_of_changes_a_result(spark):
+    trades = [("A", "w", 1, 60, 2.0, at(1)), ("A", "w", 1, 600, 99.0, at(24 * 61))]
+    assert rows_of(usd_flow(signed(spark, trades), P_USD).returns) == rows_of(usd_flow(signed(spark, trades[:1]), P_USD).returns)
+    rows = [("A", "w", "buy", 1, 1, 2.0, at(1)), ("A", "w", "buy", 5, 1, 99.0, at(24 * 61))]
+    for grain in ("token", "event"):
+        params = P_SIDED.with_(launch_grain=grain)
+        assert rows_of(sided_book(spark, rows, params=params)) == rows_of(sided_book(spark, rows[:1], params=params))
+    late = narrow(spark, [("A", at(24 * 61), "c", PUMP)])
+    assert launches_narrow(late, P_SIDED).count() == 0
+
+
+@pytest.mark.parametrize("grain", ["token", "event"])
+def test_nine_decimals_survive_both_grains(spark, grain):
+    params = P_SIDED.with_(launch_grain=grain)
+    rows = [("A", "w", "buy", "0.123456789", 1, 1.0, at(1)), ("A", "x", "buy", "0.049999600", 1, 1.0, at(1))]
+    row = one(sided_book(spark, rows, params=params))
+    assert row["wallet"] == "w" and row["invested"] == Decimal("0.123456789")
+    main = params.with_(min_invested=Decimal("0.000000001"))
+    flow = normalized_flow(wide(spark, [("t", at(), "A", "c", PUMP)]), calls(spark, []),
+                           signed(spark, [("A", "w", 1, "0.123456789", 1.0, at(1))]), main)
+    assert one(flow.returns)["invested"] == Decimal("0.123456789")
+
+
+def test_many_launch_moments_in_a_day(spark):
+    """50,000 launches of one token in a day; each trade meets only its own."""
+    start = at().strftime("%Y-%m-%d %H:%M:%S")
+    activity = spark.range(50_000).selectExpr(
+        "'A' token_mint_address", f"timestamp_ntz'{start}' + interval 1 second * id block_time", "'c' creator_wallet",
+        f"'{PUMP}' account", "'create_token' instruction_name")
+    trades = sided(spark, [("A", f"w{i}", "buy", 1, 1, 1.0, at(0, i)) for i in range(5)])
+    positions = sided_flow(activity, trades, P_SIDED.with_(launch_grain="event")).positions
+    # the trade at minute i belongs to the launches of its seconds before
+    counts = {r["wallet"]: r["count"] for r in positions.groupBy("wallet").count().collect()}
+    assert counts == {f"w{i}": 60 * i + 1 for i in range(5)}
 
 
 def test_price_scope_sided_takes_any_trade_of_the_token(spark):
@@ -221,10 +291,10 @@ def test_event_grain_sided_equals_the_spelled_out_join(spark, limits):
     flow = sided_flow(activity, sided(spark, rows), params, limits)
     pads = {PUMP: "pump.fun", BONK: "letsbonk", BAGS: "bags"}
     launches = [(pads[p], token, born, owner) for _, born, token, owner, p in LAUNCHES]
-    want = {}
+    want, kept = {}, [t for t in TRADES if t[5] <= params.as_of]
     for pad, token, born, owner in set((a, b, c, None) for a, b, c, _ in launches):
         copies = sum(1 for l in launches if l[:3] == (pad, token, born))
-        single = _brute_force([(pad, token, born, None)], TRADES, False, 0)
+        single = _brute_force([(pad, token, born, None)], kept, False, 0)
         for key, (i, r, b, n, first, last) in single.items():
             want[key] = (i * copies, r * copies, b * copies, n * copies, first, last)
     assert _as_dict(flow.positions) == want

@@ -43,7 +43,7 @@ def test_random_batches_with_late_repeated_and_replayed_trades(spark):
 
     job.ledger.compact(3)
     assert rows_of(job.returns()) == want
-    tiny = JoinLimits(broadcast_bytes=0, heavy_keys=4, heavy_rows=2)
+    tiny = JoinLimits(broadcast_bytes=0)
     assert rows_of(PositionJob(spark, job.root, PARAMS, tiny).returns()) == want
 
 

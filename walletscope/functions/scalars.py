@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 AMOUNT = T.DecimalType(28, 9)  # one trade amount; sums widen to DECIMAL(38,9)
-_EXACT = T.DecimalType(28, 10)
+RAW_AMOUNT = T.DecimalType(38, 18)  # as read, so that the sign of a tiny amount is not lost
+_EXACT = T.DecimalType(38, 10)
 _ROUNDING = T.DecimalType(38, 8)
 
 ACCOUNT_URL = "https://solscan.io/account/"
@@ -22,14 +23,21 @@ def round_dec(value: Column | str, digits: int) -> Column:
     """Round half up to at most six digits, by way of DECIMAL.
 
     Eight digits first absorb the last-bit noise of a double, so 1.005 computed
-    as 1.00499999 still rounds up.
+    as 1.00499999 still rounds up. What DECIMAL cannot hold stays as it is.
     """
-    return F.round(_col(value).cast(_ROUNDING), digits).cast("double")
+    value = _col(value)
+    return F.coalesce(F.round(value.try_cast(_ROUNDING), digits).cast("double"), value.cast("double"))
 
 
 def exact_sum(value: Column | str) -> Column:
-    """Sum of doubles that does not depend on row order or partitioning."""
-    return F.sum(_col(value).cast(_EXACT)).cast("double")
+    """Sum of doubles that does not depend on row order or partitioning.
+
+    If a value or the total is beyond DECIMAL, it is the plain sum.
+    """
+    value = _col(value)
+    exact = value.try_cast(_EXACT)
+    held = F.when(F.count(exact) == F.count(value), F.try_sum(exact))
+    return F.coalesce(held.cast("double"), F.sum(value))
 
 
 def exact_avg(value: Column | str) -> Column:

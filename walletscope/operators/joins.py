@@ -1,27 +1,20 @@
-"""Joins of a large, possibly skewed side with a one-row-per-key table."""
+"""Joins of a large, possibly skewed side with a table of facts per key."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from walletscope.session import materialize
-
 
 @dataclass(frozen=True)
 class JoinLimits:
-    """When a table may be broadcast and when a key counts as heavy.
-
-    At most ``heavy_keys`` keys can each hold more than 1/heavy_keys of the
-    rows, so the table of heavy keys is small whatever the data looks like.
-    """
+    """When a table may be broadcast."""
 
     broadcast_bytes: int = 128 * 1024 * 1024
-    heavy_keys: int = 100_000
-    heavy_rows: int = 1_000_000
 
 
 LIMITS = JoinLimits()
@@ -39,13 +32,6 @@ def fits_broadcast(df: DataFrame, limits: JoinLimits = LIMITS) -> bool:
     return payload_bytes(df) <= limits.broadcast_bytes
 
 
-def heavy_keys(rows: DataFrame, keys: list[str], limits: JoinLimits = LIMITS) -> DataFrame:
-    """Keys holding more rows than one task should get; at most ``limits.heavy_keys`` of them."""
-    counts = materialize(rows.groupBy(*keys).agg(F.count("*").alias("_rows")), "key-counts")
-    total = counts.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
-    return counts.where(F.col("_rows") > max(limits.heavy_rows, total // limits.heavy_keys)).drop("_rows")
-
-
 def join_by_key(
     rows: DataFrame,
     table: DataFrame,
@@ -56,22 +42,21 @@ def join_by_key(
 ) -> DataFrame:
     """Join ``rows`` with ``table`` (inner, left or left_semi) on equal keys.
 
-    ``small`` carries over a size check already made; ``None`` checks here. A
-    table beyond the limit is sort-merge joined, but heavy keys are taken out
-    first: their few table rows are broadcast, so no task receives all rows of
-    one key and the heavy rows are not shuffled at all.
+    ``small`` carries over a size check already made; ``None`` checks here, so
+    pass a stored table. Only the side ``table`` is measured, ``rows`` is read
+    once. A table beyond the limit is merge joined: it has one row per key, so
+    adaptive execution splits a partition with a heavy key among tasks.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"unsupported join type {how!r}")
     if small is None:
         small = fits_broadcast(table, limits)
-    if small:
-        return rows.join(F.broadcast(table), keys, how)
-    heavy = heavy_keys(rows, keys, limits)
-    heavy_rows = rows.join(F.broadcast(heavy), keys, "left_semi")
-    other_rows = rows.join(F.broadcast(heavy), keys, "left_anti")
-    heavy_table = table.join(F.broadcast(heavy), keys, "left_semi")
-    if fits_broadcast(heavy_table, limits):
-        heavy_table = F.broadcast(heavy_table)
-    # else several table rows per key: adaptive execution splits the skewed merge join
-    return heavy_rows.join(heavy_table, keys, how).unionByName(other_rows.join(table, keys, how))
+    # The hint keeps a table that was measured as large from being broadcast by an estimate.
+    return rows.join(F.broadcast(table) if small else table.hint("merge"), keys, how)
+
+
+def null_safe_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which NULL equals NULL. Columns of ``rows`` in their order, then the others of ``table``."""
+    right = table.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return rows.join(right, same, how).drop(*[f"_right_{k}" for k in keys])

@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from walletscope.functions.labels import FALLBACK_PROGRAM, PROGRAMS, launchpad_of
 from walletscope.functions.scalars import iso_week
 from walletscope.params import Params
-from walletscope.sources.tables import since
+from walletscope.sources.tables import within
 
 CREATE = "create_token"
 
 
 def launches_narrow(activity: DataFrame, params: Params) -> DataFrame:
     """Launches where each activity row names its instruction."""
-    created = since(activity, params.window_start).where(
+    created = within(activity, params).where(
         F.col("account").isin(*PROGRAMS) & (F.col("instruction_name") == CREATE)
     )
     rows = created.select(
@@ -37,10 +37,10 @@ def launches_wide(activity: DataFrame, calls: DataFrame, params: Params) -> Data
     the fallback program matter, so the join is a semi join of the remaining
     activity with those calls.
     """
-    recent = since(activity, params.window_start).where(F.col("account_mint").isNotNull())
+    recent = within(activity, params).where(F.col("account_mint").isNotNull())
     known = F.col("account_program").isin(*PROGRAMS)
     named = recent.where(known).withColumn("launchpad_name", launchpad_of("account_program"))
-    fallback_calls = since(calls, params.window_start).where(F.col("executing_account") == FALLBACK_PROGRAM)
+    fallback_calls = within(calls, params).where(F.col("executing_account") == FALLBACK_PROGRAM)
     called = (
         recent.where(~F.coalesce(known, F.lit(False)))
         .join(fallback_calls.select("tx_id", "block_time"), ["tx_id", "block_time"], "left_semi")

@@ -4,10 +4,11 @@ Canonical columns: launchpad_name, token, launch_time, wallet, invested,
 tokens_bought, received, tokens_sold, balance, first_trade, last_trade,
 trade_count, latest_price.
 
-Each variant reads the trades twice with few columns: once per token for the
-price (few rows leave the map side) and once per (token, wallet), which is the
-only large shuffle and is combined before it. Launch and price columns join
-after that aggregate, so they are not shuffled with the trades.
+The trades are read and shuffled once: combined by (token, wallet) before that
+shuffle, with the state of the newest price beside the sums, and stored. Token
+prices, token facts and positions all come from the stored table, which has a
+row per wallet and token. Rows that don't trade (zero amounts, or from before
+the launch) may still quote a price; they stay out of the sums.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ from pyspark.sql import functions as F
 
 from walletscope.functions.scalars import AMOUNT
 from walletscope.operators import trades as T
-from walletscope.operators.joins import LIMITS, JoinLimits, fits_broadcast, join_by_key
+from walletscope.operators.joins import LIMITS, JoinLimits, join_by_key
 from walletscope.operators.trades import LaunchTable
 from walletscope.params import Params
 from walletscope.session import materialize
-from walletscope.sources.tables import since
+from walletscope.sources.tables import within
 
 COLUMNS = (
     "launchpad_name",
@@ -38,47 +39,56 @@ COLUMNS = (
     "trade_count",
     "latest_price",
 )
-_SUMS = ("invested", "tokens_bought", "received", "tokens_sold", "balance")
+SUMS = ("invested", "tokens_bought", "received", "tokens_sold", "balance")
 
 
-def _sum_when(*cases: tuple[str, Column]) -> Column:
-    """Sum of the value given for the row's side; other sides add 0."""
-    zero = F.lit(0).cast(AMOUNT)
-    value = zero
+def _sum_when(counted: Column, *cases: tuple[str, Column]) -> Column:
+    """Sum over counted rows of the value given for the row's side; other sides add 0."""
+    value = zero = F.lit(0).cast(AMOUNT)
     for side, amount in cases:
         value = F.when(F.col("side") == side, amount).otherwise(value)
-    return F.sum(value)
+    return F.sum(F.when(counted, value).otherwise(zero))
 
 
-def book() -> list[Column]:
-    """Aggregates of a group of trades; every one merges from partial results."""
+def book(counted: Column) -> list[Column]:
+    """Aggregates of a group of trades over the counted ones; every one merges from partial results."""
     amount, quantity = F.col("amount"), F.col("quantity")
+    moment = F.when(counted, F.col("block_time"))
     return [
-        _sum_when(("buy", amount)).alias("invested"),
-        _sum_when(("buy", quantity)).alias("tokens_bought"),
-        _sum_when(("sell", amount)).alias("received"),
-        _sum_when(("sell", quantity)).alias("tokens_sold"),
-        _sum_when(("buy", quantity), ("sell", -quantity)).alias("balance"),
-        F.min("block_time").alias("first_trade"),
-        F.max("block_time").alias("last_trade"),
-        F.count("*").alias("trade_count"),
+        _sum_when(counted, ("buy", amount)).alias("invested"),
+        _sum_when(counted, ("buy", quantity)).alias("tokens_bought"),
+        _sum_when(counted, ("sell", amount)).alias("received"),
+        _sum_when(counted, ("sell", quantity)).alias("tokens_sold"),
+        _sum_when(counted, ("buy", quantity), ("sell", -quantity)).alias("balance"),
+        F.min(moment).alias("first_trade"),
+        F.max(moment).alias("last_trade"),
+        F.count_if(counted).alias("trade_count"),
     ]
 
 
+def token_prices(partials: DataFrame) -> DataFrame:
+    """(token, latest_price) from stored partials."""
+    priced = partials.groupBy("token").agg(*T.newest_merged())
+    return priced.select("token", F.col("newest_price").alias("latest_price"))
+
+
 def _enough(params: Params) -> Column:
-    return F.col("invested") >= F.lit(params.min_invested)
+    return (F.col("trade_count") > 0) & (F.col("invested") >= F.lit(params.min_invested))
 
 
 def positions_usd(trades: DataFrame, params: Params, limits: JoinLimits = LIMITS) -> DataFrame:
-    """Positions without launch data: a token starts with its first trade in the window.
-
-    Nothing older than that first trade exists in the window, so "from the
-    first trade on" is the window itself and needs no join before the aggregate.
-    """
-    tokens = materialize(T.recent_tokens(trades, params), "recent-tokens")
-    rows = T.real_usd(since(trades, params.window_start))
-    held = rows.groupBy("token", "wallet").agg(*book()).where(_enough(params))
-    joined = join_by_key(held, tokens.withColumnRenamed("first_seen", "launch_time"), ["token"], limits=limits)
+    """Positions without launch data: a token starts with its first trade in the window."""
+    seen = [F.min("block_time").alias("first_seen"), F.count("*").alias("all_trades")]
+    grouped = within(trades, params).groupBy("token", "wallet").agg(*book(T.is_real_usd()), *seen, *T.newest())
+    partials = materialize(grouped, "wallet-partials")
+    tokens = (
+        partials.groupBy("token")
+        .agg(F.min("first_seen").alias("launch_time"), F.sum("all_trades").alias("_trades"), *T.newest_merged())
+        .where(F.col("_trades") >= params.min_token_trades)
+        .select("token", "launch_time", F.col("newest_price").alias("latest_price"))
+    )
+    held = partials.where(_enough(params)).drop("first_seen", "all_trades", "newest", "newest_price")
+    joined = join_by_key(held, materialize(tokens, "recent-tokens"), ["token"], limits=limits)
     return joined.withColumn("launchpad_name", F.lit(None).cast("string")).select(*COLUMNS)
 
 
@@ -88,27 +98,27 @@ def positions_sided(trades: DataFrame, launches: LaunchTable, params: Params) ->
     A token with a position traded after its launch, hence inside the window,
     so its newest trade is found inside the window as well.
     """
-    recent = since(trades, params.window_start)
-    prices = T.latest_price(launches.trades_of(recent))
-    rows = T.real_sided(recent)
+    recent = within(trades, params)
     if params.launch_grain == "event":
-        return _event_positions_separate(rows, launches, prices, params)
-    return _token_positions(launches.trades_after(rows), launches, prices, _enough(params))
+        return _event_positions_separate(recent, launches, params)
+    joined = launches.attach(recent, launches.rows.select("token", "launch_time"))
+    counted = T.is_real_sided() & (F.col("block_time") >= F.col("launch_time"))
+    return _token_positions(joined, counted, launches, _enough(params))
 
 
 def positions_normalized(trades: DataFrame, launches: LaunchTable, params: Params) -> DataFrame:
     """Positions from signed trades; price from the same trades only."""
-    rows = T.real_normalized(since(trades, params.window_start), params)
+    rows = T.real_normalized(within(trades, params), params)
     if params.launch_grain == "event":
         return _event_positions_shared(rows, launches, params)
-    after = launches.trades_after(rows)
-    return _token_positions(after, launches, T.latest_price(after), F.col("invested") > 0)
+    return _token_positions(launches.trades_after(rows), F.lit(True), launches, F.col("invested") > 0)
 
 
-def _token_positions(after: DataFrame, launches: LaunchTable, prices: DataFrame, keep: Column) -> DataFrame:
-    held = after.groupBy("token", "wallet").agg(*book()).where(keep)
+def _token_positions(rows: DataFrame, counted: Column, launches: LaunchTable, keep: Column) -> DataFrame:
+    partials = materialize(rows.groupBy("token", "wallet").agg(*book(counted), *T.newest()), "wallet-partials")
+    held = partials.where(keep).drop("newest", "newest_price")
     held = launches.attach(held, launches.rows.select("token", "launch_time", "launchpad_name"))
-    return launches.attach(held, prices, "left").select(*COLUMNS)
+    return launches.attach(held, token_prices(partials), "left").select(*COLUMNS)
 
 
 # ---------------------------------------------------------------------------
@@ -117,45 +127,68 @@ def _token_positions(after: DataFrame, launches: LaunchTable, prices: DataFrame,
 # intervals are aggregated, and only finished sums meet the launch rows.
 
 
-def _intervals(launches: LaunchTable, params: Params) -> DataFrame:
-    """Launch intervals per token and day: (token, _day, _from, _to, _copies).
+def _moments(launches: LaunchTable) -> DataFrame:
+    """Distinct launch times (token, _from, _copies); ``_copies`` counts the launch rows up to then.
 
-    ``_copies`` counts the launch rows at or before ``_from``. Days bound the
-    rows a trade is compared with; the last day stands for all later ones.
-    The window runs over distinct launch times, at most one per second of the
-    history for a token, however many launch rows it has.
+    The window holds at most one row per second of the history for a token,
+    however many launch rows it has.
     """
     by_time = Window.partitionBy("token").orderBy("launch_time")
     moments = launches.rows.groupBy("token", "launch_time").agg(F.count("*").alias("_rows"))
-    spans = moments.select(
-        "token",
-        F.col("launch_time").alias("_from"),
-        F.lead("launch_time").over(by_time).alias("_to"),
-        F.sum("_rows").over(by_time).alias("_copies"),
-    )
+    return moments.select("token", F.col("launch_time").alias("_from"), F.sum("_rows").over(by_time).alias("_copies"))
+
+
+def _day_starts(moments: DataFrame, params: Params) -> DataFrame:
+    """The last launch before each day: (token, _day, _from, _copies), from the day after the first launch on."""
     last_day = F.lit(params.as_of.date())
-    first, last = (F.least(F.to_date(c), last_day) for c in ("_from", "_to"))
-    days = F.sequence(first, F.coalesce(last, last_day))
-    return spans.withColumn("_day", F.explode(days))
+    days = moments.groupBy("token", F.to_date("_from").alias("_on")).agg(
+        F.max("_from").alias("_from"), F.max("_copies").alias("_copies")
+    )
+    following = F.coalesce(F.lead("_on").over(Window.partitionBy("token").orderBy("_on")), last_day)
+    spans = days.withColumn("_until", following).where(F.col("_until") > F.col("_on"))
+    return spans.select(
+        "token", F.explode(F.sequence(F.date_add("_on", 1), F.col("_until"))).alias("_day"), "_from", "_copies"
+    )
 
 
 def _in_interval(rows: DataFrame, launches: LaunchTable, params: Params) -> DataFrame:
-    spans = materialize(_intervals(launches, params), "launch-intervals")
-    dated = rows.withColumn("_day", F.least(F.to_date("block_time"), F.lit(params.as_of.date())))
-    joined = join_by_key(dated, spans, ["token", "_day"], limits=launches.limits)
-    moment = F.col("block_time")
-    return joined.where((moment >= F.col("_from")) & (F.col("_to").isNull() | (moment < F.col("_to"))))
+    """Adds the last launch up to each trade (_from, _copies), NULL before the first.
+
+    Trades and launches of a token and day pass by in order of time, and the
+    last launch is carried forward; what was launched on earlier days joins as
+    one row per token and day. So no trade meets more than one launch, and a
+    token's trades are split by day.
+    """
+    moments = materialize(_moments(launches), "launch-moments")
+    starts = materialize(_day_starts(moments, params), "launch-days")
+    columns = rows.columns
+    trades = rows.select("*", F.to_date("block_time").alias("_day"), F.lit(1).alias("_kind"))
+    marks = moments.select(
+        "token", F.col("_from").alias("block_time"), F.to_date("_from").alias("_day"), F.lit(0).alias("_kind"),
+        F.col("_from").alias("_here"), F.col("_copies").alias("_count"),
+    )
+    ordered = Window.partitionBy("token", "_day").orderBy("block_time", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    carried = (
+        launches.trades_of(trades).unionByName(marks, allowMissingColumns=True)
+        .withColumns({c: F.last(c, ignorenulls=True).over(ordered) for c in ("_here", "_count")})
+        .where(F.col("_kind") == 1)
+    )
+    joined = join_by_key(carried, starts, ["token", "_day"], "left", limits=launches.limits)
+    return joined.select(
+        *columns, F.coalesce("_here", "_from").alias("_from"), F.coalesce("_count", "_copies").alias("_copies")
+    )
 
 
 def _launch_groups(launches: LaunchTable) -> DataFrame:
     return launches.rows.groupBy("launchpad_name", "token", "launch_time").agg(F.count("*").alias("_same"))
 
 
-def _event_positions_separate(
-    rows: DataFrame, launches: LaunchTable, prices: DataFrame, params: Params
-) -> DataFrame:
-    """Each launch row gathers the trades from its own time on."""
-    parts = _in_interval(rows, launches, params).groupBy("token", "wallet", "_from").agg(*book())
+def _event_positions_separate(rows: DataFrame, launches: LaunchTable, params: Params) -> DataFrame:
+    """Each launch row gathers the trades from its own time on; all trades of the token may quote."""
+    counted = T.is_real_sided() & F.col("_from").isNotNull()
+    placed = _in_interval(rows, launches, params)
+    partials = materialize(placed.groupBy("token", "wallet", "_from").agg(*book(counted), *T.newest()), "wallet-partials")
+    parts = partials.where(F.col("trade_count") > 0)
     # Totals from an interval to the end, then valid for launches after the wallet's previous interval.
     onward = Window.partitionBy("token", "wallet").orderBy(F.col("_from").desc())
     totals = parts.select(
@@ -163,7 +196,7 @@ def _event_positions_separate(
         "wallet",
         F.lead("_from").over(onward).alias("_after"),
         F.col("_from").alias("_until"),
-        *[F.sum(c).over(onward).alias(c) for c in (*_SUMS, "trade_count")],
+        *[F.sum(c).over(onward).alias(c) for c in (*SUMS, "trade_count")],
         F.min("first_trade").over(onward).alias("first_trade"),
         F.max("last_trade").over(onward).alias("last_trade"),
     )
@@ -173,25 +206,29 @@ def _event_positions_separate(
         & (F.col("_after").isNull() | (F.col("launch_time") > F.col("_after")))
     )
     held = _times(joined, F.col("_same")).where(_enough(params))
-    return launches.attach(held, prices, "left").select(*COLUMNS)
+    return launches.attach(held, token_prices(partials), "left").select(*COLUMNS)
 
 
 def _event_positions_shared(rows: DataFrame, launches: LaunchTable, params: Params) -> DataFrame:
     """Each launch row gathers all trades kept for any launch row of its token, once per such row."""
-    after = _in_interval(rows, launches, params)
-    parts = after.groupBy("token", "wallet", "_copies").agg(*book())
-    weighted = _times(parts, F.col("_copies"))
+    after = _in_interval(rows, launches, params).where(F.col("_from").isNotNull())
+    grouped = after.groupBy("token", "wallet", "_copies").agg(*book(F.lit(True)), *T.newest())
+    partials = materialize(grouped, "wallet-partials")
+    weighted = _times(partials, F.col("_copies"))
     totals = weighted.groupBy("token", "wallet").agg(
-        *[F.sum(c).alias(c) for c in (*_SUMS, "trade_count")],
+        *[F.sum(c).alias(c) for c in (*SUMS, "trade_count")],
         F.min("first_trade").alias("first_trade"),
         F.max("last_trade").alias("last_trade"),
     )
     groups = materialize(_launch_groups(launches), "launch-groups")
     held = _times(launches.attach(totals, groups), F.col("_same")).where(F.col("invested") > 0)
-    return launches.attach(held, T.latest_price(after), "left").select(*COLUMNS)
+    return launches.attach(held, token_prices(partials), "left").select(*COLUMNS)
 
 
 def _times(df: DataFrame, factor: Column) -> DataFrame:
-    """Sums and counts taken ``factor`` times."""
-    times = {c: (F.col(c) * factor.cast("decimal(10,0)")).cast("decimal(38,9)") for c in _SUMS}
+    """Sums and counts taken ``factor`` (below 10^9) times, all nine decimals kept.
+
+    A sum beyond 10^19 becomes NULL, and with it the position's result.
+    """
+    times = {c: F.col(c).try_cast(AMOUNT) * factor.cast("decimal(9,0)") for c in SUMS}
     return df.withColumns({**times, "trade_count": F.col("trade_count") * factor})

@@ -10,16 +10,31 @@ from walletscope.operators.joins import LIMITS, JoinLimits, fits_broadcast, join
 from walletscope.operators.ordered import numbered
 from walletscope.params import Params
 from walletscope.session import materialize
-from walletscope.sources.tables import since
+from walletscope.sources.tables import until, within
 
+TRADE_ORDER = "decimal(38,0)"
+_PLACES = "10000000000000000000"  # more than any position
 
-def closing_price() -> Column:
-    """Price of the newest trade; among trades at one instant the highest price.
 
-    NULL when the newest trade has no price. One aggregate that merges in any
-    order, so it is combined before the shuffle and serves late data alike.
-    """
-    return F.max(F.struct("block_time", "price"))["price"]
+def trade_order() -> Column:
+    """One number that orders trades by time, then by position: microseconds, and 19 digits of position."""
+    micros = (F.col("block_time") - F.lit("1970-01-01").cast("timestamp_ntz")).cast("interval second").cast("decimal(18,6)")
+    micros = (micros * F.lit(1_000_000)).cast("decimal(18,0)")
+    return (micros * F.lit(_PLACES).cast("decimal(20,0)") + F.col("position").cast("decimal(19,0)")).cast(TRADE_ORDER)
+
+
+def newest() -> list[Column]:
+    """State of the newest price: merges in any order, in a hash aggregate."""
+    return [F.max(trade_order()).alias("newest"), F.max_by("price", trade_order()).alias("newest_price")]
+
+
+def newest_merged() -> list[Column]:
+    return [F.max("newest").alias("newest"), F.max_by("newest_price", "newest").alias("newest_price")]
+
+
+def closing_price() -> Column:
+    """Price of the newest trade; among trades at one instant of the last position. NULL when that has no price."""
+    return F.max_by("price", trade_order())
 
 
 def latest_price(trades: DataFrame) -> DataFrame:
@@ -34,7 +49,7 @@ def recent_tokens(trades: DataFrame, params: Params) -> DataFrame:
     too: the price needs no older rows.
     """
     return (
-        since(trades, params.window_start)
+        within(trades, params)
         .groupBy("token")
         .agg(
             F.min("block_time").alias("first_seen"),
@@ -47,16 +62,20 @@ def recent_tokens(trades: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def real_sided(trades: DataFrame) -> DataFrame:
-    return trades.where((F.col("quantity") > 0) & (F.col("amount") > 0))
+def is_real_sided() -> Column:
+    return F.coalesce((F.col("quantity_sign") > 0) & (F.col("amount_sign") > 0), F.lit(False))
 
 
-def real_usd(trades: DataFrame) -> DataFrame:
-    return trades.where((F.col("quantity") != 0) & (F.col("amount") > 0))
+def is_real_usd() -> Column:
+    return F.coalesce((F.col("quantity_sign") != 0) & (F.col("amount_sign") > 0), F.lit(False))
+
+
+def real_sided(trades: DataFrame) -> DataFrame:
+    return trades.where(is_real_sided())
 
 
 def real_normalized(trades: DataFrame, params: Params) -> DataFrame:
-    return trades.where((F.col("quantity") != 0) & (F.col("block_time") <= instant(params.as_of))).withColumn(
+    return trades.where((F.col("quantity_sign") != 0) & (F.col("block_time") <= instant(params.as_of))).withColumn(
         "amount", F.abs("amount")
     )
 
@@ -73,7 +92,8 @@ class LaunchTable:
         self.limits = limits
 
     def attach(self, rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
-        return join_by_key(rows, table, ["token"], how, small=self.small or None, limits=self.limits)
+        """Join with a table of one row per launched token, or with the launches themselves."""
+        return join_by_key(rows, table, ["token"], how, small=self.small, limits=self.limits)
 
     def trades_of(self, trades: DataFrame) -> DataFrame:
         """All trades of launched tokens, at any time."""
@@ -87,7 +107,7 @@ class LaunchTable:
 
 def trades_normalized(trades: DataFrame, launches: LaunchTable, params: Params) -> DataFrame:
     """Trades of launched tokens with side, absolute amounts and their place in the wallet's sequence."""
-    after = launches.trades_after(real_normalized(since(trades, params.window_start), params))
+    after = launches.trades_after(real_normalized(within(trades, params), params))
     keys = ["wallet", "token"]
     tie_break = ["tx_id", "side", "quantity", "amount", "price"]
     order = [F.col("block_time").asc(), *[F.col(c).asc_nulls_last() for c in tie_break]]
@@ -105,14 +125,21 @@ def trades_normalized(trades: DataFrame, launches: LaunchTable, params: Params)
     )
 
 
-def token_traders(trades: DataFrame, launches: LaunchTable) -> DataFrame:
-    """(token, all_traders): every wallet that ever traded a launched token."""
-    return launches.trades_of(trades).groupBy("token").agg(F.countDistinct("wallet").alias("all_traders"))
+def token_traders(
+    trades: DataFrame, launches: LaunchTable, params: Params, tokens: DataFrame | None = None
+) -> DataFrame:
+    """(token, all_traders): every wallet that traded a launched token up to ``as_of``.
+
+    The history is the whole table. ``tokens`` (one row per token) narrows it.
+    """
+    past = until(trades, params)
+    wanted = launches.trades_of(past) if tokens is None else launches.attach(past, tokens.select("token"), "left_semi")
+    return wanted.groupBy("token").agg(F.countDistinct("wallet").alias("all_traders"))
 
 
 def launchpad_volume(trades: DataFrame, launches: LaunchTable, params: Params) -> DataFrame:
     """Trading volume per launchpad, from launch on."""
-    rows = real_sided(since(trades, params.window_start))
+    rows = real_sided(within(trades, params))
     # Sum per token first: the launchpad label then joins few rows.
     per_token = launches.trades_after(rows).groupBy("token").agg(
         F.sum(F.when(F.col("side") == "buy", F.col("amount")).otherwise(F.lit(0))).alias("_bought"),
@@ -135,7 +162,7 @@ def launchpad_volume(trades: DataFrame, launches: LaunchTable, params: Params) -
 
 def launch_to_first_trade(trades: DataFrame, launches: LaunchTable, params: Params) -> DataFrame:
     """Per launched token: hours until anyone traded it; NULL while nobody has."""
-    rows = real_sided(since(trades, params.window_start))
+    rows = real_sided(within(trades, params))
     first = launches.trades_after(rows).groupBy("token").agg(F.min("block_time").alias("first_trade"))
     joined = launches.attach(launches.rows.select("launchpad_name", "token", "launch_time"), first, "left")
     return joined.select(

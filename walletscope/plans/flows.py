@@ -1,6 +1,7 @@
 """The three ways from raw tables to evaluated positions.
 
-Each returns lazy DataFrames. In production store the returns once with
+Building a flow stores its launches and one row per wallet and token; positions and
+returns are DataFrames over these. In production store the returns once with
 ``sources.sinks.write_positions`` and run the roll-ups on the stored table.
 """
 

@@ -21,7 +21,7 @@ from walletscope.plans.flows import Flow, normalized_flow, sided_flow, usd_flow
 from walletscope.session import materialize, new_folder
 from walletscope.sources import adapters as A
 from walletscope.sources import sinks
-from walletscope.sources.tables import sided_trades, signed_trades
+from walletscope.sources.tables import sided_trades, signed_trades, until
 from walletscope.streaming import alerts
 from walletscope.streaming.jobs import CATCH_UP, ActivityJob, PositionJob, read_trade_stream
 
@@ -114,12 +114,12 @@ def trades_normalized(spark, sf_dir):
 
 @query
 def latest_price_sided(spark, sf_dir):
-    return trades.latest_price(sided_trades(A.trades_sided(spark, sf_dir)))
+    return trades.latest_price(until(sided_trades(A.trades_sided(spark, sf_dir)), A.SIDED_PARAMS))
 
 
 @query
 def latest_price_usd(spark, sf_dir):
-    return trades.latest_price(signed_trades(A.trades_signed(spark, sf_dir)))
+    return trades.latest_price(until(signed_trades(A.trades_signed(spark, sf_dir)), A.USD_PARAMS))
 
 
 @query
@@ -132,7 +132,7 @@ def latest_price_normalized(spark, sf_dir):
 @query
 def token_traders(spark, sf_dir):
     flow = sided(spark, sf_dir)
-    return trades.token_traders(flow.trades, flow.launches)
+    return trades.token_traders(flow.trades, flow.launches, A.SIDED_PARAMS)
 
 
 # --- positions, returns, moonshots -----------------------------------------
@@ -311,7 +311,9 @@ def drill_token(spark, sf_dir):
     flow = normalized(spark, sf_dir)
     best = rollups.token_success(flow.returns, A.NORMALIZED_PARAMS).limit(1)
     key = best.select(F.col("token_mint_address").alias("token"))
-    return filters.drill_among(flow.trades, materialize(key, "drill-key"), ["token"])
+    past = until(flow.trades, A.NORMALIZED_PARAMS)
+    found = filters.drill_among(past, materialize(key, "drill-key"), ["token"])
+    return found.select("token", "wallet", "side", "quantity", "amount", "price", "tx_id", "block_time")
 
 
 @query

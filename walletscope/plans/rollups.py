@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from walletscope.functions import labels as L
 from walletscope.functions.scalars import exact_avg, exact_sum, instant, iso_week, percent, round_dec
-from walletscope.operators.joins import LIMITS, JoinLimits
+from walletscope.operators.joins import null_safe_join
 from walletscope.operators.ordered import SINGLE_TASK_ROWS, exact_quantile, ranked
 from walletscope.operators.returns import moonshots
 from walletscope.operators.trades import LaunchTable, token_traders
 from walletscope.params import Params
+from walletscope.session import materialize
 
 
 def _reaching(threshold: float) -> Column:
@@ -95,7 +96,10 @@ def token_moonshots(returns: DataFrame, trades: DataFrame, launches: LaunchTable
         )
         .where(F.col("total_moonshot_traders") >= params.min_moonshot_traders)
     )
-    with_all = launches.attach(per_token, token_traders(trades, launches), "left")
+    # Only the few tokens left need their traders over the whole history.
+    per_token = materialize(per_token, "moonshot-tokens")
+    tokens = per_token.select("token").distinct()
+    with_all = launches.attach(per_token, token_traders(trades, launches, params, tokens), "left")
     share = percent(F.col("total_moonshot_traders"), F.col("all_traders"))
     return (
         with_all.withColumn("moonshot_trader_percentage", share)
@@ -189,18 +193,16 @@ def top_wallets(returns: DataFrame, params: Params, rows: int = 10) -> DataFrame
     return per_wallet.orderBy(F.col("total_profit_sol").desc(), *keys).limit(rows)
 
 
-def launchpad_comparison(
-    returns: DataFrame, single_task_rows: int = SINGLE_TASK_ROWS, limits: JoinLimits = LIMITS
-) -> DataFrame:
-    """All positions per launchpad.
+def launchpad_comparison(returns: DataFrame, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+    """All positions per launchpad; those without one are a group of their own.
 
     A launchpad may hold a third of all positions, nearly each with a return
     of its own. The built-in median keeps all distinct values of a group in
     one task, so it serves only up to ``single_task_rows`` positions; beyond,
-    the exact median is read off a range-partitioned running count.
-    ``returns`` is read up to three times: pass a stored table.
+    the same median is read off a range-partitioned running count.
+    ``returns`` is read twice: pass a stored table.
     """
-    per_launchpad = returns.groupBy("launchpad_name").agg(
+    per_launchpad = materialize(returns.groupBy("launchpad_name").agg(
         F.countDistinct("token").alias("total_tokens_launched"),
         F.countDistinct("wallet").alias("unique_traders"),
         F.count("*").alias("total_trades"),
@@ -211,14 +213,14 @@ def launchpad_comparison(
         exact_avg("return_pct").alias("avg_return_pct"),
         F.max("return_pct").alias("highest_return_pct"),
         F.max("total_pnl").alias("biggest_profit_sol"),
-    )
-    if returns.count() <= single_task_rows:
+    ), "launchpads")
+    if (per_launchpad.agg(F.sum("total_trades")).first()[0] or 0) <= single_task_rows:
         medians = returns.groupBy("launchpad_name").agg(F.percentile("return_pct", 0.5).alias("median_return_pct"))
     else:
-        medians = exact_quantile(returns, ["launchpad_name"], "return_pct", "median_return_pct", limits=limits)
+        medians = exact_quantile(returns, ["launchpad_name"], "return_pct", "median_return_pct")
     # One row per launchpad from here on.
     return (
-        per_launchpad.join(medians, "launchpad_name")
+        null_safe_join(per_launchpad, medians, ["launchpad_name"], "left")
         .select(
             "*",
             _rank_rows("moonshot_rate_pct").alias("moonshot_rate_rank"),

@@ -37,6 +37,7 @@ _HOURLY = (
     "timestamp_ntz'2024-01-01' + interval '1' minute"
     " * (60 * datediff(l_shipdate, date'1995-01-01') + l_orderkey % 60)"
 )
+_INDEX = "l_orderkey * 8 + l_linenumber as trade_index"
 _QUANTITY = "cast(l_quantity as decimal(18,2))"
 _MONEY = "cast(l_extendedprice as decimal(18,2))"
 _THOUSANDTH = f"cast({_MONEY} * 0.001 as decimal(28,9))"
@@ -61,6 +62,7 @@ def _signed(items: DataFrame, time: str, amount: str, price: str) -> DataFrame:
         f"{price} as token_price",
         "concat_ws('-', l_orderkey, l_linenumber) as tx_id",
         f"{time} as block_time",
+        _INDEX,
     )
 
 
@@ -82,6 +84,7 @@ def trades_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{_QUANTITY} as token_amount",
         "l_extendedprice / l_quantity / 1000 as price_per_token",
         f"{_HOURLY} as block_time",
+        _INDEX,
     )
 
 
@@ -146,7 +149,10 @@ def instruction_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trades_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases and clicks as signed trades with a trade id, for the incremental jobs."""
+    """Purchases and clicks as signed trades with a trade id, for the incremental jobs.
+
+    Events of other types (views, signups and the like) are no trades.
+    """
     quantity = "cast(event_id % 7 + 1 as decimal(18,2))"
     return (
         load(spark, sf_dir, "events")
@@ -160,5 +166,6 @@ def trades_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             "value / (event_id % 7 + 1) as token_price",
             "cast(event_id as string) as tx_id",
             "ts as block_time",
+            "event_id as trade_index",
         )
     )

@@ -15,21 +15,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from walletscope.functions.scalars import AMOUNT
 from walletscope.operators.joins import LIMITS, JoinLimits, join_by_key
-from walletscope.operators.positions import COLUMNS, book
+from walletscope.operators.positions import COLUMNS, SUMS, book
+from walletscope.operators.trades import is_real_usd, newest, newest_merged
 from walletscope.params import Params
 from walletscope.session import materialize
 
-_SUMS = ("invested", "tokens_bought", "received", "tokens_sold", "balance")
 _COUNTS = ("trade_count", "all_trades")
 _PARTIALS = (
     "token string, wallet string, trade_date date, "
-    + ", ".join(f"{c} decimal(38,9)" for c in _SUMS)
+    + ", ".join(f"{c} decimal(38,9)" for c in SUMS)
     + ", first_trade timestamp_ntz, last_trade timestamp_ntz, trade_count bigint, all_trades bigint"
-    + ", first_seen timestamp_ntz, newest struct<block_time: timestamp_ntz, price: double>"
+    + ", first_seen timestamp_ntz, newest decimal(38,0), newest_price double"
 )
-_IDENTITY = ("tx_id", "token", "wallet", "side", "quantity", "amount", "block_time")
+# The position tells equal fills of one transaction apart.
+_IDENTITY = ("tx_id", "token", "wallet", "side", "quantity", "amount", "block_time", "position")
 
 
 def daily_partials(trades: DataFrame) -> DataFrame:
@@ -38,36 +38,22 @@ def daily_partials(trades: DataFrame) -> DataFrame:
     Trades without amount or quantity stay out of the sums, yet count for
     when a token was first seen, how often it traded and its newest price.
     """
-    real = (F.col("quantity") != 0) & (F.col("amount") > 0)
-    masked = trades.withColumns(
-        {
-            "quantity": F.when(real, F.col("quantity")),
-            "amount": F.when(real, F.col("amount")),
-            "trade_date": F.to_date("block_time"),
-            "seen_at": F.col("block_time"),
-            "block_time": F.when(real, F.col("block_time")),
-            "real": real,
-        }
-    )
-    *sums_and_times, _ = book()
-    grouped = masked.groupBy("token", "wallet", "trade_date").agg(
-        *sums_and_times,
-        F.count_if("real").alias("trade_count"),
+    return trades.groupBy("token", "wallet", F.to_date("block_time").alias("trade_date")).agg(
+        *book(is_real_usd()),
         F.count("*").alias("all_trades"),
-        F.min("seen_at").alias("first_seen"),
-        F.max(F.struct(F.col("seen_at").alias("block_time"), F.col("price"))).alias("newest"),
+        F.min("block_time").alias("first_seen"),
+        *newest(),
     )
-    return grouped.withColumns({c: F.coalesce(c, F.lit(0).cast(AMOUNT)) for c in _SUMS})
 
 
 def _merged() -> list[Column]:
     return [
-        *[F.sum(c).cast("decimal(38,9)").alias(c) for c in _SUMS],
+        *[F.sum(c).cast("decimal(38,9)").alias(c) for c in SUMS],
         F.min("first_trade").alias("first_trade"),
         F.max("last_trade").alias("last_trade"),
         *[F.sum(c).alias(c) for c in _COUNTS],
         F.min("first_seen").alias("first_seen"),
-        F.max("newest").alias("newest"),
+        *newest_merged(),
     ]
 
 
@@ -85,14 +71,15 @@ def positions_from_partials(
         .agg(
             F.min("first_seen").alias("launch_time"),
             F.sum("all_trades").alias("_trades"),
-            F.max("newest")["price"].alias("latest_price"),
+            *newest_merged(),
         )
         .where(F.col("_trades") >= params.min_token_trades)
-        .drop("_trades")
+        .select(*token, "launch_time", F.col("newest_price").alias("latest_price"))
     )
-    held = inside.groupBy(*token, "wallet").agg(*_merged()).where(F.col("invested") >= F.lit(params.min_invested))
+    enough = (F.col("trade_count") > 0) & (F.col("invested") >= F.lit(params.min_invested))
+    held = inside.groupBy(*token, "wallet").agg(*_merged()).where(enough)
     joined = join_by_key(
-        held.drop("first_seen", "newest"), materialize(tokens, "ledger-tokens"), token, limits=limits
+        held.drop("first_seen", "newest", "newest_price"), materialize(tokens, "ledger-tokens"), token, limits=limits
     )
     return joined.withColumn("launchpad_name", F.lit(None).cast("string")).select(*versions, *COLUMNS)
 
