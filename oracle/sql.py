@@ -654,6 +654,4 @@ spikes AS (
   FROM hours)"""
 SPIKES = f"SELECT token, hour, n AS trades, {rd('usual')} AS usual_trades FROM spikes WHERE n >= 3 AND usual > 0 AND n > 3 * usual"
 ORACLE["activity_spikes"] = compose(FILLS_EVENTS, HOURS, final=SPIKES)
-ORACLE["stream_spikes"] = compose(
-    FILLS_EVENTS, HOURS, final=f"{SPIKES} AND hour + INTERVAL 1 HOUR <= (SELECT MAX(ts) - INTERVAL 1 HOUR FROM fills)"
-)
+ORACLE["stream_spikes"] = compose(FILLS_EVENTS, HOURS, final=SPIKES)

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from walletscope.session import build_session  # noqa: E402
+from walletscope.session import application_dir, build_session, list_folders, release  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -21,4 +21,6 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
+    assert not list_folders(session, f"{application_dir(session)}/*")
     session.stop()

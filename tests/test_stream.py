@@ -8,7 +8,9 @@ from helpers import at, rows_of, signed
 from walletscope.operators.joins import JoinLimits
 from walletscope.params import USD
 from walletscope.plans.flows import usd_flow
-from walletscope.session import new_folder
+from walletscope.session import list_folders, new_folder
+from walletscope.sources.tables import signed_trades
+from walletscope.streaming.alerts import activity_spikes, hourly_activity
 from walletscope.streaming.jobs import CATCH_UP, ActivityJob, PositionJob, read_trade_stream
 
 PARAMS = USD.with_(as_of=at(24 * 20), lookback_days=18, min_token_trades=3)
@@ -38,7 +40,7 @@ def test_random_batches_with_late_repeated_and_replayed_trades(spark):
             job.process(signed(spark, batch), number)  # the engine repeats a batch after a failure
         if number == 2:
             job.ledger.compact(1)
-    want = rows_of(usd_flow(signed(spark, rows), PARAMS).returns)
+    want = rows_of(usd_flow(signed(spark, rows), job.current()).returns)
     assert rows_of(job.returns()) == want and len(want) > 5
 
     job.ledger.compact(3)
@@ -65,16 +67,72 @@ def test_streaming_run_resumes_where_it_stopped(spark):
     for part in (rows[:40], rows[40:]):
         signed(spark, part).write.mode("append").parquet(f"{root}/inbox")
         job.start(read_trade_stream(spark, f"{root}/inbox"), CATCH_UP).awaitTermination()
-    assert rows_of(job.returns()) == rows_of(usd_flow(signed(spark, rows), PARAMS).returns)
+    assert rows_of(job.returns()) == rows_of(usd_flow(signed(spark, rows), job.current()).returns)
 
 
-def test_closed_hours_are_compared_with_the_hours_before(spark):
+def test_equal_fills_of_a_transaction_count_each(spark):
+    rows = [("A", "w", 1, 100, 1.0, at(60), "t", 7), ("A", "w", 1, 100, 1.0, at(60), "t", 8)]
+    job = PositionJob(spark, new_folder(spark, "test"), PARAMS.with_(min_token_trades=1))
+    job.process(signed(spark, rows), 0)
+    job.process(signed(spark, rows[1:]), 1)  # delivered once more
+    want = usd_flow(signed(spark, rows), job.current()).returns
+    assert rows_of(job.returns()) == rows_of(want)
+    assert job.returns().first()["invested"] == 200 and job.returns().first()["trade_count"] == 2
+
+
+def test_the_window_moves_with_the_data(spark):
+    """Two batches a day apart, each judged by its own window; a repeat is judged as the first time."""
+    params = PARAMS.with_(lookback_days=1, min_token_trades=1)
+    job = PositionJob(spark, new_folder(spark, "test"), params)
+    first = [("A", "w", 1, 100, 1.0, at(1), "1"), ("B", "w", 1, 100, 1.0, at(30), "2")]
+    second = [("A", "w", 1, 300, 3.0, at(50), "3"), ("C", "w", 1, 100, 3.0, at(54), "4")]
+    for number, batch in enumerate((first, second)):
+        job.process(signed(spark, batch), number)
+        seen = signed(spark, (first + second) if number else first)
+        as_of = at(54) if number else at(30)
+        assert job.current().as_of == as_of
+        assert rows_of(job.returns()) == rows_of(usd_flow(seen, params.with_(as_of=as_of)).returns)
+    assert {r["token"] for r in job.returns().collect()} == {"A", "B", "C"}
+    assert {r["invested"] for r in job.returns().where("token = 'A'").collect()} == {300}  # the first day is past
+    before = rows_of(job.alerts("moonshot_alerts"))
+    job.process(signed(spark, second), 1)
+    assert job.current(upto=0).as_of == at(30) and rows_of(job.alerts("moonshot_alerts")) == before
+
+
+def test_compaction_runs_by_itself_and_a_batch_repeats_after_it(spark):
+    params = PARAMS.with_(min_token_trades=1, lookback_days=3)
+    job = PositionJob(spark, new_folder(spark, "test"), params, compact_every=2)
+    batches = [[(t, f"w{i}", 10, 100, 10.0 * 15**i, at(24 * i), f"{t}{i}") for t in "AB"] for i in range(7)]
+    for number, batch in enumerate(batches):
+        job.process(signed(spark, batch), number)
+    found = rows_of(job.alerts("moonshot_alerts"))
+    assert found
+    job.ledger.compact(99)  # spares the newest batch
+    assert max(job.ledger._batches("heads")) == 5
+    job.process(signed(spark, batches[6]), 6)
+    assert rows_of(job.alerts("moonshot_alerts")) == found
+    everything = signed(spark, [row for batch in batches for row in batch])
+    assert rows_of(job.returns()) == rows_of(usd_flow(everything, job.current()).returns)
+    assert min(b for b in job.ledger._batches("deltas") if b >= 0) > 1  # merged folders are gone
+    days = {f.rsplit("=", 1)[1] for f in list_folders(spark, f"{job.root}/ledger/seen/*/trade_date=*")}
+    assert min(days) >= job.current().window_start.date().isoformat()
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Kolkata"])
+def test_spikes_follow_late_trades_in_any_zone(spark, zone):
     root = new_folder(spark, "test")
     rows = [("A", "w", 1, 60, 1.0, at(i), f"a{i}") for i in range(24)]
-    rows += [("A", "w", 1, 60, 1.0, at(24, m), f"b{m}") for m in range(5)]
-    job = ActivityJob(spark, f"{root}/state")
-    for part in (rows, [("A", "w", 1, 60, 1.0, at(40), "late")]):
-        signed(spark, part).write.mode("append").parquet(f"{root}/inbox")
-        job.start(read_trade_stream(spark, f"{root}/inbox"), CATCH_UP).awaitTermination()
-    (spike,) = job.spikes().collect()
-    assert (spike.token, spike.hour, spike.trades, spike.usual_trades) == ("A", at(24), 5, 1.0)
+    rows += [("A", "w", 1, 60, 1.0, at(24, m), f"b{m}") for m in range(3)]
+    late = [("A", "w", 1, 60, 1.0, at(40), "c"), *[("A", "w", 1, 60, 1.0, at(24, 10 + m), f"d{m}") for m in range(2)]]
+    job, before = ActivityJob(spark, f"{root}/state"), spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        for part in (rows, late):
+            signed(spark, part).write.mode("append").parquet(f"{root}/inbox")
+            job.start(read_trade_stream(spark, f"{root}/inbox"), CATCH_UP).awaitTermination()
+        (spike,) = job.spikes().collect()
+        assert (spike.token, spike.hour, spike.trades, spike.usual_trades) == ("A", at(24), 5, 1.0)
+        assert [(r.hour, r.trades, r.batch) for r in job.alerts().collect()] == [(at(24), 5, 1)]
+        assert rows_of(job.spikes()) == rows_of(activity_spikes(hourly_activity(signed_trades(signed(spark, rows + late)))))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

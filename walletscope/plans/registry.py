@@ -18,7 +18,7 @@ from walletscope.functions.scalars import round_dec
 from walletscope.operators import filters, launches, returns, trades
 from walletscope.plans import rollups
 from walletscope.plans.flows import Flow, normalized_flow, sided_flow, usd_flow
-from walletscope.session import materialize, new_folder
+from walletscope.session import configure, materialize, new_folder
 from walletscope.sources import adapters as A
 from walletscope.sources import sinks
 from walletscope.sources.tables import sided_trades, signed_trades, until
@@ -40,7 +40,11 @@ def published(df: DataFrame) -> DataFrame:
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = lambda spark, sf_dir: published(function(spark, sf_dir))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        configure(spark)
+        return published(function(spark, sf_dir))
+
+    QUERIES[function.__name__] = run
     return function
 
 
@@ -339,10 +343,10 @@ def export_csv(spark, sf_dir):
 
 def _run_deliveries(spark: SparkSession, sf_dir: str, job, root: str) -> None:
     """Deliver the trades in periods of ten days and let the job catch up after each."""
-    number = F.floor(F.datediff("block_time", F.lit("2024-01-01").cast("date")) / 10)
-    rows = A.trades_from_events(spark, sf_dir).withColumn("delivery", number)
+    number = F.coalesce(F.floor(F.datediff("block_time", F.lit("2024-01-01").cast("date")) / 10), F.lit(0))
+    rows = A.trades_from_events(spark, sf_dir).withColumn("delivery", F.greatest(number, F.lit(0)))
     last = rows.agg(F.max("delivery")).first()[0]
-    for delivery in range(last + 1):
+    for delivery in range((last if last is not None else -1) + 1):
         part = rows.where(F.col("delivery") == delivery).drop("delivery")
         part.write.mode("append").parquet(f"{root}/inbox")
         job.start(read_trade_stream(spark, f"{root}/inbox"), CATCH_UP).awaitTermination()
@@ -387,7 +391,7 @@ def activity_spikes(spark, sf_dir):
 
 @query
 def stream_spikes(spark, sf_dir):
-    """The same found hour by hour; hours not yet closed by the watermark are left out."""
+    """The same kept up to date by deliveries, late trades included."""
     root = new_folder(spark, "stream")
     job = ActivityJob(spark, f"{root}/state")
     _run_deliveries(spark, sf_dir, job, root)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,14 +12,16 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-SETTINGS = {
-    "spark.sql.session.timeZone": "UTC",
+#: May be changed at run time as well; ``configure`` sets them on a session made elsewhere.
+RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A heavy key is split among tasks even if an aggregate after the join then needs a shuffle of its own.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.parquet.filterPushdown": "true",
-    "spark.ui.enabled": "false",
 }
+SETTINGS = {**RUNTIME, "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false"}
 
 
 def build_session(name: str = "walletscope", master: str | None = None, **settings: str) -> SparkSession:
@@ -29,18 +33,27 @@ def build_session(name: str = "walletscope", master: str | None = None, **settin
     return builder.getOrCreate()
 
 
+def configure(spark: SparkSession) -> None:
+    for key, value in RUNTIME.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by the cluster.
 
-    Only a local session may fall back to a folder of its own; on a cluster a
-    machine-local folder would lose data with the machine.
+    Only a local session may fall back to a folder of its own, which goes when
+    the program ends; on a cluster a machine-local folder would lose data with
+    the machine.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="walletscope-"))
+        own = tempfile.mkdtemp(prefix="walletscope-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(own)
         folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
@@ -48,16 +61,37 @@ def shared_dir(spark: SparkSession) -> str:
 _scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
+def application_dir(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables."""
+    return f"{shared_dir(spark)}/walletscope/{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    base = _scratch.get() or f"{shared_dir(spark)}/walletscope"
-    return f"{base}/{label}-{uuid.uuid4().hex}"
+    return f"{_scratch.get() or application_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def list_folders(spark: SparkSession, pattern: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [status.getPath().toString() for status in found or [] if status.isDirectory()]
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application. Results that read them must be stored before."""
+    remove(spark, application_dir(spark))
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Intermediate tables written inside the block are removed at its end.
 
-    For jobs that run for long; results must be stored elsewhere before then.
+    For jobs that run for long, and for batch flows whose results are written
+    inside the block.
     """
     folder = new_folder(spark, "scratch")
     token = _scratch.set(folder)
@@ -65,8 +99,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _scratch.reset(token)
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, folder)
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:

@@ -38,10 +38,9 @@ def new_successful_tokens(shots: DataFrame, params: Params) -> DataFrame:
 
 
 def hourly_activity(trades: DataFrame) -> DataFrame:
-    """(token, hour, trades). Works on streams too, given a watermark on block_time."""
-    hour = F.window("block_time", "1 hour")
-    counted = trades.groupBy("token", hour.alias("hour")).agg(F.count("*").alias("trades"))
-    return counted.select("token", F.col("hour.start").cast("timestamp_ntz").alias("hour"), "trades")
+    """(token, hour, trades). Hours are those of the time column, whatever the session's zone."""
+    hour = F.date_trunc("hour", "block_time").cast("timestamp_ntz")
+    return trades.groupBy("token", hour.alias("hour")).agg(F.count("*").alias("trades"))
 
 
 def activity_spikes(

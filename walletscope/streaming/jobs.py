@@ -7,18 +7,21 @@ minutes for a live job and ``availableNow`` to catch up and stop.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from walletscope.functions.scalars import instant
 from walletscope.operators.joins import LIMITS, JoinLimits, join_by_key
 from walletscope.operators.returns import moonshots, with_returns
 from walletscope.params import Params
 from walletscope.session import materialize, scratch
 from walletscope.sources.schemas import TRADES_SIGNED
-from walletscope.sources.tables import signed_trades
+from walletscope.sources.tables import signed_trades, since
 from walletscope.streaming import alerts
-from walletscope.streaming.ledger import Ledger, positions_from_partials
+from walletscope.streaming.ledger import Ledger, bucket_of, positions_from_partials
 
 REFRESH = {"processingTime": "10 minutes"}
 CATCH_UP = {"availableNow": True}
@@ -29,15 +32,38 @@ def read_trade_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 class PositionJob:
-    """Keeps the ledger of one folder of trades and records alerts."""
+    """Keeps the ledger of one folder of trades and records alerts.
+
+    The history window moves with the data: each batch is evaluated as of the
+    newest trade seen so far, which is stored with the batch, so that a repeat
+    gives the same. Trades from before the window are left out on arrival.
+    Every ``compact_every`` batches the ledger is merged and expired days go.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, params: Params, limits: JoinLimits = LIMITS):
+    def __init__(
+        self, spark: SparkSession, root: str, params: Params, limits: JoinLimits = LIMITS, compact_every: int = 144
+    ):
         self.spark, self.root, self.params, self.limits = spark, root.rstrip("/"), params, limits
+        self.compact_every = compact_every
         self.ledger = Ledger(spark, f"{self.root}/ledger", limits)
+        spark.createDataFrame([], "as_of timestamp_ntz").write.mode("ignore").parquet(f"{self.root}/as_of/batch=-1")
+
+    def _moment(self, upto: int | None = None, exactly: int | None = None) -> datetime | None:
+        stored = self.spark.read.schema("as_of timestamp_ntz, batch bigint").parquet(f"{self.root}/as_of")
+        if upto is not None:
+            stored = stored.where(F.col("batch") <= upto)
+        if exactly is not None:
+            stored = stored.where(F.col("batch") == exactly)
+        return stored.agg(F.max("as_of")).first()[0]
+
+    def current(self, upto: int | None = None) -> Params:
+        """The parameters as of the newest trade of all batches, or of those up to one."""
+        moment = self._moment(upto)
+        return self.params if moment is None else self.params.with_(as_of=moment)
 
     def returns(self) -> DataFrame:
         """Evaluated positions over everything stored so far."""
-        return with_returns(positions_from_partials(self.ledger.partials(), self.params, self.limits))
+        return with_returns(positions_from_partials(self.ledger.partials(), self.current(), self.limits))
 
     def alerts(self, kind: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{kind}")
@@ -47,24 +73,41 @@ class PositionJob:
         with scratch(self.spark):
             self._process(raw_batch, batch)
 
+    def _as_of(self, trades: DataFrame, batch: int) -> Params:
+        """The parameters of a batch; its moment is written before anything else and kept in a repeat."""
+        if self._moment(exactly=batch) is None:
+            newest, before = trades.agg(F.max("block_time")).first()[0], self._moment(upto=batch)
+            known = [m for m in (newest, before) if m is not None]
+            if known:
+                row = self.spark.createDataFrame([(max(known),)], "as_of timestamp_ntz")
+                row.write.mode("overwrite").parquet(f"{self.root}/as_of/batch={batch}")
+        return self.current(upto=batch)
+
     def _process(self, raw_batch: DataFrame, batch: int) -> None:
-        fresh = materialize(self.ledger.unseen(signed_trades(raw_batch), batch), "fresh")
+        arrived = materialize(signed_trades(raw_batch), "arrived")
+        params = self._as_of(arrived, batch)
+        fresh = materialize(self.ledger.unseen(since(arrived, params.window_start), batch), "fresh")
         self.ledger.append(fresh, batch)
 
         # A new price moves every holder of the token: compare all positions of touched tokens.
-        touched = fresh.select("token").distinct()
-        stored = join_by_key(self.ledger.partials(batch + 1), touched, ["token"], "left_semi", limits=self.limits)
+        touched = fresh.select("token", bucket_of().alias("bucket")).distinct()
+        buckets = [r[0] for r in touched.select("bucket").distinct().collect()]
+        stored = join_by_key(
+            self.ledger.partials(batch + 1, buckets), touched.select("token"), ["token"], "left_semi", limits=self.limits
+        )
         states = alerts.both_versions(stored, batch)
-        returns = with_returns(positions_from_partials(states, self.params, self.limits, versions=("version",)))
-        shots = moonshots(returns, self.params).select(
+        returns = with_returns(positions_from_partials(states, params, self.limits, versions=("version",)))
+        shots = moonshots(returns, params).select(
             "version", "token", "wallet", "invested", "total_pnl", "return_pct"
         )
         shots = materialize(shots, "shots")
         for kind, found in (
             ("moonshot_alerts", alerts.new_moonshots(shots)),
-            ("token_alerts", alerts.new_successful_tokens(shots, self.params)),
+            ("token_alerts", alerts.new_successful_tokens(shots, params)),
         ):
             found.write.mode("overwrite").parquet(f"{self.root}/{kind}/batch={batch}")
+        if batch and batch % self.compact_every == 0:
+            self.ledger.compact(batch - 1, params.window_start.date())
 
     def start(self, stream: DataFrame, trigger: dict = REFRESH) -> StreamingQuery:
         writer = stream.writeStream.foreachBatch(self.process).trigger(**trigger)
@@ -72,35 +115,52 @@ class PositionJob:
 
 
 class ActivityJob:
-    """Counts trades per token and hour once the hour is closed, and records spikes."""
+    """Counts trades per token and hour, and records spikes.
 
-    def __init__(self, spark: SparkSession, root: str, lateness: str = "1 hour"):
-        self.spark, self.root, self.lateness = spark, root.rstrip("/"), lateness
-        schema = "token string, hour timestamp_ntz, trades bigint"
-        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.root}/hours/batch=-1")
-        self.schema = f"{schema}, batch bigint"
+    Counts of a batch are a folder of their own, split by day; they add up in
+    any order, so late trades count like others.
+    """
 
-    def activity(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/hours").drop("batch")
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        schema = "token string, hour timestamp_ntz, trades bigint"
+        rows = spark.createDataFrame([], f"{schema}, day date").write.mode("ignore")
+        rows.partitionBy("day").parquet(f"{self.root}/hours/batch=-1")
+        self.schema = f"{schema}, batch bigint, day date"
+
+    def _stored(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/hours")
+
+    def activity(self, first: datetime | None = None, last: datetime | None = None) -> DataFrame:
+        """(token, hour, trades) of all batches so far; of the hours between two, reading only their days."""
+        stored = self._stored()
+        for bound, low in ((first, True), (last, False)):
+            if bound is not None:
+                day, hour = F.lit(bound.date()), instant(bound)
+                inside = (F.col("day") >= day, F.col("hour") >= hour) if low else (F.col("day") <= day, F.col("hour") <= hour)
+                stored = stored.where(inside[0] & inside[1])
+        return stored.groupBy("token", "hour").agg(F.sum("trades").alias("trades"))
 
     def spikes(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/spikes").drop("batch")
-
-    def process(self, closed: DataFrame, batch: int) -> None:
-        closed.write.mode("overwrite").parquet(f"{self.root}/hours/batch={batch}")
-        stored = self.spark.read.schema(self.schema).parquet(f"{self.root}/hours")
-        mine = stored.where(F.col("batch") == batch).select("token", "hour")
-        first = mine.agg(F.min("hour")).first()[0]
-        recent = stored.where(F.col("batch") <= batch).drop("batch")
+        """Spikes by what is known now."""
+        return alerts.activity_spikes(self.activity())
+
+    def alerts(self) -> DataFrame:
+        """Spikes as found with each batch."""
+        return self.spark.read.parquet(f"{self.root}/spikes")
+
+    def process(self, raw_batch: DataFrame, batch: int) -> None:
+        counted = alerts.hourly_activity(signed_trades(raw_batch)).withColumn("day", F.to_date("hour"))
+        counted.write.mode("overwrite").partitionBy("day").parquet(f"{self.root}/hours/batch={batch}")
+        mine = self._stored().where(F.col("batch") == batch).select("token", "hour")
+        first, last = mine.agg(F.min("hour"), F.max("hour")).first()
+        known = self.activity()
         if first is not None:
-            # Only the hours just closed and the trailing hours before them matter.
-            start = F.lit(first) - F.expr(f"interval {alerts.TRAILING_HOURS} hours")
-            recent = recent.where(F.col("hour") >= start)
-        found = alerts.activity_spikes(recent).join(mine, ["token", "hour"], "left_semi")
+            # Only the hours of the batch and the trailing hours before them matter.
+            known = self.activity(first - timedelta(hours=alerts.TRAILING_HOURS), last)
+        found = alerts.activity_spikes(known).join(mine, ["token", "hour"], "left_semi")
         found.write.mode("overwrite").parquet(f"{self.root}/spikes/batch={batch}")
 
     def start(self, stream: DataFrame, trigger: dict = REFRESH) -> StreamingQuery:
-        trades = signed_trades(stream).withColumn("block_time", F.col("block_time").cast("timestamp"))
-        counted = alerts.hourly_activity(trades.withWatermark("block_time", self.lateness))
-        writer = counted.writeStream.outputMode("append").foreachBatch(self.process).trigger(**trigger)
+        writer = stream.writeStream.foreachBatch(self.process).trigger(**trigger)
         return writer.option("checkpointLocation", f"{self.root}/progress").start()

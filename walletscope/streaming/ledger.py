@@ -2,9 +2,11 @@
 
 Sums, counts, minima, maxima and the newest price merge in any order, so late
 and out-of-order trades need no special rule. Every batch writes its partials
-to a folder of its own; repeating a batch overwrites that folder and nothing
-else. ``compact`` merges finished batches; readers see the merged table once
-its marker is written, as the last step.
+to a folder of its own, split by a hash of the token, so that a batch reads the
+parts its tokens are in; repeating a batch overwrites its folder and nothing
+else. ``compact`` merges finished batches, never the newest, which the engine
+may still repeat. Readers see the merged table once its marker is written, as
+the last step; the generation before stays for readers that began with it.
 
 The history window starts at a midnight, so daily partials are exact at its
 edge, although the first trade in the window moves as the window slides.
@@ -12,6 +14,9 @@ edge, although the first trade in the window moves as the window slides.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +24,7 @@ from walletscope.operators.joins import LIMITS, JoinLimits, join_by_key
 from walletscope.operators.positions import COLUMNS, SUMS, book
 from walletscope.operators.trades import is_real_usd, newest, newest_merged
 from walletscope.params import Params
-from walletscope.session import materialize
+from walletscope.session import list_folders, materialize, remove
 
 _COUNTS = ("trade_count", "all_trades")
 _PARTIALS = (
@@ -32,6 +37,13 @@ _PARTIALS = (
 _IDENTITY = ("tx_id", "token", "wallet", "side", "quantity", "amount", "block_time", "position")
 
 
+BUCKETS = 8
+
+
+def bucket_of(token: str = "token") -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
 def daily_partials(trades: DataFrame) -> DataFrame:
     """Partials of canonical trades.
 
@@ -90,8 +102,10 @@ class Ledger:
     def __init__(self, spark: SparkSession, root: str, limits: JoinLimits = LIMITS):
         self.spark, self.root, self.limits = spark, root.rstrip("/"), limits
         # Empty first entries, so that every table can be read from the start.
-        for table, schema in (("deltas", _PARTIALS), ("base", _PARTIALS), ("heads", "note string")):
-            self._empty(schema).write.mode("ignore").parquet(self._part(table, -1))
+        self._empty("note string").write.mode("ignore").parquet(self._part("heads", -1))
+        for table in ("deltas", "base"):
+            rows = self._empty(f"{_PARTIALS}, bucket int").write.mode("ignore")
+            rows.partitionBy("bucket").parquet(self._part(table, -1))
         ids = self._empty("trade_id string, trade_date date").write.mode("ignore")
         ids.partitionBy("trade_date").parquet(self._part("seen", -1))
 
@@ -109,12 +123,14 @@ class Ledger:
         # The empty entry of batch -1 has no rows; "no head" reads as -1.
         return _bounded(heads, before).agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
 
-    def partials(self, before: int | None = None) -> DataFrame:
-        """All stored partials, or those of the batches before a given one, with their batch."""
+    def partials(self, before: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame:
+        """All stored partials, or those of the batches before a given one, with their batch; of some buckets only."""
         head = self._head(before)
-        base = self._read("base", _PARTIALS).where(F.col("batch") == head)
-        deltas = _bounded(self._read("deltas", _PARTIALS), before).where(F.col("batch") > head)
-        return base.unionByName(deltas)
+        schema = f"{_PARTIALS}, bucket int"
+        base = self._read("base", schema).where(F.col("batch") == head)
+        deltas = _bounded(self._read("deltas", schema), before).where(F.col("batch") > head)
+        both = base.unionByName(deltas)
+        return (both if buckets is None else both.where(F.col("bucket").isin(list(buckets)))).drop("bucket")
 
     def unseen(self, trades: DataFrame, batch: int) -> DataFrame:
         """Trades of a batch, each once, that no earlier batch held.
@@ -125,11 +141,11 @@ class Ledger:
         identity = F.to_json(F.struct(*_IDENTITY), {"ignoreNullFields": "false"})
         rows = trades.withColumn("trade_id", F.sha2(identity, 256)).dropDuplicates(["trade_id"])
         rows = materialize(rows.withColumn("trade_date", F.to_date("block_time")), "batch")
-        first, last = rows.agg(F.min("trade_date"), F.max("trade_date")).first()
-        if first is None:
+        days = [r[0] for r in rows.select("trade_date").distinct().collect()]  # at most the days of the window
+        if not days:
             return rows
         stored = _bounded(self._read("seen", "trade_id string, trade_date date"), batch).where(
-            F.col("trade_date").between(F.lit(first), F.lit(last))
+            F.col("trade_date").isin(days)
         )
         again = join_by_key(
             stored.select("trade_id"), rows.select("trade_id"), ["trade_id"], "left_semi", limits=self.limits
@@ -140,14 +156,41 @@ class Ledger:
         """Store a batch; repeating it with the same number replaces it."""
         ids = fresh.select("trade_id", "trade_date")
         ids.write.mode("overwrite").partitionBy("trade_date").parquet(self._part("seen", batch))
-        daily_partials(fresh).write.mode("overwrite").parquet(self._part("deltas", batch))
+        self._write(daily_partials(fresh), "deltas", batch)
+
+    def _write(self, partials: DataFrame, table: str, batch: int) -> None:
+        bucketed = partials.withColumn("bucket", bucket_of())
+        bucketed.write.mode("overwrite").partitionBy("bucket").parquet(self._part(table, batch))
 
-    def compact(self, upto: int) -> None:
-        """Merge all batches up to ``upto`` into one table; run beside the stream at any time."""
-        merged = self.partials(before=upto + 1).groupBy("token", "wallet", "trade_date").agg(*_merged())
-        merged.write.mode("overwrite").parquet(self._part("base", upto))
+    def compact(self, upto: int, since: date | None = None) -> None:
+        """Merge the batches up to ``upto``, but not the newest, into one table, without days before ``since``.
+
+        Folders that neither this generation nor the one before it needs are removed.
+        """
+        upto = min(upto, max(self._batches("deltas"), default=-1) - 1)
+        previous = self._head(None)
+        if upto <= previous:
+            return
+        stored = self.partials(before=upto + 1)
+        if since is not None:
+            stored = stored.where(F.col("trade_date") >= F.lit(since))
+        self._write(stored.groupBy("token", "wallet", "trade_date").agg(*_merged()), "base", upto)
         marker = self.spark.createDataFrame([("complete",)], "note string")
         marker.write.mode("overwrite").parquet(self._part("heads", upto))
+        for batch in self._batches("deltas"):
+            if 0 <= batch <= previous:
+                remove(self.spark, self._part("deltas", batch))
+        for table in ("base", "heads"):
+            for batch in self._batches(table):
+                if 0 <= batch < previous:
+                    remove(self.spark, self._part(table, batch))
+        if since is not None:
+            for folder in list_folders(self.spark, f"{self.root}/seen/*/trade_date=*"):
+                if folder.rsplit("=", 1)[1] < since.isoformat():
+                    remove(self.spark, folder)
+
+    def _batches(self, table: str) -> list[int]:
+        return [int(f.rsplit("=", 1)[1]) for f in list_folders(self.spark, f"{self.root}/{table}/batch=*")]
 
 
 def _bounded(df: DataFrame, before: int | None) -> DataFrame:
