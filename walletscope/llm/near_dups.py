@@ -9,10 +9,13 @@ word sequences, found in a band around the diagonal, leaves at least 0.8 of the
 longer one. Classes are the connected components of the links.
 
 Texts of equal words are one node. Each key's texts are compared with the one of
-the smallest id, the centre; those not linked to it go on among themselves with
-four times as many centres a round, until all are linked or have been centres.
-So a group of copies costs one comparison a member, no row is dropped from a
-large group, and no group is gathered.
+the smallest id, the centre. Those not linked to it, such as texts that only
+share a common passage, go on under longer keys of the same samples (six, twelve,
+then 24 runs), which part them. Under the longest keys they go on among
+themselves with more centres a round, until all are linked or have been
+centres. So a group of copies costs one comparison a member, texts that share a
+passage aren't compared with each other, no row is dropped from a large group,
+and no group is gathered.
 
 Null texts count as empty. Texts without a word are equal if they are the same
 but for white space around them. Texts under five words have one run, so only
@@ -25,7 +28,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,11 +41,14 @@ from walletscope.session import materialize
 
 WORDS = 5
 SAMPLES = 20
-ORDERED = 3
+ORDERED = (3, 6, 12, 24)  # runs in a key; longer keys for what shorter ones leave open
 LEAST = 0.8
 WORD = re.compile(r"\w+")
 KNOWN_WORDS = 500_000
 MATRIX = 2_000_000  # hashes held at a time for one text
+FEW_EDITS = 24
+SHORT_SLIDE = 12
+MORE_CENTRES = 16
 
 _U = np.uint64
 _FACTORS = [_U(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -67,9 +73,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(29))
 
 
-def labelled_runs(words: np.ndarray) -> np.ndarray:
-    """A hash of each run of five words and of how many equal runs stand before it."""
-    size = min(WORDS, len(words))
+def labelled_runs(words: np.ndarray, size: int = WORDS) -> np.ndarray:
+    """A hash of each run of words and of how many equal runs stand before it."""
+    size = min(size, len(words))
     runs = np.zeros(len(words) - size + 1, np.uint64)
     for k in range(size):
         runs = runs * _FACTORS[0] + words[k : k + len(runs)]
@@ -84,10 +90,10 @@ def labelled_runs(words: np.ndarray) -> np.ndarray:
     return _mixed(runs)
 
 
-def order_keys(words: np.ndarray) -> np.ndarray:
-    """One key a sample."""
+def order_keys(words: np.ndarray, ordered: int = ORDERED[0]) -> np.ndarray:
+    """One key a sample, of its ``ordered`` smallest runs."""
     runs = labelled_runs(words)
-    keep = min(ORDERED, len(runs))
+    keep = min(ordered, len(runs))
     keys = np.zeros(SAMPLES, np.uint64)
     step = max(1, MATRIX // len(runs))
     for at in range(0, SAMPLES, step):
@@ -106,7 +112,7 @@ def order_keys(words: np.ndarray) -> np.ndarray:
     return keys
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, ordered: int = ORDERED[0]) -> DataFrame:
     """doc_id, content (128 bits of the words), n_words, keys of every row of (doc_id, text)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +122,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 words = word_hashes(text)
                 content.append(xxhash.xxh3_128_hexdigest(words.tobytes()))
                 sizes.append(len(words))
-                keys.append(order_keys(words))
+                keys.append(order_keys(words, ordered))
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * SAMPLES, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
@@ -131,7 +137,8 @@ def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     """Edits between two sequences, or None above ``limit``.
 
     Follows each diagonal of the band as far as equal words lead, one edit at a
-    time.
+    time. Near copies end after few edits; for others, bounds by shared words and
+    shared runs of words come first, and the rest of the band goes by arrays.
     """
     if abs(len(a) - len(b)) > limit:
         return None
@@ -145,49 +152,87 @@ def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
         differ = np.flatnonzero(a[-short:][::-1] != b[-short:][::-1])
         back = int(differ[0]) if len(differ) else short
         a, b = a[: len(a) - back], b[: len(b) - back]
-    n, m = len(a), len(b)
-    if not n or not m:
-        return n + m if n + m <= limit else None
-    if _unshared(a, b) > limit:
+    if not len(a) or not len(b):
+        return len(a) + len(b) if len(a) + len(b) <= limit else None
+    band = _Band(a, b)
+    quick = min(limit, FEW_EDITS)
+    for edits in range(1, quick + 1):
+        if band.step(edits, limit):
+            return edits
+    if quick == limit or any(_least_edits(a, b, size) > limit for size in (1, 2, 3)):
         return None
-    stops: dict[int, list[int]] = {}
+    return band.rest(quick, limit)
+
+
+class _Band:
+    """The furthest place in ``a`` that each diagonal (place in ``b`` less place in ``a``) reaches."""
 
-    def slide(diagonal: int, i: int) -> int:
-        """The first place from ``i`` on where a[i] and b[i + diagonal] differ, or the end of the diagonal."""
-        found = stops.get(diagonal)
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.a, self.b, self.n, self.m = a, b, len(a), len(b)
+        self.goal = self.m - self.n
+        self.stops: dict[int, list[int]] = {}
+        self.reach = {0: self.slide(0, 0)}
+
+    def slide(self, diagonal: int, i: int) -> int:
+        """The first place from ``i`` on where the diagonal's words differ, or its end."""
+        found = self.stops.get(diagonal)
         if found is None:
-            low, high = max(0, -diagonal), min(n, m - diagonal)
-            found = (np.flatnonzero(a[low:high] != b[low + diagonal : high + diagonal]) + low).tolist()
+            low, high = max(0, -diagonal), min(self.n, self.m - diagonal)
+            found = (np.flatnonzero(self.a[low:high] != self.b[low + diagonal : high + diagonal]) + low).tolist()
             found.append(high)
-            stops[diagonal] = found
+            self.stops[diagonal] = found
         return found[min(bisect_left(found, i), len(found) - 1)]
 
-    goal, reach = m - n, {0: slide(0, 0)}
-    if goal == 0 and reach[0] >= n:
-        return 0
-    for edits in range(1, limit + 1):
-        left = limit - edits
-        new: dict[int, int] = {}
-        for d in range(max(-edits, -n, goal - left), min(edits, m, goal + left) + 1):
+    def step(self, edits: int, limit: int) -> bool:
+        """Allow one more edit; whether both ends are reached."""
+        left, reach, new = limit - edits, self.reach, {}
+        for d in range(max(-edits, -self.n, self.goal - left), min(edits, self.m, self.goal + left) + 1):
             i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1)
-            if i < max(0, -d):
-                continue
-            i = min(i, n, m - d)
-            new[d] = slide(d, i)
-        if new.get(goal, -1) >= n:
-            return edits
-        reach = new
-    return None
+            if i >= max(0, -d):
+                new[d] = self.slide(d, min(i, self.n, self.m - d))
+        self.reach = new
+        return new.get(self.goal, -1) >= self.n
+
+    def rest(self, done: int, limit: int) -> int | None:
+        """The remaining edits, all diagonals at once."""
+        n, m, none = self.n, self.m, -(1 << 40)
+        low, high = max(-limit, -n) - 1, min(limit, m) + 1  # a margin on both sides
+        diagonals = np.arange(low, high + 1)
+        reach = np.full(len(diagonals), none)
+        for d, i in self.reach.items():
+            reach[d - low] = i
+        ends = np.minimum(n, m - diagonals)
+        for edits in range(done + 1, limit + 1):
+            left = limit - edits
+            new = np.full(len(diagonals), none)
+            new[1:-1] = np.maximum(np.maximum(reach[1:-1] + 1, reach[:-2]), reach[2:] + 1)
+            new = np.minimum(new, ends)
+            inside = (new >= np.maximum(0, -diagonals)) & (np.abs(diagonals - self.goal) <= left)
+            inside[[0, -1]] = False
+            new[~inside] = none
+            live = np.flatnonzero(inside & (new < ends))
+            for _ in range(SHORT_SLIDE):
+                if not len(live):
+                    break
+                x = new[live]
+                live = live[self.a[x] == self.b[x + diagonals[live]]]
+                new[live] += 1
+                live = live[new[live] < ends[live]]
+            for k in live.tolist():
+                new[k] = self.slide(k + low, int(new[k]))
+            if new[self.goal - low] >= n:
+                return edits
+            reach = new
+        return None
 
 
-def _unshared(a: np.ndarray, b: np.ndarray) -> int:
-    """A lower bound of the distance: words of one sequence that the other lacks, with multiplicity."""
-    both = np.concatenate([a, b])
-    _, inverse = np.unique(both, return_inverse=True)
-    more = np.bincount(inverse[: len(a)], minlength=inverse.max() + 1) - np.bincount(
-        inverse[len(a) :], minlength=inverse.max() + 1
-    )
-    return int(max(more[more > 0].sum(), -more[more < 0].sum()))
+def _least_edits(a: np.ndarray, b: np.ndarray, size: int) -> int:
+    """A lower bound of the distance: an edit touches at most ``size`` of the runs of ``size`` words."""
+    longer = max(len(a), len(b))
+    if min(len(a), len(b)) < size:
+        return 0
+    shared = len(np.intersect1d(labelled_runs(a, size), labelled_runs(b, size), assume_unique=True))
+    return -(-(longer - size + 1 - shared) // size)
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float | None:
@@ -197,8 +242,8 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float | No
     return None if edits is None else 1 - edits / longer
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The linked ones among pairs (a, b) of ids."""
+def _judged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids, and whether they are linked."""
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cached = lru_cache(maxsize=4)(word_hashes)  # rows come in order of b
@@ -206,11 +251,11 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             linked = [
                 similarity(cached(x), cached(y)) is not None for x, y in zip(batch["text_a"], batch["text_b"], strict=True)
             ]
-            yield batch.loc[linked, ["a", "b"]]
+            yield batch[["a", "b"]].assign(linked=linked)
 
     with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     with_both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_both.select("a", "b", "text_a", "text_b").mapInPandas(align, "a bigint, b bigint").distinct()
+    return with_both.select("a", "b", "text_a", "text_b").mapInPandas(align, "a bigint, b bigint, linked boolean")
 
 
 def _pairs(members: DataFrame, centres: DataFrame) -> DataFrame:
@@ -231,9 +276,8 @@ def _pairs(members: DataFrame, centres: DataFrame) -> DataFrame:
 
 def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Verified pairs (a, b) among texts that share a key."""
-    found: list[DataFrame] = []
-    tried: list[DataFrame] = []
-    live, parts = members, 1
+    judged: DataFrame | None = None
+    live, level, parts = members, 0, 1
     while True:
         part = F.pmod(F.xxhash64("id", F.lit(parts)), F.lit(parts))
         centres = (
@@ -243,22 +287,32 @@ def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
         )
         pairs = _pairs(live, centres)
         fresh = pairs.where(F.col("shorter") >= F.col("longer") * LEAST - 1e-9).select("a", "b").distinct()
-        for old in tried:
-            fresh = fresh.join(old, ["a", "b"], "left_anti")
-        fresh = materialize(fresh, "candidates")
-        tried.append(fresh)
-        found.append(materialize(_verified(fresh, texts), "links"))
-        links = reduce(DataFrame.unionByName, found)
+        if judged is not None:
+            fresh = fresh.join(judged, ["a", "b"], "left_anti")
+        new = materialize(_judged(fresh, texts), "judged")
+        judged = new if judged is None else judged.unionByName(new)
+        links = judged.where("linked").select("a", "b")
         settled = (
             pairs.join(links, ["a", "b"], "left_semi")
             .select("key", "id")
             .unionByName(centres.select("key", F.col("centre").alias("id")))
         )
-        rest = live.join(settled, ["key", "id"], "left_anti")
-        live = materialize(_shared(rest), "open-members")
+        live = materialize(_shared(live.join(settled, ["key", "id"], "left_anti")), "open-members")
         if live.isEmpty():
             return links
-        parts *= 4
+        if level + 1 < len(ORDERED):
+            level += 1
+            open_texts = texts.join(live.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+            sketched = materialize(sketches(open_texts, ORDERED[level]), "sketches")
+            live = materialize(_members(sketched), "members")
+        else:
+            parts *= MORE_CENTRES
+
+
+def _members(sketched: DataFrame) -> DataFrame:
+    """(id, n_words, key) of texts that share a key with another."""
+    keyed = sketched.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "n_words", F.explode("keys").alias("key"))
+    return _shared(keyed)
 
 
 def _shared(members: DataFrame) -> DataFrame:
@@ -303,8 +357,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("doc_id").alias("id"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys")
     )
     nodes = materialize(nodes, "nodes")
-    keyed = nodes.where("id IS NOT NULL").select("id", "n_words", F.explode("keys").alias("key"))
-    members = materialize(_shared(keyed), "members")
+    members = materialize(_members(nodes.withColumnRenamed("id", "doc_id")), "members")
     ids = members.select(F.col("id").alias("doc_id")).distinct()
     texts = materialize(lean.join(ids, "doc_id", "left_semi"), "texts")
     labels = components(_links(members, texts))
