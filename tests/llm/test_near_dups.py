@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -25,6 +26,22 @@ def test_banded_alignment(a, b, limit):
     assert got == (distance if distance <= limit else None)
 
 
+@pytest.mark.parametrize("few", [0, 1, 24])
+def test_long_alignments(few, monkeypatch):
+    """The part that goes by arrays, and the bounds before it."""
+    monkeypatch.setattr(nd, "FEW_EDITS", few)
+    rng = random.Random(few)
+    for _ in range(150):
+        a = [rng.randrange(rng.choice([3, 40])) for _ in range(rng.randrange(1, 70))]
+        b = list(a)
+        for _ in range(rng.randrange(25)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = [rng.randrange(40)] * rng.randrange(2)
+        distance, limit = levenshtein(a, b), rng.randrange(40)
+        got = nd.edit_distance(np.array(a, np.uint64), np.array(b, np.uint64), limit)
+        assert got == (distance if distance <= limit else None)
+
+
 def test_repeated_runs_are_labelled():
     words = nd.word_hashes("a b c d e a b c d e a b c d e")
     assert len(set(nd.labelled_runs(words).tolist())) == 11
