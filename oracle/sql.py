@@ -272,6 +272,15 @@ SELECT token AS token_mint_address, wallet AS trader_wallet, ts AS block_time,
 FROM own""",
 )
 
+_MISFIT = "COUNT(*) FILTER ({0} IS NOT NULL AND TRY_CAST({0} AS DECIMAL(38,18)) IS NULL)"
+ORACLE["trade_rejects"] = f"""
+SELECT {_MISFIT.format('l_quantity')} AS token_amount, {_MISFIT.format('l_extendedprice')} AS usd_amount,
+       COUNT(*) FILTER (NOT isfinite(l_extendedprice / l_quantity)) AS token_price,
+       COUNT(*) FILTER (l_shipdate IS NOT NULL AND TRY_CAST(l_shipdate AS TIMESTAMP) IS NULL) AS block_time,
+       CAST(0 AS BIGINT) AS blockchain, CAST(0 AS BIGINT) AS token_address, CAST(0 AS BIGINT) AS trader,
+       CAST(0 AS BIGINT) AS tx_id, CAST(0 AS BIGINT) AS trade_index
+FROM lineitem"""
+
 PRICE = f"SELECT token, {rd('price')} AS latest_price FROM quotes"
 ORACLE["latest_price_sided"] = compose(FILLS_HOURLY, newest("fills"), final=PRICE)
 ORACLE["latest_price_usd"] = compose(FILLS_PLAIN, newest("fills"), final=PRICE)

@@ -20,8 +20,8 @@ from walletscope.plans import rollups
 from walletscope.plans.flows import Flow, normalized_flow, sided_flow, usd_flow
 from walletscope.session import configure, materialize, new_folder
 from walletscope.sources import adapters as A
-from walletscope.sources import sinks
-from walletscope.sources.tables import sided_trades, signed_trades, until
+from walletscope.sources import schemas, sinks
+from walletscope.sources.tables import count_rejects, sided_trades, signed_trades, until
 from walletscope.streaming import alerts
 from walletscope.streaming.jobs import CATCH_UP, ActivityJob, PositionJob, read_trade_stream
 
@@ -116,6 +116,12 @@ def trades_normalized(spark, sf_dir):
     return trades.trades_normalized(rows, table, A.NORMALIZED_PARAMS)
 
 
+@query
+def trade_rejects(spark, sf_dir):
+    """Raw trade values that do not fit their type, by column: what an ingest reports before it drops them."""
+    return count_rejects(A.trades_signed(spark, sf_dir), schemas.TRADES_SIGNED)
+
+
 @query
 def latest_price_sided(spark, sf_dir):
     return trades.latest_price(until(sided_trades(A.trades_sided(spark, sf_dir)), A.SIDED_PARAMS))

@@ -45,14 +45,14 @@ def _conform(raw: DataFrame, field: T.StructField) -> Column:
 
 
 def count_rejects(raw: DataFrame, schema: T.StructType) -> DataFrame:
-    """One row: per column, how many present values do not fit the target type."""
-    return raw.agg(
-        *[
-            F.count_if(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()).alias(f.name)
-            for f in schema.fields
-            if f.name in raw.columns
-        ]
-    )
+    """One row: per column, how many present values do not fit the target type, or are no finite number."""
+
+    def misfit(field: T.StructField) -> Column:
+        kept = F.col(field.name).try_cast(field.dataType)
+        fits = F.abs(kept) < F.lit(float("inf")) if isinstance(field.dataType, T.DoubleType) else kept.isNotNull()
+        return F.col(field.name).isNotNull() & ~F.coalesce(fits, F.lit(False))
+
+    return raw.agg(*[F.count_if(misfit(f)).alias(f.name) for f in schema.fields if f.name in raw.columns])
 
 
 def within(df: DataFrame, params: Params, time_column: str = "block_time") -> DataFrame:
