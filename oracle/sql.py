@@ -6,9 +6,6 @@ Written from the meaning of each result, not from the Spark plans: prices by
 
 from __future__ import annotations
 
-from walletscope.functions import labels as L
-
-PUMP, BONK, BAGS = L.PROGRAMS
 WINDOW_START = "TIMESTAMP '2024-01-16'"
 NOW = "TIMESTAMP '2024-04-15'"
 TREND_START = "TIMESTAMP '2024-02-15'"
@@ -35,33 +32,42 @@ def hours(start: str, end: str) -> str:
     return f"date_sub('hour', {start}, {end})"
 
 
-def label(value: str, rungs, rest: str, sign: str) -> str:
-    arms = " ".join(f"WHEN {value} {sign} {bound} THEN '{text}'" for bound, text in rungs)
-    return f"(CASE {arms} ELSE '{rest}' END)"
+# Labels are spelled out here, so that a wrong one in the library shows.
 
 
 def tier(value: str) -> str:
-    return label(value, L.RETURN_TIER, L.RETURN_TIER_BELOW, ">=")
+    return f"""(CASE WHEN {value} >= 10000 THEN '100x+ (10000%+)' WHEN {value} >= 5000 THEN '50-99x (5000-9999%)'
+      WHEN {value} >= 2000 THEN '20-49x (2000-4999%)' WHEN {value} >= 1000 THEN '10-19x (1000-1999%)'
+      ELSE 'Under 10x' END)"""
 
 
 def band(value: str) -> str:
-    return label(value, L.RETURN_BAND, L.RETURN_BAND_BELOW, ">=")
+    return f"""(CASE WHEN {value} >= 10000 THEN '10000%+ (100x)' WHEN {value} >= 5000 THEN '5000-9999% (50-99x)'
+      WHEN {value} >= 2000 THEN '2000-4999% (20-49x)' WHEN {value} >= 1000 THEN '1000-1999% (10-19x)'
+      ELSE '<1000%' END)"""
 
 
 def kind(value: str) -> str:
-    return label(value, L.WALLET_TYPE, L.WALLET_TYPE_BELOW, ">=")
+    return f"""(CASE WHEN {value} >= 10 THEN 'Serial Moonshotter (10+)' WHEN {value} >= 5 THEN 'Frequent Moonshotter (5-9)'
+      WHEN {value} >= 3 THEN 'Regular Moonshotter (3-4)' WHEN {value} >= 2 THEN 'Occasional Moonshotter (2)'
+      ELSE 'One-Hit Wonder (1)' END)"""
 
 
 def size(value: str) -> str:
-    return label(value, L.SIZE_CLASS, L.SIZE_CLASS_BELOW, ">=")
+    return f"""(CASE WHEN {value} >= 100 THEN 'Whale (100+ SOL)' WHEN {value} >= 10 THEN 'Big Fish (10-100 SOL)'
+      WHEN {value} >= 1 THEN 'Regular (1-10 SOL)' ELSE 'Small Fish (<1 SOL)' END)"""
 
 
 def entry(value: str) -> str:
-    return label(value, L.ENTRY_TIMING, L.ENTRY_TIMING_ABOVE, "<=")
+    return f"""(CASE WHEN {value} <= 1 THEN 'Lightning Fast (<1h)' WHEN {value} <= 6 THEN 'Very Early (1-6h)'
+      WHEN {value} <= 24 THEN 'Early (6-24h)' WHEN {value} <= 168 THEN 'Within Week (1-7d)'
+      ELSE 'Late Entry (>7d)' END)"""
 
 
 def hold(value: str) -> str:
-    return label(value, L.HOLD_STRATEGY, L.HOLD_STRATEGY_ABOVE, "<=")
+    return f"""(CASE WHEN {value} <= 1 THEN 'Scalp (<1h)' WHEN {value} <= 24 THEN 'Day Trade (1-24h)'
+      WHEN {value} <= 168 THEN 'Swing (1-7d)' WHEN {value} <= 720 THEN 'Position (1-4w)'
+      ELSE 'Long Hold (>4w)' END)"""
 
 
 def compose(*parts: str, final: str) -> str:
@@ -452,7 +458,8 @@ SELECT pad AS launchpad_name, tokens AS total_tokens_launched, wallets AS unique
 FROM per_pad""",
 )
 
-_SUCCESS = " ".join(f"WHEN n{pct} >= {traders} THEN '{text}'" for pct, traders, text in L.TOKEN_SUCCESS)
+_SUCCESS = """WHEN n10000 >= 5 THEN 'Ultra Success' WHEN n5000 >= 10 THEN 'High Success'
+       WHEN n1000 >= 20 THEN 'Good Success' WHEN n1000 >= 5 THEN 'Moderate Success'"""
 _PER_TOKEN = f"""
 per_token AS (
   SELECT pad, token, launch_time, COUNT(DISTINCT wallet) AS wallets, COUNT(*) AS n,
@@ -471,7 +478,7 @@ SELECT pad AS launchpad_name, token AS token_mint_address, launch_time, wallets
        n10000 AS traders_with_10000plus, fastest AS fastest_entry_hours, {rd('avg_entry')} AS avg_entry_timing_hours,
        {rd('avg_hold')} AS avg_hold_duration_hours,
        {', '.join(f"{rd(f'n{p} * 100.0::DOUBLE / wallets')} AS pct_traders_{p}plus" for p in (1000, 5000, 10000))},
-       CASE {_SUCCESS} ELSE '{L.TOKEN_SUCCESS_BELOW}' END AS token_success_tier
+       CASE {_SUCCESS} ELSE 'Low Success' END AS token_success_tier
 FROM per_token""",
 )
 

@@ -19,7 +19,8 @@ from walletscope.params import NORMALIZED, SIDED, USD
 PART_TYPES = ("ECONOMY", "LARGE", "MEDIUM")  # in the order of PROGRAMS
 AS_OF = datetime(2024, 4, 15)
 
-USD_PARAMS = USD.with_(as_of=datetime(2002, 1, 1), lookback_days=2557)  # the whole history
+FIRST_DAY, LAST_DAY = datetime(1995, 1, 1), datetime(2002, 1, 1)  # ship dates lie between
+USD_PARAMS = USD.with_(as_of=LAST_DAY, lookback_days=(LAST_DAY - FIRST_DAY).days)
 SIDED_PARAMS = SIDED.with_(as_of=AS_OF)
 NORMALIZED_PARAMS = NORMALIZED.with_(as_of=AS_OF)
 # An event is worth about 10 and moves little, so thresholds are lower.
