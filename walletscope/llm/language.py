@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
+from walletscope.llm.common import checked_broadcast
 from walletscope.session import materialize
 
 WORD = re.compile(r"\w+")
@@ -169,7 +170,8 @@ def identify(
     claims /= claims.sum(axis=1, keepdims=True)
     whole = [(v + 1) / (sum(votes) + width) for v in votes]
 
-    priors = hosts.join(suffixes, "suffix")
+    # One row per host: broadcast if that is few, else adaptive execution splits the scores of a hot one.
+    priors = checked_broadcast(materialize(hosts.join(suffixes, "suffix"), "host-votes"))
     own = [F.when(F.col("vote") == i, 1).otherwise(0) for i in range(width)]
     voted = F.when(F.col("vote").isNull(), 0).otherwise(1)
     joined = scored.join(priors, ["host", "suffix"])
