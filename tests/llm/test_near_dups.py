@@ -133,3 +133,18 @@ def test_odd_rows(odd, empty):
     assert got[None]["class_id"] is None and got[None]["kept"]
     assert got[8]["class_id"] == 8 and got[9]["class_id"] == 9
     assert nd.op10_near_dups(empty).count() == 0
+
+
+def test_star_whose_original_has_the_largest_id(spark):
+    """Copies that are each similar to the original only: each has another part of it replaced."""
+    rng, rows = random.Random(11), []
+    original = _text(rng, 400)
+    for i in range(300):
+        at = rng.randrange(len(original) - 72)
+        rows.append((i, " ".join(original[:at] + [f"new{rng.randrange(10**6)}" for _ in range(72)] + original[at + 72 :])))
+    rows.append((999, " ".join(original)))
+    own = {i: nd.order_keys(nd.word_hashes(t)) for i, t in rows}
+    meets = {i for i in own if set(own[i].tolist()) & set(own[999].tolist())}
+    assert len(meets) > 295
+    got = classes(nd.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)))
+    assert {got[i] for i in meets} == {min(meets)}

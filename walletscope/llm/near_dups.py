@@ -9,13 +9,14 @@ word sequences, found in a band around the diagonal, leaves at least 0.8 of the
 longer one. Classes are the connected components of the links.
 
 Texts of equal words are one node. Each key's texts are compared with the one of
-the smallest id, the centre. Those not linked to it, such as texts that only
-share a common passage, go on under longer keys of the same samples (six, twelve,
-then 24 runs), which part them. Under the longest keys they go on among
-themselves with more centres a round, until all are linked or have been
-centres. So a group of copies costs one comparison a member, texts that share a
-passage aren't compared with each other, no row is dropped from a large group,
-and no group is gathered.
+the smallest id, the centre. In keys that then hold more than one class, the
+members outside the largest class are compared with more centres, settled ones
+and those of the largest classes first, and at last with every member of the key
+that is not in their class and whose length allows a link. So a group of copies
+costs one comparison a member, and no pair that shares a key goes unseen unless
+its class is known. Texts that share a passage but are not similar are compared
+with each other: those groups cost the square of their members of similar length.
+No row is dropped from a large group, and no group is gathered.
 
 Null texts count as empty. Texts without a word are equal if they are the same
 but for white space around them. Texts under five words have one run, so only
@@ -25,6 +26,7 @@ class and are kept. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -34,14 +36,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from walletscope.session import materialize
 
 WORDS = 5
 SAMPLES = 20
-ORDERED = (3, 6, 12, 24)  # runs in a key; longer keys for what shorter ones leave open
+ORDERED = 3  # runs in a key
 LEAST = 0.8
 WORD = re.compile(r"\w+")
 KNOWN_WORDS = 500_000
@@ -90,7 +92,7 @@ def labelled_runs(words: np.ndarray, size: int = WORDS) -> np.ndarray:
     return _mixed(runs)
 
 
-def order_keys(words: np.ndarray, ordered: int = ORDERED[0]) -> np.ndarray:
+def order_keys(words: np.ndarray, ordered: int = ORDERED) -> np.ndarray:
     """One key a sample, of its ``ordered`` smallest runs."""
     runs = labelled_runs(words)
     keep = min(ordered, len(runs))
@@ -112,7 +114,7 @@ def order_keys(words: np.ndarray, ordered: int = ORDERED[0]) -> np.ndarray:
     return keys
 
 
-def sketches(docs: DataFrame, ordered: int = ORDERED[0]) -> DataFrame:
+def sketches(docs: DataFrame, ordered: int = ORDERED) -> DataFrame:
     """doc_id, content (128 bits of the words), n_words, keys of every row of (doc_id, text)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,55 +260,69 @@ def _judged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return with_both.select("a", "b", "text_a", "text_b").mapInPandas(align, "a bigint, b bigint, linked boolean")
 
 
-def _pairs(members: DataFrame, centres: DataFrame) -> DataFrame:
-    """Each member with each centre of its key: key, id, and the pair's ids in order."""
-    return (
-        members.join(centres, "key")
-        .where(F.col("id") != F.col("centre"))
-        .select(
-            "key",
-            "id",
-            F.greatest("id", "centre").alias("a"),
-            F.least("id", "centre").alias("b"),
-            F.least("n_words", "centre_words").alias("shorter"),
-            F.greatest("n_words", "centre_words").alias("longer"),
-        )
+def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members of keys that hold more than one class, with their class (label), its size in the key, and whether it
+    is the key's largest (settled)."""
+    if labels is None:
+        classed = members.withColumn("label", F.col("id"))
+    else:
+        classed = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    sizes = classed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
+    tops = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", -F.col("label"))).alias("top"), F.count(F.lit(1)).alias("classes"))
+    tops = tops.where("classes > 1").select("key", "top")
+    return classed.join(tops, "key").join(sizes, ["key", "label"]).withColumn("settled", F.col("label") == F.col("top")).drop("top")
+
+
+def _centres(members: DataFrame, parts: int) -> DataFrame:
+    """Of each key's members, dealt into ``parts``, one a part: from the largest class, the smallest id.
+
+    With more parts, the smallest id of a class, which was first, comes last.
+    """
+    part = F.pmod(F.xxhash64("id", F.lit(parts)), F.lit(parts))
+    first = F.col("id") == F.col("label") if parts > 1 else F.lit(False)
+    best = F.min_by(F.struct("id", "n_words", "label"), F.struct(-F.col("size"), first, "id"))
+    centres = members.groupBy("key", part.alias("part")).agg(best.alias("c"))
+    return centres.select("key", F.col("c.id").alias("id"), F.col("c.n_words").alias("n_words"), F.col("c.label").alias("label"))
+
+
+def _pairs(members: DataFrame, others: DataFrame) -> DataFrame:
+    """Ids (a > b) of members of the key's smaller classes and of ``others`` of another class, of similar length.
+
+    Lengths are similar if they are in neighbouring bands, as all texts are that can be linked.
+    """
+
+    def band(words: str) -> Column:
+        return F.floor(F.log(F.greatest(F.col(words), F.lit(1))) / F.lit(math.log(1 / LEAST) * (1 + 1e-9)))
+
+    near = F.explode(F.array(*[band("n_words") + k for k in (-1, 0, 1)])).alias("band")
+    left = members.where("NOT settled").select("key", near, "id", "n_words", "label")
+    right = others.select(
+        "key", band("n_words").alias("band"), F.col("id").alias("to"), F.col("n_words").alias("m_words"), F.col("label").alias("to_label")
     )
+    alike = F.least("n_words", "m_words") >= F.greatest("n_words", "m_words") * LEAST - 1e-9
+    pairs = left.join(right, ["key", "band"]).where((F.col("label") != F.col("to_label")) & alike)
+    return pairs.select(F.greatest("id", "to").alias("a"), F.least("id", "to").alias("b")).distinct()
 
 
 def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Verified pairs (a, b) among texts that share a key."""
+    """Verified pairs (a, b) among texts that share a key; they connect all that any such pairs connect.
+
+    After the last round, every text has met all of its keys that are not in its class.
+    """
     judged: DataFrame | None = None
-    live, level, parts = members, 0, 1
-    while True:
-        part = F.pmod(F.xxhash64("id", F.lit(parts)), F.lit(parts))
-        centres = (
-            live.groupBy("key", part.alias("part"))
-            .agg(F.min("id").alias("centre"), F.min_by("n_words", "id").alias("centre_words"))
-            .drop("part")
-        )
-        pairs = _pairs(live, centres)
-        fresh = pairs.where(F.col("shorter") >= F.col("longer") * LEAST - 1e-9).select("a", "b").distinct()
+    labels: DataFrame | None = None
+    for parts in (1, MORE_CENTRES, None):
+        classed = materialize(_open(members, labels), "open-members")
+        if judged is not None and classed.isEmpty():
+            break
+        fresh = _pairs(classed, classed if parts is None else _centres(classed, parts))
         if judged is not None:
             fresh = fresh.join(judged, ["a", "b"], "left_anti")
         new = materialize(_judged(fresh, texts), "judged")
         judged = new if judged is None else judged.unionByName(new)
-        links = judged.where("linked").select("a", "b")
-        settled = (
-            pairs.join(links, ["a", "b"], "left_semi")
-            .select("key", "id")
-            .unionByName(centres.select("key", F.col("centre").alias("id")))
-        )
-        live = materialize(_shared(live.join(settled, ["key", "id"], "left_anti")), "open-members")
-        if live.isEmpty():
-            return links
-        if level + 1 < len(ORDERED):
-            level += 1
-            open_texts = texts.join(live.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-            sketched = materialize(sketches(open_texts, ORDERED[level]), "sketches")
-            live = materialize(_members(sketched), "members")
-        else:
-            parts *= MORE_CENTRES
+        if parts is not None:
+            labels = components(judged.where("linked").select("a", "b"))
+    return judged.where("linked").select("a", "b")
 
 
 def _members(sketched: DataFrame) -> DataFrame:
