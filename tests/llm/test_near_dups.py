@@ -143,8 +143,21 @@ def test_star_whose_original_has_the_largest_id(spark):
         at = rng.randrange(len(original) - 72)
         rows.append((i, " ".join(original[:at] + [f"new{rng.randrange(10**6)}" for _ in range(72)] + original[at + 72 :])))
     rows.append((999, " ".join(original)))
-    own = {i: nd.order_keys(nd.word_hashes(t)) for i, t in rows}
+    own = {i: nd.text_keys(nd.word_hashes(t)) for i, t in rows}
     meets = {i for i in own if set(own[i].tolist()) & set(own[999].tolist())}
     assert len(meets) > 295
     got = classes(nd.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)))
     assert {got[i] for i in meets} == {min(meets)}
+
+
+@pytest.mark.parametrize("n", [20, 60, 150, 400])
+def test_similar_texts_share_a_key(n):
+    """Pairs at and above the least similarity, edits scattered over the words."""
+    rng = random.Random(n)
+    for share in (0.1, 0.15, 0.2):
+        met = 0
+        for _ in range(100):
+            words = _text(rng, n)
+            pair = [nd.text_keys(nd.word_hashes(" ".join(w))) for w in (words, _edited(rng, words, int(n * share)))]
+            met += bool(set(pair[0].tolist()) & set(pair[1].tolist()))
+        assert met >= 97, (share, met)

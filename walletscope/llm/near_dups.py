@@ -1,12 +1,14 @@
-"""Near-duplicates by Order MinHash, verified by banded alignment.
+"""Near-duplicates by MinHash and Order MinHash, verified by banded alignment.
 
 A text is the sequence of its words (letters, digits and underscores, in lower
-case). Each run of five words, labelled with how often it has occurred before,
-is hashed once per sample; a sample keeps the three smallest and, in the order
-they have in the text, makes a key of them. Texts that share a key in one of 20
-samples are candidates. Two candidates are linked if the edit distance of their
-word sequences, found in a band around the diagonal, leaves at least 0.8 of the
-longer one. Classes are the connected components of the links.
+case). Runs of words, each labelled with how often it has occurred before, are
+hashed once per sample. A sample's key is the smallest run of five words; texts
+of up to 128 words, where few such runs outlive an edit, have a second key a
+sample, of the two smallest runs of two words in the order they have in the
+text. Texts that share one of these keys are candidates. Two candidates are linked
+if the edit distance of their word sequences, found in a band around the
+diagonal, leaves at least 0.8 of the longer one. Classes are the connected
+components of the links.
 
 Texts of equal words are one node. Each key's texts are compared with the one of
 the smallest id, the centre. In keys that then hold more than one class, the
@@ -42,13 +44,16 @@ from pyspark.sql import functions as F
 from walletscope.session import materialize
 
 WORDS = 5
-SAMPLES = 20
-ORDERED = 3  # runs in a key
+SAMPLES = 32
+SHORT_TEXT = 128  # words of texts that have keys of short runs too
+SHORT_WORDS = 2
+ORDERED = 2  # short runs in a key
 LEAST = 0.8
 WORD = re.compile(r"\w+")
 KNOWN_WORDS = 500_000
 MATRIX = 2_000_000  # hashes held at a time for one text
 FEW_EDITS = 24
+BOUNDS_AFTER = 3  # edits tried before the bounds, which most pairs of strangers fail
 SHORT_SLIDE = 12
 MORE_CENTRES = 16
 
@@ -92,9 +97,9 @@ def labelled_runs(words: np.ndarray, size: int = WORDS) -> np.ndarray:
     return _mixed(runs)
 
 
-def order_keys(words: np.ndarray, ordered: int = ORDERED) -> np.ndarray:
-    """One key a sample, of its ``ordered`` smallest runs."""
-    runs = labelled_runs(words)
+def order_keys(words: np.ndarray, size: int = SHORT_WORDS, ordered: int = ORDERED) -> np.ndarray:
+    """One key a sample, of its ``ordered`` smallest runs of ``size`` words."""
+    runs = labelled_runs(words, size)
     keep = min(ordered, len(runs))
     keys = np.zeros(SAMPLES, np.uint64)
     step = max(1, MATRIX // len(runs))
@@ -114,7 +119,13 @@ def order_keys(words: np.ndarray, ordered: int = ORDERED) -> np.ndarray:
     return keys
 
 
-def sketches(docs: DataFrame, ordered: int = ORDERED) -> DataFrame:
+def text_keys(words: np.ndarray) -> np.ndarray:
+    """All keys under which a text meets others."""
+    keys = order_keys(words, WORDS, 1)
+    return keys if len(words) > SHORT_TEXT else np.concatenate([keys, order_keys(words)])
+
+
+def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, content (128 bits of the words), n_words, keys of every row of (doc_id, text)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,9 +135,10 @@ def sketches(docs: DataFrame, ordered: int = ORDERED) -> DataFrame:
                 words = word_hashes(text)
                 content.append(xxhash.xxh3_128_hexdigest(words.tobytes()))
                 sizes.append(len(words))
-                keys.append(order_keys(words, ordered))
+                keys.append(text_keys(words))
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * SAMPLES, pa.int32()), pa.array(flat))
+            ends = np.cumsum([0, *map(len, keys)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(content, pa.string()), pa.array(sizes, pa.int32()), lists],
                 ["doc_id", "content", "n_words", "keys"],
@@ -159,9 +171,11 @@ def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     band = _Band(a, b)
     quick = min(limit, FEW_EDITS)
     for edits in range(1, quick + 1):
+        if edits == BOUNDS_AFTER and any(_least_edits(a, b, size) > limit for size in (1, 2, 3)):
+            return None
         if band.step(edits, limit):
             return edits
-    if quick == limit or any(_least_edits(a, b, size) > limit for size in (1, 2, 3)):
+    if quick == limit or quick < BOUNDS_AFTER and any(_least_edits(a, b, size) > limit for size in (1, 2, 3)):
         return None
     return band.rest(quick, limit)
 
@@ -327,7 +341,7 @@ def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _members(sketched: DataFrame) -> DataFrame:
     """(id, n_words, key) of texts that share a key with another."""
-    keyed = sketched.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "n_words", F.explode("keys").alias("key"))
+    keyed = sketched.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "n_words", F.explode(F.array_distinct("keys")).alias("key"))
     return _shared(keyed)
 
 
