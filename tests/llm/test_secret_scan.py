@@ -86,3 +86,16 @@ def test_odd_rows(odd, empty):
     rows = ss.op3_secret_scan(odd).collect()
     assert len(rows) == odd.count() and {r["spans"] for r in rows if r["doc_id"] in (1, 2, 3)} == {""}
     assert ss.op3_secret_scan(empty).count() == 0
+
+
+def test_long_runs_of_separators_end():
+    for run in ("_", "-", "/", "=", "+", "_/"):
+        assert ss.find_spans(f"Name{run * 10_000}1") == []
+
+
+def test_allowed_words_suppress_their_part_only():
+    secret = "xK9vB3nQ8zQ2w7Lm4RtP"
+    for text, at in ((f"home/example/{secret}", 13), (f"{secret}/changeme1", 0)):
+        spans = [(a, b) for a, kind, b in ss.find_spans(text) if kind == 3]
+        assert spans and spans[0][0] <= at and spans[-1][1] >= at + 20, text
+    assert ss.find_spans(f"my-{secret}example-words") == []

@@ -10,8 +10,9 @@ its characters, and the sum of ``c * log2(c)`` over them, are updated by the
 character that enters and the one that leaves. Windows at or above the threshold
 of the candidate's class (hexadecimal, or mixed) are joined to spans.
 Candidates on the allow-list give none: plain words (letters, joined by hyphens,
-slashes or underscores), numbers, UUIDs, dates, repeated single characters, and
-those that contain an allowed word.
+slashes or underscores), numbers, UUIDs, dates, and repeated single characters.
+A part between separators that contains an allowed word gives none either; what
+stands before and after it is judged by itself.
 
 Spans are code points, end exclusive. Null and empty texts have no spans. Every
 row of the input gives one row; an empty table gives an empty result.
@@ -45,9 +46,10 @@ HEX_CLASS = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 #: Bits a character, by class, for windows of 20.
 THRESHOLD = {"hex": 3.0, "mixed": 3.8}
 ALLOWED = re.compile(
-    r"[A-Za-z]+(?:[-_/+=]+[A-Za-z]*)*\Z|[0-9]+(?:[-/_][0-9]+)*\Z|(.)\1*\Z"
+    r"[A-Za-z][-A-Za-z_/+=]*\Z|[0-9]+(?:[-/_][0-9]+)*\Z|(.)\1*\Z"
     r"|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\Z"
 )
+PART = re.compile(r"[A-Za-z0-9]+")
 ALLOWED_WORDS = ("example", "placeholder", "changeme")
 _CLOG = [0.0, *(c * log2(c) for c in range(1, WINDOW + 1))]
 
@@ -55,8 +57,18 @@ Span = tuple[int, int, int]  # start, number of the kind, end
 
 
 def allowed(candidate: str) -> bool:
-    low = candidate.lower()
-    return bool(ALLOWED.match(candidate)) or any(w in low for w in ALLOWED_WORDS)
+    return bool(ALLOWED.match(candidate))
+
+
+def stretches(candidate: str) -> Iterator[tuple[int, str]]:
+    """What is left of a candidate without its parts that hold an allowed word, as (start, characters)."""
+    at, low = 0, candidate.lower()
+    if any(w in low for w in ALLOWED_WORDS):
+        for part in PART.finditer(candidate):
+            if any(w in part[0].lower() for w in ALLOWED_WORDS):
+                yield at, candidate[at : part.start()]
+                at = part.end()
+    yield at, candidate[at:]
 
 
 def entropy_spans(candidate: str) -> list[tuple[int, int]]:
@@ -99,8 +111,9 @@ def find_spans(text: str | None) -> list[Span]:
             spans += [
                 (start + m.start(), kind, start + m.end()) for m in pattern.finditer(run) if m.end() - m.start() >= least
             ]
-        if not allowed(run):
-            spans += [(start + a, 3, start + b) for a, b in entropy_spans(run)]
+        for at, left in stretches(run):
+            if len(left) >= WINDOW and not allowed(left):
+                spans += [(start + at + a, 3, start + at + b) for a, b in entropy_spans(left)]
     return sorted(spans)
 
 
