@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from walletscope.llm import exact_dedup, fingerprints, hard_negatives, html_text, language, near_dups, packing, secret_scan, sharding, token_counts, word_bpe
+from walletscope.llm import collocations, exact_dedup, fingerprints, hard_negatives, html_text, language, near_dups, packing, secret_scan, sharding, token_counts, word_bpe
 from walletscope.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,10 +37,12 @@ QUERIES: dict[str, Query] = {
     "op9_packing": _over("documents", packing.op9_packing),
     "op10_near_dups": _over("documents", near_dups.op10_near_dups),
     "op11_hard_negatives": _over("embeddings", hard_negatives.op11_hard_negatives),
+    "op12_collocations": _over("documents", collocations.op12_collocations),
     "pages_language": pages_language,
 }
 
 ORACLE: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op11_hard_negatives": hard_negatives.ORACLE,
+    "op12_collocations": collocations.ORACLE,
 }
