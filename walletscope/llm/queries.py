@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from walletscope.llm import collocations, exact_dedup, fingerprints, hard_negatives, html_text, language, near_dups, packing, secret_scan, sharding, token_counts, word_bpe
+from walletscope.llm import collocations, exact_dedup, fingerprints, hard_negatives, html_text, katz, language, near_dups, packing, secret_scan, sharding, token_counts, word_bpe
 from walletscope.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,7 @@ QUERIES: dict[str, Query] = {
     "op10_near_dups": _over("documents", near_dups.op10_near_dups),
     "op11_hard_negatives": _over("embeddings", hard_negatives.op11_hard_negatives),
     "op12_collocations": _over("documents", collocations.op12_collocations),
+    "op13_katz": _over("documents", katz.op13_katz),
     "pages_language": pages_language,
 }
 
