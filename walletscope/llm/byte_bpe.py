@@ -7,7 +7,8 @@ to merge leave; the rest go on.
 
 Texts are cut at single spaces first: a space that stands alone always begins a
 pre-token. The pieces repeat, so each distinct one is encoded once per worker
-and kept in a cache of bounded size.
+and kept in a cache of bounded size. What is a letter or a number is the
+library's answer, see ``characters``.
 """
 
 from __future__ import annotations
@@ -18,17 +19,22 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import regex
 
+from walletscope.llm.characters import SPACES, Characters, characters
 from walletscope.llm.recent import Recent
 
-#: The pattern of the vocabulary's pre-tokens, with white space as Unicode defines it.
-PATTERN = regex.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
-    r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-)
+
+def pattern(classes: Characters) -> re.Pattern[str]:
+    """The vocabulary's pre-tokens."""
+    letter, number, space = classes.letters, classes.numbers, SPACES
+    return re.compile(
+        f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+"
+        f"|[{space}]+(?![^{space}])|[{space}]+"
+    )
+
+
 RUN_OF_SPACE = re.compile(r" \s|\x00")
-_MARKS = tuple(".,;:!?")
+_MARKS = frozenset(".,;:!?")
 _NO_RANK = np.iinfo(np.int32).max
 
 
@@ -40,7 +46,8 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class ByteBpe:
-    def __init__(self, path: str):
+    def __init__(self, path: str, classes: Characters):
+        self.pattern, self._letters = pattern(classes), re.compile(f"[{classes.letters}]+")
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -54,7 +61,10 @@ class ByteBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.made = np.array([vocab[a + b] for a, b in merges], np.int64)  # by rank
-        self._special = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")")
+        self._special = re.compile("(" + "|".join(re.escape(t) for t in self.special) + ")")
+        # Ranks of pairs of bytes, which all first looks are for.
+        codes = np.arange(256)
+        self._byte_ranks = self._rank(*(self.of_byte[c.reshape(-1)] for c in np.meshgrid(codes, codes, indexing="ij")))
         self._ids, self._counts = Recent(), Recent()
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -67,9 +77,10 @@ class ByteBpe:
         counts = np.fromiter(map(len, pretokens), np.int64, len(pretokens))
         owners = np.flatnonzero(counts)
         sizes = counts[owners]
-        symbols = self.of_byte[np.frombuffer(b"".join(pretokens), np.uint8)]
+        data = np.frombuffer(b"".join(pretokens), np.uint8)
+        symbols = self.of_byte[data]
         ranks = np.full(len(symbols), _NO_RANK, np.int32)  # of the pair that begins at each symbol
-        ranks[:-1] = self._rank(symbols[:-1], symbols[1:])
+        ranks[:-1] = self._byte_ranks[data[:-1].astype(np.int32) << 8 | data[1:]]
         ranks[np.cumsum(sizes) - 1] = _NO_RANK
         done_ids, done_owners = [], []
         while len(owners):
@@ -119,7 +130,7 @@ class ByteBpe:
             if i % 2:
                 parts.append(part)
             elif RUN_OF_SPACE.search(part):
-                parts += PATTERN.findall(part)
+                parts += self.pattern.findall(part)
             elif part:
                 parts += part.replace(" ", "\0 ").split("\0")
         return parts
@@ -128,17 +139,23 @@ class ByteBpe:
         """Puts all pieces into the cache: their ids as bytes, or how many they have."""
         new = list(cache.missing(set(chain.from_iterable(cut))).difference(self.special))
         cache.add((t, 1 if only_counts else np.uint32(i).tobytes()) for t, i in self.special.items())
-        if new:
-            split = list(map(pretokens, new))
-            distinct = list(dict.fromkeys(chain.from_iterable(split)))
+        # A word with the space before it is a pre-token as it is.
+        plain, mixed = [], []
+        for piece in new:
+            word = piece[1:] if piece[:1] == " " else piece
+            (plain if word.isalpha() and (word.isascii() or self._letters.fullmatch(word)) else mixed).append(piece)
+        split = list(map(self.pretokens, mixed))
+        distinct = [*plain, *set(chain.from_iterable(split)).difference(plain)]
+        if distinct:
             ids, counts = self.merge([p.encode("utf-8", "surrogatepass") for p in distinct], only_counts)
             if only_counts:
-                of, join = dict(zip(distinct, counts.tolist(), strict=True)), sum
+                values, join = counts.tolist(), sum
             else:
                 flat, ends = ids.tobytes(), (np.cumsum(counts) * 4).tolist()
-                of = {p: flat[x:y] for p, x, y in zip(distinct, [0, *ends], ends, strict=False)}
-                join = b"".join
-            cache.add((p, of[s[0]] if len(s) == 1 else join([of[x] for x in s])) for p, s in zip(new, split, strict=True))
+                values, join = [flat[x:y] for x, y in zip([0, *ends], ends, strict=False)], b"".join
+            cache.add(zip(plain, values, strict=False))
+            of = dict(zip(distinct, values, strict=True))
+            cache.add((p, join([of[x] for x in s])) for p, s in zip(mixed, split, strict=True))
         return cache.young
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
@@ -153,18 +170,16 @@ class ByteBpe:
         known = self._learn(cut, self._counts, only_counts=True)
         return [sum(map(known.__getitem__, c)) for c in cut]
 
-
-def pretokens(piece: str) -> list[str]:
-    """The pre-tokens of a piece; a word, and a word with a mark behind it, need no search."""
-    word = piece[1:] if piece[:1] == " " else piece
-    if word.isalpha():
-        return [piece]
-    if word[-1:] in _MARKS and word[:-1].isalpha():
-        return [piece[:-1], piece[-1]]
-    return PATTERN.findall(piece)
+    def pretokens(self, piece: str) -> list[str]:
+        """The pre-tokens of a piece; a plain word with a mark behind it needs no search."""
+        if piece[-1:] in _MARKS:
+            word = piece[1:-1] if piece[0] == " " else piece[:-1]
+            if word.isascii() and word.isalpha():
+                return [piece[:-1], piece[-1]]
+        return self.pattern.findall(piece)
 
 
 @lru_cache(maxsize=4)
-def load(path: str) -> ByteBpe:
-    """One tokenizer per worker process, with its cache."""
-    return ByteBpe(path)
+def load(path: str, classes: Characters | None = None) -> ByteBpe:
+    """One tokenizer per worker process, with its cache; tasks pass the classes that the driver asked for."""
+    return ByteBpe(path, classes or characters())

@@ -9,14 +9,20 @@ from collections.abc import Callable
 from functools import lru_cache
 from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import walletscope
 from walletscope.session import materialize
 
-#: Folder of the public vocabulary files; a parameter of every operator that needs one.
-TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
+def vocabulary_file(name: str) -> str:
+    """Where a public vocabulary file lies: in the installed package, or in the folder TOKENIZER_DIR names."""
+    folder = os.environ.get("TOKENIZER_DIR")
+    return f"{folder}/{name}" if folder else public_tokenizers.path(name)
+
+
 #: Rows of an Arrow batch. Texts differ in length a thousandfold, so batches are small.
 BATCH_ROWS = 256
 

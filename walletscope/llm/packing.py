@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from walletscope.llm import byte_bpe
-from walletscope.llm.common import TOKENIZER_DIR
+from walletscope.llm.characters import characters
+from walletscope.llm.common import vocabulary_file
 from walletscope.llm.sharding import numbered
 from walletscope.session import materialize
 
-VOCABULARY = f"{TOKENIZER_DIR}/byte_bpe_50k.json"
+VOCABULARY = vocabulary_file("byte_bpe_50k.json")
 WINDOW = 1024
 UNIT = 4
 END_ID = 0
@@ -40,9 +41,10 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 
 def tokenized_pieces(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Full windows of each document, and its rest, with the checksum of their ids."""
+    classes = characters()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = byte_bpe.load(vocabulary)
+        bpe = byte_bpe.load(vocabulary, classes)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows = []

@@ -15,17 +15,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 from walletscope.llm import byte_bpe
-from walletscope.llm.common import TOKENIZER_DIR
+from walletscope.llm.characters import characters
+from walletscope.llm.common import vocabulary_file
 
-VOCABULARY = f"{TOKENIZER_DIR}/byte_bpe_50k.json"
+VOCABULARY = vocabulary_file("byte_bpe_50k.json")
 LIMIT = 1024
 
 
 def token_count(text: Column, vocabulary: str = VOCABULARY) -> Column:
+    classes = characters()
+
     @pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(byte_bpe.load(vocabulary).count_batch(texts.tolist()), dtype="int64")
+            yield pd.Series(byte_bpe.load(vocabulary, classes).count_batch(texts.tolist()), dtype="int64")
 
     return count(F.coalesce(text, F.lit("")))
 

@@ -11,7 +11,13 @@ are kept in a table once they are judged.
 Ids decode by an offset table: the strings of all tokens lie end to end in one
 buffer, and an id's string is the slice between two offsets.
 
-Texts are prepared as the vocabulary file says: NFC, white space, lower case.
+Texts are prepared as the vocabulary file says: NFC, white space, lower case. What
+is a letter, a number or lower case is the library's answer, see ``characters``.
+
+Whole texts of any length are encoded, word by word; a word takes time in
+proportion to its length. Equal texts and repeated rows have equal results, one row
+each. Null texts count as empty: no ids, and the digests of the empty string. Ids
+may be null. An empty table gives an empty result; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -27,19 +33,18 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 from walletscope.llm.byte_bpe import byte_alphabet
-from walletscope.llm.common import TOKENIZER_DIR
+from walletscope.llm.characters import SPACES, Characters, characters
+from walletscope.llm.common import vocabulary_file
 from walletscope.llm.recent import Recent
 
-VOCABULARY = f"{TOKENIZER_DIR}/word_bpe_49k.json"
+VOCABULARY = vocabulary_file("word_bpe_49k.json")
 PAIRS = 1_600_000
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
-SPACE = regex.compile(r"\p{White_Space}+")
+SPACE = re.compile(f"[{SPACES}]+")
 END = "</w>"
 _STOP = "\0"  # one character for the mark of a word's end; no byte's character is below 33
 
@@ -140,8 +145,15 @@ class Vocabulary:
         return ids
 
 
+def pattern(classes: Characters) -> re.Pattern[str]:
+    """The vocabulary's words."""
+    letter, number = classes.letters, classes.numbers
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{SPACES}{letter}{number}]+")
+
+
 class WordBpe:
-    def __init__(self, path: str):
+    def __init__(self, path: str, classes: Characters):
+        self.classes, self.pattern = classes, pattern(classes)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         vocab = spec["model"]["vocab"]
@@ -160,9 +172,7 @@ class WordBpe:
         self._numbers = OffsetTable([f"{i} " for i in range(len(by_id))])
 
     def prepared(self, part: str) -> str:
-        text = SPACE.sub(" ", unicodedata.normalize("NFC", part))
-        # Lower case letter by letter: a final sigma has no form of its own.
-        return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+        return self.classes.lowered(SPACE.sub(" ", unicodedata.normalize("NFC", part)))
 
     def pieces(self, text: str) -> list[str]:
         out: list[str] = []
@@ -178,7 +188,7 @@ class WordBpe:
         cut, pieces, words = list(map(self.pieces, texts)), self._pieces, self._words
         new = list(pieces.missing(set(chain.from_iterable(cut))).difference(self.special))
         pieces.add((t, np.uint32(i).tobytes()) for t, i in self.special.items())
-        split = [[p] if p.isalpha() else WORD.findall(p) for p in new]
+        split = [[p] if p.isascii() and p.isalpha() else self.pattern.findall(p) for p in new]
         words.add([(w, self._encoded(w)) for w in words.missing(set(chain.from_iterable(split)))])
         pieces.add((p, b"".join([words.young[w] for w in s])) for p, s in zip(new, split, strict=True))
         return [np.frombuffer(b"".join(map(pieces.young.__getitem__, c)), "<u4") for c in cut]
@@ -210,17 +220,18 @@ class OffsetTable:
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> WordBpe:
-    """One tokenizer per worker process, with its cache."""
-    return WordBpe(path)
+def load(path: str, classes: Characters | None = None) -> WordBpe:
+    """One tokenizer per worker process, with its cache; tasks pass the classes that the driver asked for."""
+    return WordBpe(path, classes or characters())
 
 
 def op7_word_bpe(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Every text encoded, and its ids decoded. Null texts count as empty: no tokens, digests of the empty string."""
+    """Every text encoded, and its ids decoded."""
+    classes = characters()
 
     @pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        bpe = load(vocabulary)
+        bpe = load(vocabulary, classes)
         for texts in batches:
             rows = [
                 (len(ids), hashlib.sha256(bpe.written(ids)).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest())
