@@ -12,29 +12,43 @@ SPIKE_FACTOR = 3.0
 SPIKE_MIN_TRADES = 3
 
 
-OLD, NEW = "old", "new"
+MOONSHOT, TOKEN = "moonshot", "token"
 
 
-def both_versions(partials: DataFrame, batch: int) -> DataFrame:
-    """Ledger rows before a batch (``version`` old) and with it (new), in one table."""
-    versions = F.when(F.col("batch") < batch, F.array(F.lit(OLD), F.lit(NEW))).otherwise(F.array(F.lit(NEW)))
-    return partials.withColumn("version", F.explode(versions))
+def above(crossings: DataFrame) -> DataFrame:
+    """(kind, token, wallet) now above their threshold, by the last crossing of each. Tokens have the wallet NULL."""
+    last = crossings.groupBy("kind", "token", "wallet").agg(F.max_by("above", "batch").alias("above"))
+    return last.where("above").drop("above")
 
 
-def _gained(df: DataFrame, keys: list[str]) -> DataFrame:
-    new, old = (df.where(F.col("version") == version).drop("version") for version in (NEW, OLD))
-    return new.join(old.select(*keys), keys, "left_anti")
+def _successful(shots: DataFrame, params: Params) -> DataFrame:
+    traders = shots.groupBy("token").agg(F.count("*").alias("moonshot_traders"))
+    return traders.where(F.col("moonshot_traders") >= params.min_moonshot_traders)
 
 
-def new_moonshots(shots: DataFrame) -> DataFrame:
-    """Positions that reached the return threshold with the newest trades."""
-    return _gained(shots, ["token", "wallet"])
+def _of_kind(before: DataFrame, kind: str, *keys: str) -> DataFrame:
+    return before.where(F.col("kind") == kind).select(*keys)
 
 
-def new_successful_tokens(shots: DataFrame, params: Params) -> DataFrame:
-    """Tokens that reached the required number of moonshot traders with the newest trades."""
-    traders = shots.groupBy("version", "token").agg(F.count("*").alias("moonshot_traders"))
-    return _gained(traders.where(F.col("moonshot_traders") >= params.min_moonshot_traders), ["token"])
+def new_moonshots(shots: DataFrame, before: DataFrame) -> DataFrame:
+    """Positions that reached the return threshold; ``before`` are those above it until now."""
+    return shots.join(_of_kind(before, MOONSHOT, "token", "wallet"), ["token", "wallet"], "left_anti")
+
+
+def new_successful_tokens(shots: DataFrame, before: DataFrame, params: Params) -> DataFrame:
+    """Tokens that reached the required number of moonshot traders."""
+    return _successful(shots, params).join(_of_kind(before, TOKEN, "token"), "token", "left_anti")
+
+
+def crossings(shots: DataFrame, before: DataFrame, params: Params) -> DataFrame:
+    """What went above a threshold or below it: all that has to be known of the past for the next alerts."""
+    now = shots.select(F.lit(MOONSHOT).alias("kind"), "token", "wallet").unionByName(
+        _successful(shots, params).select(F.lit(TOKEN).alias("kind"), "token", F.lit(None).cast("string").alias("wallet"))
+    )
+    both = now.select("*", F.lit(True).alias("above")).unionByName(before.select("*", F.lit(False).alias("above")))
+    # What stands on one side only has crossed: up if it is now, down if it was.
+    sides = both.groupBy("kind", "token", "wallet").agg(F.count("*").alias("sides"), F.bool_or("above").alias("above"))
+    return sides.where("sides = 1").drop("sides")
 
 
 def hourly_activity(trades: DataFrame) -> DataFrame:

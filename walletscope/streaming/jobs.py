@@ -1,4 +1,4 @@
-"""Structured Streaming jobs around the ledger.
+"""Structured Streaming jobs: positions with alerts, and activity.
 
 A job started on a folder that already holds history reads it in its first
 batches: the backfill and the refresh are the same code. Use a trigger of ten
@@ -7,113 +7,166 @@ minutes for a live job and ``availableNow`` to catch up and stop.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from walletscope.functions.scalars import instant
+from walletscope.functions.scalars import AMOUNT, instant
 from walletscope.operators.joins import LIMITS, JoinLimits, join_by_key
 from walletscope.operators.returns import moonshots, with_returns
 from walletscope.params import Params
 from walletscope.session import materialize, scratch
 from walletscope.sources.schemas import TRADES_SIGNED
-from walletscope.sources.tables import signed_trades, since
+from walletscope.sources.tables import signed_trades
 from walletscope.streaming import alerts
-from walletscope.streaming.ledger import Ledger, bucket_of, positions_from_partials
+from walletscope.streaming import partials as P
 
 REFRESH = {"processingTime": "10 minutes"}
 CATCH_UP = {"availableNow": True}
+BUCKETS = 8
+ARRIVALS = "arrivals"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_trade_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(TRADES_SIGNED).parquet(folder)
 
 
-class PositionJob:
-    """Keeps the ledger of one folder of trades and records alerts.
+def bucket_of(token: str = "token") -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
 
-    The history window moves with the data: each batch is evaluated as of the
-    newest trade seen so far, which is stored with the batch, so that a repeat
-    gives the same. Trades from before the window are left out on arrival.
-    Every ``compact_every`` batches the ledger is merged and expired days go.
+class PositionJob:
+    """Keeps positions of one stream of trades up to date and records alerts.
+
+    Spark keeps the state: ids of trades already counted, and partial results per
+    token, wallet and day. Both leave it by the watermark, a day more than the
+    history window behind the newest trade, so late trades inside the window count
+    and repeated ones don't. With each batch Spark hands on the keys that changed,
+    which go to a table of changes, a folder a batch, split by a hash of the token;
+    a repeated batch overwrites its folder.
+
+    The window moves with the data: each batch is evaluated as of the newest trade
+    seen so far. Trades later than the clock (the trigger's time, which Spark
+    stores with the batch, or a fixed one) are no trades yet: they are counted as
+    rejects and left out.
     """
 
     def __init__(
-        self, spark: SparkSession, root: str, params: Params, limits: JoinLimits = LIMITS, compact_every: int = 144
+        self, spark: SparkSession, root: str, params: Params, limits: JoinLimits = LIMITS, clock: datetime | None = None
     ):
-        self.spark, self.root, self.params, self.limits = spark, root.rstrip("/"), params, limits
-        self.compact_every = compact_every
-        self.ledger = Ledger(spark, f"{self.root}/ledger", limits)
-        spark.createDataFrame([], "as_of timestamp_ntz").write.mode("ignore").parquet(f"{self.root}/as_of/batch=-1")
-
-    def _moment(self, upto: int | None = None, exactly: int | None = None) -> datetime | None:
-        stored = self.spark.read.schema("as_of timestamp_ntz, batch bigint").parquet(f"{self.root}/as_of")
-        if upto is not None:
-            stored = stored.where(F.col("batch") <= upto)
-        if exactly is not None:
-            stored = stored.where(F.col("batch") == exactly)
-        return stored.agg(F.max("as_of")).first()[0]
+        self.spark, self.root, self.params, self.limits, self.clock = spark, root.rstrip("/"), params, limits, clock
+        # Empty first entries, so that every table can be read from the start.
+        self.schemas = {
+            "as_of": "as_of timestamp_ntz",
+            "changes": f"{P.SCHEMA}, bucket int",
+            "crossings": "kind string, token string, wallet string, above boolean, bucket int",
+        }
+        for table, schema in self.schemas.items():
+            rows = spark.createDataFrame([], schema).write.mode("ignore")
+            rows = rows.partitionBy("bucket") if "bucket" in schema else rows
+            rows.parquet(f"{self.root}/{table}/batch=-1")
+
+    def _stored(self, table: str, upto: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame:
+        """Rows of all batches, or of those up to one; of some buckets only."""
+        rows = self.spark.read.schema(f"{self.schemas[table]}, batch bigint").parquet(f"{self.root}/{table}")
+        rows = rows if upto is None else rows.where(F.col("batch") <= upto)
+        return rows if buckets is None else rows.where(F.col("bucket").isin(list(buckets)))
+
+    def _write(self, rows: DataFrame, table: str, batch: int) -> None:
+        rows.withColumn("bucket", bucket_of()).write.mode("overwrite").partitionBy("bucket").parquet(
+            f"{self.root}/{table}/batch={batch}"
+        )
 
     def current(self, upto: int | None = None) -> Params:
         """The parameters as of the newest trade of all batches, or of those up to one."""
-        moment = self._moment(upto)
+        moment = self._stored("as_of", upto).agg(F.max("as_of")).first()[0]
         return self.params if moment is None else self.params.with_(as_of=moment)
 
     def returns(self) -> DataFrame:
-        """Evaluated positions over everything stored so far."""
-        return with_returns(positions_from_partials(self.ledger.partials(), self.current(), self.limits))
+        """Evaluated positions over everything counted so far."""
+        params = self.current()
+        inside = self._stored("changes").where(F.col("trade_date") >= F.lit(params.window_start.date()))
+        return with_returns(P.positions_from_partials(P.latest(inside), params, self.limits))
 
     def alerts(self, kind: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{kind}")
 
-    def process(self, raw_batch: DataFrame, batch: int) -> None:
-        """One micro-batch. Every output is a folder named by the batch, so a repeat changes nothing."""
+    def partials(self, stream: DataFrame) -> DataFrame:
+        """The stateful part: each trade once, up to the clock, summed per token, wallet and day."""
+        now = F.current_timestamp() if self.clock is None else F.lit(self.clock.isoformat(sep=" ") + "+00:00").cast("timestamp")
+        at = P.instant_of("block_time")
+        later = F.coalesce(at > now, F.lit(False))
+        misfits = {c: F.col(c).isNotNull() & F.col(c).try_cast(AMOUNT).isNull() for c in ("token_amount", "usd_amount")}
+        counted = stream.observe(
+            ARRIVALS,
+            F.count("*").alias("rows"),
+            F.count_if(later).alias("later_than_clock"),
+            F.count_if(F.col("block_time").isNull()).alias("without_time"),
+            *[F.count_if(misfit).alias(f"misfit_{c}") for c, misfit in misfits.items()],
+        )
+        trades = signed_trades(counted.where(~later)).withColumn("instant", at)
+        once = trades.select("*", *P.identity()).withWatermark("instant", f"{self.params.lookback_days + 1} days")
+        return P.daily_partials(once.dropDuplicatesWithinWatermark(["id_1", "id_2"]), "instant")
+
+    def process(self, changed: DataFrame, batch: int) -> None:
+        """One micro-batch of changed partials. Every output is a folder named by the batch, so a repeat changes nothing."""
         with scratch(self.spark):
-            self._process(raw_batch, batch)
-
-    def _as_of(self, trades: DataFrame, batch: int) -> Params:
-        """The parameters of a batch; its moment is written before anything else and kept in a repeat."""
-        if self._moment(exactly=batch) is None:
-            newest, before = trades.agg(F.max("block_time")).first()[0], self._moment(upto=batch)
-            known = [m for m in (newest, before) if m is not None]
-            if known:
-                row = self.spark.createDataFrame([(max(known),)], "as_of timestamp_ntz")
-                row.write.mode("overwrite").parquet(f"{self.root}/as_of/batch={batch}")
-        return self.current(upto=batch)
-
-    def _process(self, raw_batch: DataFrame, batch: int) -> None:
-        arrived = materialize(signed_trades(raw_batch), "arrived")
-        params = self._as_of(arrived, batch)
-        fresh = materialize(self.ledger.unseen(since(arrived, params.window_start), batch), "fresh")
-        self.ledger.append(fresh, batch)
-
-        # A new price moves every holder of the token: compare all positions of touched tokens.
-        touched = fresh.select("token", bucket_of().alias("bucket")).distinct()
+            self._process(changed, batch)
+
+    def _as_of(self, changed: DataFrame, batch: int) -> Params:
+        newest, before = changed.agg(F.max("last_seen")).first()[0], self.current(upto=batch - 1).as_of if batch else None
+        known = [m for m in (newest, before) if m is not None]
+        row = self.spark.createDataFrame([(max(known),)] if known else [], self.schemas["as_of"])
+        row.write.mode("overwrite").parquet(f"{self.root}/as_of/batch={batch}")
+        return self.params.with_(as_of=max(known)) if known else self.params
+
+    def _process(self, changed: DataFrame, batch: int) -> None:
+        self._write(changed, "changes", batch)
+        mine = self._stored("changes", batch).where(F.col("batch") == batch)
+        params = self._as_of(mine, batch)
+
+        # A new price moves every holder of the token: all positions of touched tokens are evaluated.
+        touched = materialize(mine.select("token", "bucket").distinct(), "touched")
         buckets = [r[0] for r in touched.select("bucket").distinct().collect()]
-        stored = join_by_key(
-            self.ledger.partials(batch + 1, buckets), touched.select("token"), ["token"], "left_semi", limits=self.limits
-        )
-        states = alerts.both_versions(stored, batch)
-        returns = with_returns(positions_from_partials(states, params, self.limits, versions=("version",)))
-        shots = moonshots(returns, params).select(
-            "version", "token", "wallet", "invested", "total_pnl", "return_pct"
-        )
+        tokens = touched.select("token")
+
+        def of_touched(table: str, upto: int) -> DataFrame:
+            return join_by_key(self._stored(table, upto, buckets), tokens, ["token"], "left_semi", limits=self.limits)
+
+        inside = of_touched("changes", batch).where(F.col("trade_date") >= F.lit(params.window_start.date()))
+        returns = with_returns(P.positions_from_partials(P.latest(inside), params, self.limits))
+        shots = moonshots(returns, params).select("token", "wallet", "invested", "total_pnl", "return_pct")
         shots = materialize(shots, "shots")
-        for kind, found in (
-            ("moonshot_alerts", alerts.new_moonshots(shots)),
-            ("token_alerts", alerts.new_successful_tokens(shots, params)),
-        ):
+        before = materialize(alerts.above(of_touched("crossings", batch - 1)), "above")
+        new_shots, new_tokens = alerts.new_moonshots(shots, before), alerts.new_successful_tokens(shots, before, params)
+        for kind, found in (("moonshot_alerts", new_shots), ("token_alerts", new_tokens)):
             found.write.mode("overwrite").parquet(f"{self.root}/{kind}/batch={batch}")
-        if batch and batch % self.compact_every == 0:
-            self.ledger.compact(batch - 1, params.window_start.date())
+        self._write(alerts.crossings(shots, before, params), "crossings", batch)
 
     def start(self, stream: DataFrame, trigger: dict = REFRESH) -> StreamingQuery:
-        writer = stream.writeStream.foreachBatch(self.process).trigger(**trigger)
+        if self.spark.conf.get(STATE_STORE, None) != ROCKSDB:
+            self.spark.conf.set(STATE_STORE, ROCKSDB)  # state on disk, as large as the history
+        # A batch is a delivery; state expires with the next one.
+        self.spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+        writer = self.partials(stream).writeStream.outputMode("update").foreachBatch(self.process).trigger(**trigger)
         return writer.option("checkpointLocation", f"{self.root}/progress").start()
 
 
+def arrivals(query: StreamingQuery) -> dict[str, int]:
+    """What a query's recent batches took in and rejected: rows, and rows by reason."""
+    total: Counter[str] = Counter()
+    for progress in query.recentProgress:
+        metrics = progress.observedMetrics.get(ARRIVALS)
+        total.update(metrics.asDict() if metrics is not None else {})
+    return dict(total)
+
+
 class ActivityJob:
     """Counts trades per token and hour, and records spikes.
 
