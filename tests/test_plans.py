@@ -3,7 +3,7 @@
 import pytest
 
 from helpers import DATA, rows_of
-from walletscope.operators import positions
+from walletscope.operators import filters, positions
 from walletscope.operators import returns as R
 from walletscope.operators import trades as T
 from walletscope.operators.joins import JoinLimits
@@ -54,6 +54,32 @@ BUILDS = {
 }
 
 
+STORED = {
+    "launchpad_volume": ["launches"],
+    "launch_to_first_trade": ["launches"],
+    "token_traders": ["launches"],
+    "drill_wallet": ["launches", "wallet-partials", "positions", "drill-key"],
+    "drill_launchpad": ["launches", "wallet-partials", "positions", "launchpads", "drill-key"],
+}
+
+
+@pytest.mark.parametrize("name", STORED)
+def test_queries_store_what_they_read(spark, name):
+    """No positions for queries of trades and launches; the key of a drill-down is run once."""
+    stored = []
+
+    def recorded(df, label="table"):
+        stored.append(label)
+        return materialize(df, label)
+
+    with pytest.MonkeyPatch.context() as patch:
+        for module in (positions, T, rollups, G, filters):
+            patch.setattr(module, "materialize", recorded)
+        plan = plan_of(QUERIES[name](spark, DATA))
+    assert stored == STORED[name]
+    assert plan.count("lineitem.parquet") == (name in ("launchpad_volume", "launch_to_first_trade", "token_traders"))
+
+
 @pytest.mark.parametrize("limits", [JoinLimits(), JoinLimits(broadcast_bytes=0)], ids=["broadcast", "merge"])
 @pytest.mark.parametrize("name", BUILDS)
 def test_trades_are_read_once_and_hash_aggregated(spark, name, limits):

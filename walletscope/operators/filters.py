@@ -13,6 +13,7 @@ from walletscope.functions.labels import size_class
 from walletscope.functions.scalars import instant
 from walletscope.operators.joins import LIMITS, JoinLimits, join_by_key
 from walletscope.params import MAX_LOOKBACK_DAYS
+from walletscope.session import materialize
 
 ALL = "All"
 # Range of the return slider in percent.
@@ -57,5 +58,6 @@ def drill(returns: DataFrame, column: str, value: str) -> DataFrame:
 
 
 def drill_among(rows: DataFrame, keys: DataFrame, columns: list[str], limits: JoinLimits = LIMITS) -> DataFrame:
-    """Rows (positions or trades) whose key appears in another result."""
-    return join_by_key(rows, keys.select(*columns), columns, "left_semi", limits=limits)
+    """Rows (positions or trades) whose key appears in another result, which is run once and stored."""
+    stored = materialize(keys.select(*columns).distinct(), "drill-key")
+    return join_by_key(rows, stored, columns, "left_semi", limits=limits)

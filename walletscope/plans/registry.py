@@ -322,7 +322,7 @@ def drill_token(spark, sf_dir):
     best = rollups.token_success(flow.returns, A.NORMALIZED_PARAMS).limit(1)
     key = best.select(F.col("token_mint_address").alias("token"))
     past = until(flow.trades, A.NORMALIZED_PARAMS)
-    found = filters.drill_among(past, materialize(key, "drill-key"), ["token"])
+    found = filters.drill_among(past, key, ["token"])
     return found.select("token", "wallet", "side", "quantity", "amount", "price", "tx_id", "block_time")
 
 
