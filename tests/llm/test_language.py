@@ -1,5 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
+from conftest import DOCS
 from walletscope.llm import language as la
 
 
@@ -51,6 +54,21 @@ def test_pages(pages, documents):
     assert sum(a == b for a, b in told) / len(told) > 0.9
 
 
+def test_every_label_is_a_language(spark):
+    """A hundred labels, the last with a single document."""
+    rng, rows = random.Random(8), []
+    for i in range(100):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyz", 6)
+        words = ["".join(rng.choices(letters, k=6)) for _ in range(30)]
+        for _ in range(3 if i < 99 else 1):
+            rows.append((len(rows), " ".join(rng.choices(words, k=80)), f"l{i}", f"s{i % 7}", 0))
+    docs = spark.createDataFrame(rows, DOCS)
+    model = la.train(docs)
+    assert len(model.languages) == 100
+    got = la.of_documents(docs, ["doc_id", "lang"]).collect()
+    assert len(got) == len(rows) and all(r["language"] == r["lang"] and r["kept"] for r in got)
+
+
 def test_odd_rows(odd, empty):
     rows = la.op4_language_id(odd).collect()
     assert len(rows) == odd.count()

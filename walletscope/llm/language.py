@@ -2,7 +2,7 @@
 
 * **Text.** A multinomial model of hashed byte trigrams of words for each language,
   fitted on a bounded sample of labelled rows (about ``TRAIN_ROWS`` a language, chosen by
-  a hash of the id). Whole texts are scored; since trigrams depend on each other,
+  a hash of the id). Every label is a language; the model holds ``BUCKETS`` numbers for each. Whole texts are scored; since trigrams depend on each other,
   ``n`` of them weigh as ``n / (1 + n / SATURATION)``. "Other" is the hypothesis
   that all trigrams are equally likely: what fits no language is other.
 * **Declared language.** P(declared | language), counted over all rows.
@@ -38,7 +38,6 @@ from walletscope.session import materialize
 WORD = re.compile(r"\w+")
 BUCKETS = 1 << 15
 TRAIN_ROWS = 2000
-MAX_LANGUAGES = 64  # the most frequent labels; the model holds BUCKETS numbers for each
 SMOOTHING = 0.1
 SATURATION = 60.0
 HOST_STRENGTH = 20.0
@@ -76,7 +75,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     labelled = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).alias("label")
     ).where("label IS NOT NULL")
-    found = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()
+    found = labelled.groupBy("label").count().collect()  # a row a language
     languages = tuple(sorted(r["label"] for r in found))
     share = {r["label"]: min(1.0, TRAIN_ROWS / r["count"]) for r in found}
     if not languages:
@@ -180,9 +179,7 @@ def identify(
     for i, n in enumerate(names):
         of_suffix = (F.col(f"s{n}") - own[i] + HOST_STRENGTH * whole[i]) / (all_suffix + HOST_STRENGTH)
         of_host = (F.col(n) - own[i] + HOST_STRENGTH * of_suffix) / (all_host + HOST_STRENGTH)
-        said = reduce(
-            lambda c, j, i=i: c.when(F.col("claim") == j, float(np.log(claims[i, j]))), range(width), F.when(F.lit(False), 0.0)
-        ).otherwise(0.0)
+        said = F.coalesce(F.get(F.lit(np.log(claims[i]).tolist()), F.col("claim")), F.lit(0.0))
         columns.append(F.get("score", F.lit(i)) + F.log(of_host * (1 - OTHER_PRIOR)) + said)
     other = F.get("score", F.lit(width)) + F.lit(float(np.log(OTHER_PRIOR))) + F.when(
         F.col("claim").isNotNull(), float(-np.log(width))

@@ -7,8 +7,9 @@ itself, about its share by weight. Key and shards alone decide: equal texts
 under different keys may part.
 
 Rows are numbered in each shard without a gap. They are dealt into slices by a
-hash of the key, numbered in each slice, and moved up by the counts of the
-slices before; a slice has a bounded expected size, whatever a shard holds.
+hash of a number of their own, numbered in each slice, and moved up by the counts of
+the slices before; a slice has a bounded expected size, whatever a shard holds and
+however many rows share a key.
 
 Null keys count as one key. Rows of equal keys share the shard and have slots of
 their own. Null texts have size 8 and the checksum of the empty text. An empty
@@ -27,7 +28,7 @@ from walletscope.session import materialize
 
 SHARDS = 24
 ROWS_A_SLICE = 500
-MAX_SLICES = 20_000  # slices grow beyond ten million rows
+MAX_SLICES = 20_000  # beyond ten million rows slices get longer; results don't change
 
 
 def score(key: Column, shard: int, weight: float) -> Column:
@@ -71,7 +72,8 @@ def op8_sharding(docs: DataFrame) -> DataFrame:
         (F.octet_length(text) + 8).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).cast("bigint").alias("text_crc32"),
     )
-    placed = materialize(sharded(lean, "doc_id", more=1.0), "sharded")
-    return numbered(placed, "shard", "doc_id").select(
+    # Numbered by a number of the row's own: many rows may share an id, or have none.
+    placed = materialize(sharded(lean, "doc_id", more=1.0).withColumn("row", F.monotonically_increasing_id()), "sharded")
+    return numbered(placed, "shard", "row").select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
     )
