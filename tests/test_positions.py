@@ -1,5 +1,7 @@
 """Hand-made trades, one trap per test."""
 
+import random
+import re
 from datetime import datetime, timedelta
 from decimal import Decimal
 
@@ -7,12 +9,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import BAGS, BONK, PUMP, T0, at, calls, dicts, narrow, rows_of, sided, signed, wide
+from walletscope.operators import positions
 from walletscope.operators import returns as R
+from walletscope.operators import trades as T
 from walletscope.operators.joins import JoinLimits
 from walletscope.operators.launches import launches_narrow, launches_wide
 from walletscope.params import NORMALIZED, SIDED, USD
 from walletscope.plans import rollups
 from walletscope.plans.flows import normalized_flow, sided_flow, usd_flow
+from walletscope.sources.tables import sided_trades
 
 P_SIDED = SIDED.with_(as_of=T0 + timedelta(days=60))
 P_MAIN = NORMALIZED.with_(as_of=T0 + timedelta(days=60))
@@ -154,6 +159,30 @@ def test_many_launch_moments_in_a_day(spark):
     assert counts == {f"w{i}": 60 * i + 1 for i in range(5)}
 
 
+@pytest.mark.parametrize("limits", [JoinLimits(), SORT_MERGE], ids=["broadcast", "sort-merge"])
+def test_a_hot_token_is_split_by_hour(spark, limits):
+    """Random launches and trades of one token; no task gathers more than an hour of its trades."""
+    rng = random.Random(1)
+    launches = sorted({(at(rng.randrange(72), rng.randrange(60)), rng.choice([PUMP, BONK])) for _ in range(40)})
+    trades = [("A", f"w{rng.randrange(9)}", "buy", 1, 1, 1.0, at(rng.randrange(96), rng.randrange(60))) for _ in range(600)]
+    activity = narrow(spark, [("A", born, "c", pad) for born, pad in launches])
+    flow = sided_flow(activity, sided(spark, trades), P_SIDED.with_(launch_grain="event"), limits)
+    got = {(r["launchpad_name"], r["launch_time"], r["wallet"]): (int(r["invested"]), r["trade_count"]) for r in dicts(flow.positions)}
+    names, want = {PUMP: "pump.fun", BONK: "letsbonk"}, {}
+    for born, pad in launches:
+        for _, wallet, *_, when in trades:
+            if when >= born:
+                invested, count = want.get((names[pad], born, wallet), (0, 0))
+                want[names[pad], born, wallet] = (invested + 1, count + 1)
+    assert got == want
+    table = T.LaunchTable(launches_narrow(activity, P_SIDED.with_(launch_grain="event")), limits)
+    moments = positions._moments(table)
+    placed = positions._in_interval(sided_trades(sided(spark, trades)), table, moments, P_SIDED)
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Window \[[^\n]*\[token#\d+, _hour#\d+", plan)
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_price_scope_sided_takes_any_trade_of_the_token(spark):
     """Zero amounts do not trade, yet quote."""
     book = sided_book(

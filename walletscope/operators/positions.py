@@ -128,55 +128,72 @@ def _token_positions(rows: DataFrame, counted: Column, launches: LaunchTable, ke
 
 
 def _moments(launches: LaunchTable) -> DataFrame:
-    """Distinct launch times (token, _from, _copies); ``_copies`` counts the launch rows up to then.
+    """Distinct launch times (token, _from, _copies, _rank); ``_copies`` counts the launch rows up to then.
 
     The window holds at most one row per second of the history for a token,
     however many launch rows it has.
     """
     by_time = Window.partitionBy("token").orderBy("launch_time")
     moments = launches.rows.groupBy("token", "launch_time").agg(F.count("*").alias("_rows"))
-    return moments.select("token", F.col("launch_time").alias("_from"), F.sum("_rows").over(by_time).alias("_copies"))
+    return moments.select(
+        "token",
+        F.col("launch_time").alias("_from"),
+        F.sum("_rows").over(by_time).alias("_copies"),
+        F.row_number().over(by_time).alias("_rank"),
+    )
+
+
+_MARK = ("_from", "_copies", "_rank")
+
+
+def _hour(time: str) -> Column:
+    return F.date_trunc("hour", time).cast("timestamp_ntz")
 
 
 def _day_starts(moments: DataFrame, params: Params) -> DataFrame:
-    """The last launch before each day: (token, _day, _from, _copies), from the day after the first launch on."""
+    """The last launch before each day: (token, _day, _before), from the day after the first launch on."""
     last_day = F.lit(params.as_of.date())
-    days = moments.groupBy("token", F.to_date("_from").alias("_on")).agg(
-        F.max("_from").alias("_from"), F.max("_copies").alias("_copies")
-    )
+    days = moments.groupBy("token", F.to_date("_from").alias("_on")).agg(F.max(F.struct(*_MARK)).alias("_before"))
     following = F.coalesce(F.lead("_on").over(Window.partitionBy("token").orderBy("_on")), last_day)
     spans = days.withColumn("_until", following).where(F.col("_until") > F.col("_on"))
-    return spans.select(
-        "token", F.explode(F.sequence(F.date_add("_on", 1), F.col("_until"))).alias("_day"), "_from", "_copies"
-    )
+    return spans.select("token", F.explode(F.sequence(F.date_add("_on", 1), F.col("_until"))).alias("_day"), "_before")
 
 
-def _in_interval(rows: DataFrame, launches: LaunchTable, params: Params) -> DataFrame:
-    """Adds the last launch up to each trade (_from, _copies), NULL before the first.
+def _hour_starts(moments: DataFrame) -> DataFrame:
+    """The last launch of the same day before each hour: (token, _hour, _earlier), at most 23 rows a day with launches."""
+    hours = moments.groupBy("token", _hour("_from").alias("_on")).agg(F.max(F.struct(*_MARK)).alias("_earlier"))
+    in_day = Window.partitionBy("token", F.to_date("_on")).orderBy("_on")
+    last_hour = F.to_date("_on").cast("timestamp_ntz") + F.expr("interval 23 hours")
+    spans = hours.withColumn("_until", F.coalesce(F.lead("_on").over(in_day), last_hour)).where(F.col("_until") > F.col("_on"))
+    step = F.expr("interval 1 hour")
+    return spans.select("token", F.explode(F.sequence(F.col("_on") + step, F.col("_until"), step)).alias("_hour"), "_earlier")
 
-    Trades and launches of a token and day pass by in order of time, and the
-    last launch is carried forward; what was launched on earlier days joins as
-    one row per token and day. So no trade meets more than one launch, and a
-    token's trades are split by day.
+
+def _in_interval(rows: DataFrame, launches: LaunchTable, moments: DataFrame, params: Params) -> DataFrame:
+    """Adds the last launch up to each trade (_from, _copies, _rank), NULL before the first.
+
+    Trades and launches of a token and hour pass by in order of time, and the last launch is
+    carried forward; what was launched in earlier hours and on earlier days joins as one row per
+    token and hour, and per token and day. So no trade meets more than one launch, and a hot
+    token's trades are split by hour.
     """
-    moments = materialize(_moments(launches), "launch-moments")
-    starts = materialize(_day_starts(moments, params), "launch-days")
-    columns = rows.columns
-    trades = rows.select("*", F.to_date("block_time").alias("_day"), F.lit(1).alias("_kind"))
+    hours = materialize(_hour_starts(moments), "launch-hours")
+    days = materialize(_day_starts(moments, params), "launch-days")
+    trades = rows.select("*", _hour("block_time").alias("_hour"), F.to_date("block_time").alias("_day"), F.lit(1).alias("_kind"))
     marks = moments.select(
-        "token", F.col("_from").alias("block_time"), F.to_date("_from").alias("_day"), F.lit(0).alias("_kind"),
-        F.col("_from").alias("_here"), F.col("_copies").alias("_count"),
+        "token", F.col("_from").alias("block_time"), _hour("_from").alias("_hour"), F.lit(0).alias("_kind"),
+        F.struct(*_MARK).alias("_mark"),
     )
-    ordered = Window.partitionBy("token", "_day").orderBy("block_time", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = Window.partitionBy("token", "_hour").orderBy("block_time", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     carried = (
         launches.trades_of(trades).unionByName(marks, allowMissingColumns=True)
-        .withColumns({c: F.last(c, ignorenulls=True).over(ordered) for c in ("_here", "_count")})
+        .withColumn("_mark", F.last("_mark", ignorenulls=True).over(ordered))
         .where(F.col("_kind") == 1)
     )
-    joined = join_by_key(carried, starts, ["token", "_day"], "left", limits=launches.limits)
-    return joined.select(
-        *columns, F.coalesce("_here", "_from").alias("_from"), F.coalesce("_count", "_copies").alias("_copies")
-    )
+    joined = join_by_key(carried, hours, ["token", "_hour"], "left", limits=launches.limits)
+    joined = join_by_key(joined, days, ["token", "_day"], "left", limits=launches.limits)
+    placed = joined.select(*rows.columns, F.coalesce("_mark", "_earlier", "_before").alias("_launch"))
+    return placed.select(*rows.columns, "_launch.*")
 
 
 def _launch_groups(launches: LaunchTable) -> DataFrame:
@@ -185,33 +202,34 @@ def _launch_groups(launches: LaunchTable) -> DataFrame:
 
 def _event_positions_separate(rows: DataFrame, launches: LaunchTable, params: Params) -> DataFrame:
     """Each launch row gathers the trades from its own time on; all trades of the token may quote."""
-    counted = T.is_real_sided() & F.col("_from").isNotNull()
-    placed = _in_interval(rows, launches, params)
-    partials = materialize(placed.groupBy("token", "wallet", "_from").agg(*book(counted), *T.newest()), "wallet-partials")
+    moments = materialize(_moments(launches), "launch-moments")
+    counted = T.is_real_sided() & F.col("_rank").isNotNull()
+    placed = _in_interval(rows, launches, moments, params)
+    partials = materialize(placed.groupBy("token", "wallet", "_rank").agg(*book(counted), *T.newest()), "wallet-partials")
     parts = partials.where(F.col("trade_count") > 0)
-    # Totals from an interval to the end, then valid for launches after the wallet's previous interval.
-    onward = Window.partitionBy("token", "wallet").orderBy(F.col("_from").desc())
+    # Totals from an interval to the end are those of the launches after the wallet's interval before, up to its own.
+    onward = Window.partitionBy("token", "wallet").orderBy(F.col("_rank").desc())
     totals = parts.select(
         "token",
         "wallet",
-        F.lead("_from").over(onward).alias("_after"),
-        F.col("_from").alias("_until"),
+        F.coalesce(F.lead("_rank").over(onward), F.lit(0)).alias("_after"),
+        F.col("_rank").alias("_until"),
         *[F.sum(c).over(onward).alias(c) for c in (*SUMS, "trade_count")],
         F.min("first_trade").over(onward).alias("first_trade"),
         F.max("last_trade").over(onward).alias("last_trade"),
     )
-    groups = materialize(_launch_groups(launches), "launch-groups")
-    joined = launches.attach(totals, groups).where(
-        (F.col("launch_time") <= F.col("_until"))
-        & (F.col("_after").isNull() | (F.col("launch_time") > F.col("_after")))
-    )
+    each = totals.withColumn("_rank", F.explode(F.sequence(F.col("_after") + 1, F.col("_until")))).drop("_after", "_until")
+    ranks = moments.select("token", F.col("_from").alias("launch_time"), "_rank")
+    groups = materialize(_launch_groups(launches).join(ranks, ["token", "launch_time"]), "launch-groups")
+    joined = join_by_key(each, groups, ["token", "_rank"], small=launches.small, limits=launches.limits)
     held = _times(joined, F.col("_same")).where(_enough(params))
     return launches.attach(held, token_prices(partials), "left").select(*COLUMNS)
 
 
 def _event_positions_shared(rows: DataFrame, launches: LaunchTable, params: Params) -> DataFrame:
     """Each launch row gathers all trades kept for any launch row of its token, once per such row."""
-    after = _in_interval(rows, launches, params).where(F.col("_from").isNotNull())
+    moments = materialize(_moments(launches), "launch-moments")
+    after = _in_interval(rows, launches, moments, params).where(F.col("_from").isNotNull())
     grouped = after.groupBy("token", "wallet", "_copies").agg(*book(F.lit(True)), *T.newest())
     partials = materialize(grouped, "wallet-partials")
     weighted = _times(partials, F.col("_copies"))
