@@ -1,24 +1,24 @@
-"""Near-duplicates by MinHash and Order MinHash, verified by banded alignment.
+"""Near-duplicates by Order MinHash, verified by banded alignment.
 
 A text is the sequence of its words (letters, digits and underscores, in lower
-case). Runs of words, each labelled with how often it has occurred before, are
-hashed once per sample. A sample's key is the smallest run of five words; texts
-of up to 128 words, where few such runs outlive an edit, have a second key a
-sample, of the two smallest runs of two words in the order they have in the
-text. Texts that share one of these keys are candidates. Two candidates are linked
-if the edit distance of their word sequences, found in a band around the
-diagonal, leaves at least 0.8 of the longer one. Classes are the connected
-components of the links.
-
-Texts of equal words are one node. Each key's texts are compared with the one of
-the smallest id, the centre. In keys that then hold more than one class, the
-members outside the largest class are compared with more centres, settled ones
-and those of the largest classes first, and at last with every member of the key
-that is not in their class and whose length allows a link. So a group of copies
-costs one comparison a member, and no pair that shares a key goes unseen unless
-its class is known. Texts that share a passage but are not similar are compared
-with each other: those groups cost the square of their members of similar length.
-No row is dropped from a large group, and no group is gathered.
+case). Runs of five words, each labelled with how often it has occurred before, are
+hashed once per sample. A sample's key is made of two smallest runs in the order
+they have in the text: that of the text's first half and that of its second. (The
+two smallest of the whole text would often both lie in one passage, and bring
+together all texts that share it.) Texts that share a key are candidates, if their
+lengths and the places of the shared runs differ by no more than the edits a link
+allows. Two candidates are linked if the edit distance of their word sequences,
+found in a band around the diagonal, leaves at least 0.8 of the longer one.
+Classes are the connected components of the links.
+
+Texts of equal words are one node. First every text is compared with one other,
+the smallest id of all its keys. In keys that then hold more than one class, the
+members are compared with the key's centre, the text that has most members in its
+keys, and at last the members outside the largest class with those of other
+classes whose length and place allow a link; bands of both are part of the join's
+key. So a group of copies costs one comparison a member, and no candidates go
+unseen unless their class is known. No row is dropped from a large group, and no
+group is gathered.
 
 Null texts count as empty. Texts without a word are equal if they are the same
 but for white space around them. Texts under five words have one run, so only
@@ -31,7 +31,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -41,13 +41,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from walletscope.llm.common import checked_broadcast
 from walletscope.session import materialize
 
 WORDS = 5
-SAMPLES = 32
-SHORT_TEXT = 128  # words of texts that have keys of short runs too
-SHORT_WORDS = 2
-ORDERED = 2  # short runs in a key
+SAMPLES = 80
+ORDERED = 2  # runs in a key, one from each part of the text
 LEAST = 0.8
 WORD = re.compile(r"\w+")
 KNOWN_WORDS = 500_000
@@ -55,7 +54,6 @@ MATRIX = 2_000_000  # hashes held at a time for one text
 FEW_EDITS = 24
 BOUNDS_AFTER = 3  # edits tried before the bounds, which most pairs of strangers fail
 SHORT_SLIDE = 12
-MORE_CENTRES = 16
 
 _U = np.uint64
 _FACTORS = [_U(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -97,54 +95,50 @@ def labelled_runs(words: np.ndarray, size: int = WORDS) -> np.ndarray:
     return _mixed(runs)
 
 
-def order_keys(words: np.ndarray, size: int = SHORT_WORDS, ordered: int = ORDERED) -> np.ndarray:
-    """One key a sample, of its ``ordered`` smallest runs of ``size`` words."""
+def order_keys(words: np.ndarray, size: int = WORDS, ordered: int = ORDERED) -> tuple[np.ndarray, np.ndarray]:
+    """One key a sample, of the smallest run of ``size`` words in each of ``ordered`` equal parts, and the first one's place."""
     runs = labelled_runs(words, size)
-    keep = min(ordered, len(runs))
-    keys = np.zeros(SAMPLES, np.uint64)
+    cuts = [len(runs) * k // ordered for k in range(ordered + 1)]
+    parts = [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+    keys, firsts = np.zeros(SAMPLES, np.uint64), np.zeros(SAMPLES, np.int32)
     step = max(1, MATRIX // len(runs))
     for at in range(0, SAMPLES, step):
         seeds = _SEEDS[at : at + step]
-        hashes = _mixed((runs[None, :] ^ seeds[:, None]) * _FACTORS[2])
-        rows = np.arange(len(seeds))
-        places = np.empty((len(seeds), keep), np.int64)
-        for k in range(keep):
-            places[:, k] = hashes.argmin(axis=1)
-            hashes[rows, places[:, k]] = np.iinfo(np.uint64).max
-        places.sort(axis=1)
+        hashes = (runs[None, :] ^ seeds[:, None]) * (seeds | _U(1))[:, None]
         key = seeds.copy()
-        for k in range(keep):
-            key = key * _FACTORS[0] + runs[places[:, k]]
+        for k, (a, b) in enumerate(parts):
+            place = hashes[:, a:b].argmin(axis=1) + a
+            key = key * _FACTORS[0] + runs[place]
+            if not k:
+                firsts[at : at + step] = place
         keys[at : at + step] = _mixed(key)
-    return keys
+    return keys, firsts
 
 
-def text_keys(words: np.ndarray) -> np.ndarray:
-    """All keys under which a text meets others."""
-    keys = order_keys(words, WORDS, 1)
-    return keys if len(words) > SHORT_TEXT else np.concatenate([keys, order_keys(words)])
-
-
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, content (128 bits of the words), n_words, keys of every row of (doc_id, text)."""
+def sketches(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, content (128 bits of the words), n_words, keys, places and ``keep`` (long) of every row of (doc_id, text)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content, sizes, keys = [], [], []
+            content, sizes, keys, places = [], [], [], []
             for text in batch.column("text").to_pylist():
                 words = word_hashes(text)
                 content.append(xxhash.xxh3_128_hexdigest(words.tobytes()))
                 sizes.append(len(words))
-                keys.append(text_keys(words))
-            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            ends = np.cumsum([0, *map(len, keys)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+                of_text = order_keys(words)
+                keys.append(of_text[0])
+                places.append(of_text[1])
+            ends = pa.array(np.arange(len(keys) + 1) * SAMPLES, pa.int32())
+            flat = [np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((keys, np.uint64), (places, np.int32))]
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (flat[0].view(np.int64), flat[1])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(content, pa.string()), pa.array(sizes, pa.int32()), lists],
-                ["doc_id", "content", "n_words", "keys"],
+                [batch.column("doc_id"), pa.array(content, pa.string()), pa.array(sizes, pa.int32()), *lists]
+                + [batch.column(c) for c in keep],
+                ["doc_id", "content", "n_words", "keys", "places", *keep],
             )
 
-    return docs.mapInArrow(sketch, "doc_id bigint, content string, n_words int, keys array<bigint>")
+    schema = "doc_id bigint, content string, n_words int, keys array<bigint>, places array<int>"
+    return docs.mapInArrow(sketch, schema + "".join(f", {c} bigint" for c in keep))
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
@@ -274,81 +268,99 @@ def _judged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return with_both.select("a", "b", "text_a", "text_b").mapInPandas(align, "a bigint, b bigint, linked boolean")
 
 
-def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members of keys that hold more than one class, with their class (label), its size in the key, and whether it
-    is the key's largest (settled)."""
-    if labels is None:
-        classed = members.withColumn("label", F.col("id"))
-    else:
-        classed = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of keys that hold more than one class, with their class (label), whether it is the key's largest
+    (settled), and how many members their keys have together (known)."""
+    classed = members.select("id", "n_words", "key", "place").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     sizes = classed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
-    tops = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", -F.col("label"))).alias("top"), F.count(F.lit(1)).alias("classes"))
-    tops = tops.where("classes > 1").select("key", "top")
-    return classed.join(tops, "key").join(sizes, ["key", "label"]).withColumn("settled", F.col("label") == F.col("top")).drop("top")
-
+    tops = sizes.groupBy("key").agg(
+        F.max_by("label", F.struct("size", -F.col("label"))).alias("top"),
+        F.count(F.lit(1)).alias("classes"),
+        F.sum("size").alias("known"),
+    )
+    several = classed.join(tops.where("classes > 1"), "key")
+    known = several.groupBy("id").agg(F.sum("known").alias("known"))
+    settled = (F.col("label") == F.col("top")).alias("settled")
+    return several.select("id", "n_words", "key", "place", "label", settled).join(known, "id")
 
-def _centres(members: DataFrame, parts: int) -> DataFrame:
-    """Of each key's members, dealt into ``parts``, one a part: from the largest class, the smallest id.
 
-    With more parts, the smallest id of a class, which was first, comes last.
-    """
-    part = F.pmod(F.xxhash64("id", F.lit(parts)), F.lit(parts))
-    first = F.col("id") == F.col("label") if parts > 1 else F.lit(False)
-    best = F.min_by(F.struct("id", "n_words", "label"), F.struct(-F.col("size"), first, "id"))
-    centres = members.groupBy("key", part.alias("part")).agg(best.alias("c"))
-    return centres.select("key", F.col("c.id").alias("id"), F.col("c.n_words").alias("n_words"), F.col("c.label").alias("label"))
+def _centres(members: DataFrame) -> DataFrame:
+    """Of each key's members the best known one: an original is in more keys of its copies than they are in each other's."""
+    best = F.max_by(F.struct("id", "n_words", "place", "label"), F.struct("known", -F.col("id")))
+    return members.groupBy("key").agg(best.alias("c")).select("key", "c.*")
 
 
-def _pairs(members: DataFrame, others: DataFrame) -> DataFrame:
-    """Ids (a > b) of members of the key's smaller classes and of ``others`` of another class, of similar length.
+def _pairs(members: DataFrame, others: DataFrame, settled: bool) -> DataFrame:
+    """Ids (a > b) of members (if ``settled``, but for those of the key's largest class) and of ``others`` of
+    another class that a link allows.
 
-    Lengths are similar if they are in neighbouring bands, as all texts are that can be linked.
+    Lengths and places are compared in bands first: a text's band is its own or a neighbour of any text's
+    that it can be linked to.
     """
+    ratio = 1 / LEAST * (1 + 1e-9)
 
     def band(words: str) -> Column:
-        return F.floor(F.log(F.greatest(F.col(words), F.lit(1))) / F.lit(math.log(1 / LEAST) * (1 + 1e-9)))
+        return F.floor(F.log(F.greatest(F.col(words), F.lit(1))) / F.lit(math.log(ratio)))
+
+    def spot(place: str) -> Column:
+        """Spots are as wide as the most edits of a link with a text in ``band``."""
+        return F.floor(F.col(place) / (F.pow(F.lit(ratio), F.col("band") + 2) * (1 - LEAST) + 1))
 
     near = F.explode(F.array(*[band("n_words") + k for k in (-1, 0, 1)])).alias("band")
-    left = members.where("NOT settled").select("key", near, "id", "n_words", "label")
+    left = members.where("NOT settled" if settled else "true").select("key", near, "id", "n_words", "place", "label")
+    left = left.select("*", F.explode(F.array(*[spot("place") + k for k in (-1, 0, 1)])).alias("spot"))
     right = others.select(
-        "key", band("n_words").alias("band"), F.col("id").alias("to"), F.col("n_words").alias("m_words"), F.col("label").alias("to_label")
+        "key",
+        band("n_words").alias("band"),
+        F.col("id").alias("to"),
+        F.col("n_words").alias("m_words"),
+        F.col("place").alias("to_place"),
+        F.col("label").alias("to_label"),
     )
-    alike = F.least("n_words", "m_words") >= F.greatest("n_words", "m_words") * LEAST - 1e-9
-    pairs = left.join(right, ["key", "band"]).where((F.col("label") != F.col("to_label")) & alike)
+    right = right.select("*", spot("to_place").alias("spot"))
+    pairs = left.join(right, ["key", "band", "spot"]).where((F.col("label") != F.col("to_label")) & _able("to_place", "m_words"))
     return pairs.select(F.greatest("id", "to").alias("a"), F.least("id", "to").alias("b")).distinct()
 
 
+def _able(place: str, words: str) -> Column:
+    """Whether lengths and places of ``n_words``, ``place`` and another text's allow a link."""
+    longer = F.greatest("n_words", words)
+    close = F.abs(F.col("place") - F.col(place)) <= longer * (1 - LEAST) + 1e-9
+    return (F.least("n_words", words) >= longer * LEAST - 1e-9) & close
+
+
+def _first_pairs(members: DataFrame) -> DataFrame:
+    """Each text and the smallest id of all its keys."""
+    able = members.where((F.col("id") > F.col("to")) & _able("to_place", "m_words"))
+    return able.groupBy(F.col("id").alias("a")).agg(F.min("to").alias("b"))
+
+
 def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Verified pairs (a, b) among texts that share a key; they connect all that any such pairs connect.
 
-    After the last round, every text has met all of its keys that are not in its class.
+    After the last round, every text has met all candidates that are not in its class.
     """
-    judged: DataFrame | None = None
-    labels: DataFrame | None = None
-    for parts in (1, MORE_CENTRES, None):
+    judged = materialize(_judged(_first_pairs(members), texts), "judged")
+    for centres in (True, False):
+        labels = components(judged.where("linked").select("a", "b"))
         classed = materialize(_open(members, labels), "open-members")
-        if judged is not None and classed.isEmpty():
+        if classed.isEmpty():
             break
-        fresh = _pairs(classed, classed if parts is None else _centres(classed, parts))
-        if judged is not None:
-            fresh = fresh.join(judged, ["a", "b"], "left_anti")
-        new = materialize(_judged(fresh, texts), "judged")
-        judged = new if judged is None else judged.unionByName(new)
-        if parts is not None:
-            labels = components(judged.where("linked").select("a", "b"))
+        fresh = _pairs(classed, _centres(classed) if centres else classed, settled=not centres)
+        new = materialize(_judged(fresh.join(judged, ["a", "b"], "left_anti"), texts), "judged")
+        judged = judged.unionByName(new)
     return judged.where("linked").select("a", "b")
 
 
 def _members(sketched: DataFrame) -> DataFrame:
-    """(id, n_words, key) of texts that share a key with another."""
-    keyed = sketched.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "n_words", F.explode(F.array_distinct("keys")).alias("key"))
-    return _shared(keyed)
-
-
-def _shared(members: DataFrame) -> DataFrame:
-    """Members whose key has another member."""
-    shared = members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    return members.join(shared.select("key"), "key", "left_semi")
+    """(id, n_words, key, place) of texts that share a key with another, and the smallest id of the key with its
+    n_words and place (to, m_words, to_place)."""
+    both = F.explode(F.arrays_zip("keys", "places")).alias("k")
+    keyed = sketched.where("id IS NOT NULL").select("id", "n_words", both)
+    keyed = keyed.select("id", "n_words", F.col("k.keys").alias("key"), F.col("k.places").alias("place"))
+    least = F.min(F.struct(F.col("id").alias("to"), F.col("n_words").alias("m_words"), F.col("place").alias("to_place")))
+    centres = keyed.groupBy("key").agg(least.alias("c"), F.max("id").alias("high")).where("c.to < high")
+    return keyed.join(centres.select("key", "c.*"), "key")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -376,18 +388,27 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (the smallest id of the class), kept (whether it is that one) of every row."""
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()
+) -> DataFrame:
+    """doc_id, class_id (the smallest id of the class), kept (whether it is that one) and ``keep`` (long) of every row."""
+    taken = {c: f"kept_{i}" for i, c in enumerate(keep)}
     lean = docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+        F.col(id_col).cast("bigint").alias("doc_id"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        *[F.col(c).alias(name) for c, name in taken.items()],
     )
-    rows = materialize(sketches(lean), "sketches")
+    rows = materialize(sketches(lean, list(taken.values())), "sketches")
+    lean = lean.select("doc_id", "text")
+    nodes = materialize(rows.groupBy("content").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "nodes")
     # Equal words make equal keys, so any row of a node has them.
-    nodes = rows.groupBy("content").agg(
-        F.min("doc_id").alias("id"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys")
+    copied = checked_broadcast(nodes.where("n > 1").select("content"))
+    columns = ("n_words", "keys", "places")
+    of_copies = rows.join(copied, "content", "left_semi").groupBy("content").agg(
+        F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in columns]
     )
-    nodes = materialize(nodes, "nodes")
-    members = materialize(_members(nodes.withColumnRenamed("id", "doc_id")), "members")
+    single = rows.join(copied, "content", "left_anti").select(F.col("doc_id").alias("id"), *columns)
+    members = materialize(_members(single.unionByName(of_copies.drop("content"))), "members")
     ids = members.select(F.col("id").alias("doc_id")).distinct()
     texts = materialize(lean.join(ids, "doc_id", "left_semi"), "texts")
     labels = components(_links(members, texts))
@@ -395,7 +416,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "content", F.coalesce("label", "id").alias("class_id")
     )
     return rows.join(classes, "content").select(
-        "doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")
+        "doc_id",
+        "class_id",
+        F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"),
+        *[F.col(name).alias(c) for c, name in taken.items()],
     )
 
 
