@@ -11,25 +11,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from walletscope.llm import exact_dedup, language, near_dups, packing, secret_scan
-from walletscope.llm.common import prepare, table, without
+from walletscope.llm.common import checked_broadcast, free_name, prepare, table, without
 from walletscope.session import materialize
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents whose text is in no known language; those without a word of letters follow their source."""
     prepare(spark)
-    return without(docs, language.of_documents(docs).where("NOT kept"))
+    return without(docs, lambda rows, keys: language.of_documents(rows, keys).where("NOT kept"))
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest id."""
-    return without(docs, exact_dedup.duplicates(docs, columns=["doc_id"]).where("NOT kept"))
+    return without(docs, lambda rows, keys: exact_dedup.duplicates(rows, columns=keys).where("NOT kept"))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the row with the smallest id."""
+    """Of each class of near duplicates, the row with the smallest id.
+
+    Different texts under one id are documents of their own here, after all others of their class.
+    """
     prepare(spark)
-    return without(docs, near_dups.near_duplicates(docs).where("NOT kept"))
+
+    def near(rows: DataFrame, keys: list[str]) -> DataFrame:
+        own, again = free_name(rows, "own_id"), free_name(rows, "again")
+        several = rows.groupBy("doc_id").agg((F.min(keys[0]) < F.max(keys[0])).alias(again)).where(again)
+        several = checked_broadcast(materialize(several.where("doc_id IS NOT NULL"), "repeated-ids"))
+        hashed = F.shiftrightunsigned(keys[0], 2).bitwiseOR(F.lit(1 << 62))
+        marked = rows.join(several, "doc_id", "left").withColumn(own, F.when(F.col(again), hashed).otherwise(F.col("doc_id")))
+        return near_dups.near_duplicates(marked, own, keep=keys).where("NOT kept")
+
+    return without(docs, near)
 
 
 def free_of_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 import corpus_pipeline as cp
 from test_near_dups import classes
@@ -45,7 +47,7 @@ def test_run_is_registered(spark):
 
 def test_every_operator_has_one_query():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
 
 
 def test_odd_rows(spark, odd, empty):
@@ -54,3 +56,20 @@ def test_odd_rows(spark, odd, empty):
             out = stage(spark, df, DATA)
             assert out.columns == df.columns
             out.collect()
+
+
+def test_rows_go_by_id_and_text(spark):
+    """One bad row takes no other row of its id with it, and rows without an id can go."""
+    rows = [(5, "the first text"), (5, "the second text"), (9, "the second text"), (None, "a third text"), (None, "the first text")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], odd_schema()).withColumn("row_key_1", F.lit("x"))
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in cp.distinct_texts(spark, docs, DATA).collect())
+    assert kept == [(0, "a third text"), (5, "the first text"), (9, "the second text")]
+    words = " ".join(f"w{i}" for i in range(60))
+    near = [(1, words), (2, words + " more"), (2, "quite another text of its own, which nothing is like")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in near], odd_schema())
+    kept = sorted((r["doc_id"], r["text"][:5]) for r in cp.distinct_documents(spark, docs, DATA).collect())
+    assert kept == [(1, "w0 w1"), (2, "quite")]
+
+
+def odd_schema():
+    return "doc_id bigint, text string, lang string, source string, n_chars bigint"

@@ -70,12 +70,21 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def checked_broadcast(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` (narrow) rows; runs it to count them."""
-    return F.broadcast(df) if df.count() <= rows else df
+def checked_broadcast(df: DataFrame, values: int = 400_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``values`` (rows times columns of short values); runs it to count them."""
+    return F.broadcast(df) if df.count() * len(df.columns) <= values else df
 
 
-def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id is not among ``dropped``; rows without an id stay. Writes the dropped ids."""
-    ids = materialize(dropped.select(id_col).where(F.col(id_col).isNotNull()).distinct(), "dropped-ids")
-    return docs.join(checked_broadcast(ids), id_col, "left_anti").select(docs.columns)
+def without(
+    docs: DataFrame, decide: Callable[[DataFrame, list[str]], DataFrame], id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Rows of ``docs`` but for those that ``decide`` returns.
+
+    Rows are told apart by 128 bits of id and text, both of which may be null. ``decide``
+    gets the rows and the names of these two columns, which its result must have.
+    """
+    keys = [free_name(docs, f"row_key_{seed}") for seed in (1, 2)]
+    parts = [F.col(id_col), F.isnull(id_col), F.col(text_col), F.isnull(text_col)]
+    marked = docs.withColumns({key: F.xxhash64(F.lit(seed), *parts) for seed, key in enumerate(keys)})
+    dropped = materialize(decide(marked, keys).select(*keys).distinct(), "dropped-rows")
+    return marked.join(checked_broadcast(dropped), keys, "left_anti").select(*docs.columns)
