@@ -6,7 +6,9 @@ level: words, then phrases of two, three and four words whose shorter parts were
 frequent in the shard. "Frequent" is the wanted support, lowered to the shard's
 share of the language's words and rounded up; a phrase that has the support
 everywhere together reaches that in one shard at least. What is frequent in some
-shard is a candidate, and one more pass counts all candidates in all shards.
+shard is a candidate, unless its counts there and the most it can have in the
+other shards stay below the support; one more pass counts all candidates in all
+shards.
 
 The mining passes count 64-bit hashes, already added up in each task. A task
 knows what was frequent in its shard from a bitmap of at most ``MAX_BITS`` bits,
@@ -26,6 +28,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -131,10 +134,6 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(29))
 
 
-def _salt(shard: int) -> int:
-    return xxhash.xxh3_64_intdigest(f"shard {shard}") >> 1
-
-
 class Words:
     """The words of some texts of one language, one after another."""
 
@@ -172,7 +171,7 @@ class Bitmap:
         self.mask = _U(len(bits) * 8 - 1)
 
     def has(self, keys: np.ndarray, salt: int = 0) -> np.ndarray:
-        at = (keys ^ _U(salt)) & self.mask
+        at = (keys ^ _U(salt & (1 << 64) - 1)) & self.mask
         return (self.bits[at >> _U(3)] >> (at & _U(7)).astype(np.uint8) & 1).astype(bool)
 
 
@@ -188,56 +187,68 @@ def bitmap(keys: DataFrame, bits: int) -> bytes:
 
 
 def _counted(rows: DataFrame, count: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``count`` of the words of texts that share shard, language and support, as many at a time as a task may hold."""
+    """``count`` of the words of texts that share language and shard (salt), as many at a time as a task may hold."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list[str]] = {}
         size = 0
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("shard", "lang", "support", "text")]
-            for shard, lang, support, text in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("lang", "salt", "text")]
+            for lang, salt, text in zip(*columns, strict=True):
                 if not text:
                     continue
-                words = held.setdefault((shard, lang, support), [])
+                words = held.setdefault((lang, salt), [])
                 before = len(words)
                 words += text.split(" ")
                 words.append(BREAK)
                 size += len(words) - before
                 if size >= HELD_WORDS:
-                    for (at, of, least), part in held.items():
-                        yield from count(Words(of, part), at, of, least)
+                    for (of, at), part in held.items():
+                        yield from count(Words(of, part), of, at)
                     held, size = {}, 0
-        for (at, of, least), part in held.items():
-            yield from count(Words(of, part), at, of, least)
+        for (of, at), part in held.items():
+            yield from count(Words(of, part), of, at)
 
-    return rows.select("shard", "lang", "support", "text").mapInArrow(scan, schema)
+    return rows.select("lang", "salt", "text").mapInArrow(scan, schema)
 
 
-def frequent(rows: DataFrame, size: int, shorter: bytes | None) -> DataFrame:
-    """(key, salt) of the phrases of ``size`` words that are frequent in their shard."""
+def frequent(rows: DataFrame, supports: DataFrame, size: int, shorter: bytes | None) -> DataFrame:
+    """(key, salt, n, support, elsewhere) of the phrases of ``size`` words that are frequent in their shard."""
     spark = rows.sparkSession
     known = spark.sparkContext.broadcast(shorter) if shorter is not None else None
-    names = ["key", "salt", "support", "n"]
 
-    def count(words: Words, shard: int, lang: str, support: int) -> Iterator[pa.RecordBatch]:
-        salt, able = _salt(shard), words.whole(size)
+    def count(words: Words, lang: str, salt: int) -> Iterator[pa.RecordBatch]:
+        able = words.whole(size)
         if known is not None:
             part = Bitmap(known.value).has(words.keys(size - 1), salt)
             able &= part[:-1] & part[1:]
         keys, n = np.unique(words.keys(size)[able], return_counts=True)
-        fixed = [pa.array(np.full(len(keys), x, kind)) for x, kind in ((salt, np.int64), (support, np.int64))]
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *fixed, pa.array(n.astype(np.int64))], names)
+        columns = [pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), salt)), pa.array(n.astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "salt", "n"])
+
+    counts = _counted(rows, count, "key bigint, salt bigint, n bigint")
+    totals = counts.groupBy("key", "salt").agg(F.sum("n").alias("n"))
+    wanted = checked_broadcast(supports.select("salt", "support", "elsewhere"))
+    return materialize(totals.join(wanted, "salt").where("n >= support"), f"frequent-{size}")
+
+
+def candidates_of(levels: list[DataFrame]) -> DataFrame:
+    """(key, salt 0) of the phrases that may have the support in all shards together.
 
-    counts = _counted(rows, count, "key bigint, salt bigint, support bigint, n bigint")
-    totals = counts.groupBy("key", "salt", "support").agg(F.sum("n").alias("n")).where(F.col("n") >= F.col("support"))
-    return materialize(totals.select("key", "salt"), f"frequent-{size}")
+    Where a phrase is not frequent it has less than the shard's support; ``elsewhere``
+    is the sum of that over all shards.
+    """
+    union = reduce(DataFrame.unionByName, levels)
+    sums = union.groupBy("key").agg(F.sum(F.col("n") - F.col("support") + 1).alias("more"), F.max("elsewhere").alias("elsewhere"))
+    able = sums.where(F.col("more") + F.col("elsewhere") >= SUPPORT)
+    return able.select("key", F.lit(0).cast("bigint").alias("salt"))
 
 
 def counts_of(rows: DataFrame, candidates: bytes) -> DataFrame:
     """lang, size, phrase, f of every phrase that may be a candidate and has the support."""
     known = rows.sparkSession.sparkContext.broadcast(candidates)
 
-    def count(words: Words, shard: int, lang: str, support: int) -> Iterator[pa.RecordBatch]:
+    def count(words: Words, lang: str, salt: int) -> Iterator[pa.RecordBatch]:
         chosen = Bitmap(known.value)
         same = words.codes  # a number for each place's phrase: equal ones have equal words
         for size in range(1, LONGEST + 1):
@@ -260,18 +271,15 @@ def counts_of(rows: DataFrame, candidates: bytes) -> DataFrame:
     return counts.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= SUPPORT)
 
 
-def mined(rows: DataFrame, words: int) -> DataFrame:
+def mined(rows: DataFrame, supports: DataFrame, words: int) -> DataFrame:
     """lang, size, phrase, f: all phrases of up to ``LONGEST`` words that occur ``SUPPORT`` times."""
     bits = min(MAX_BITS, 1 << max(15, math.ceil(math.log2(max(1, words)))))
     levels, shorter = [], None
     for size in range(1, LONGEST + 1):
-        found = frequent(rows, size, shorter)
-        levels.append(found.select("key", F.lit(0).cast("bigint").alias("salt")))
+        found = frequent(rows, supports, size, shorter)
+        levels.append(found)
         shorter = bitmap(found, bits) if size < LONGEST else None
-    union = levels[0]
-    for level in levels[1:]:
-        union = union.unionByName(level)
-    return materialize(counts_of(rows, bitmap(union, bits)), "phrases")
+    return materialize(counts_of(rows, bitmap(candidates_of(levels), bits)), "phrases")
 
 
 def _part(words: Column, start: int | Column, size: int | Column) -> Column:
@@ -319,6 +327,10 @@ def op12_collocations(docs: DataFrame) -> DataFrame:
     shares = materialize(counted, "shard-words")
     totals = shares.groupBy("lang").agg(F.sum("of_shard").alias("n"))
     lowered = F.expr(f"({SUPPORT} * of_shard + n - 1) div n").alias("support")
-    supports = materialize(shares.join(totals, "lang").select("lang", "shard", lowered), "supports")
+    local = materialize(shares.join(totals, "lang").select("lang", "shard", lowered), "local-supports")
+    below = local.groupBy("lang").agg(F.sum(F.col("support") - 1).alias("elsewhere"))
+    salt = F.xxhash64("lang", "shard").alias("salt")  # stands for the language and the shard
+    supports = materialize(local.join(below, "lang").select("*", salt), "supports")
     words = shares.agg(F.coalesce(F.sum("of_shard"), F.lit(0))).first()[0]
-    return collocations(mined(rows.join(checked_broadcast(supports), ["lang", "shard"]), words), totals)
+    salted = rows.join(checked_broadcast(supports.select("lang", "shard", "salt")), ["lang", "shard"])
+    return collocations(mined(salted, supports, words), totals)
