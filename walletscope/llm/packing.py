@@ -149,8 +149,11 @@ def allocations(chosen: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, in
     return rows
 
 
-def packed(pieces: DataFrame) -> DataFrame:
-    """Adds sequence_id and offset to rows with a ``length`` of 1 to ``WINDOW`` and a ``doc_id``. Reads ``pieces`` thrice."""
+def packed(pieces: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Adds sequence_id and offset to rows with a ``length`` of 1 to ``WINDOW``. Reads ``pieces`` thrice.
+
+    Rows of a class are numbered in slices by ``key``; few rows should share one.
+    """
     spark = pieces.sparkSession
     classed = pieces.withColumn("size_class", F.ceil(F.col("length") / UNIT).cast("int"))
     histogram = {r["size_class"]: r["n"] for r in classed.groupBy("size_class").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -159,7 +162,7 @@ def packed(pieces: DataFrame) -> DataFrame:
     dealt = spark.createDataFrame(allocations(plan(histogram)), schema)
     number = F.col("number")
     placed = (
-        numbered(classed, "size_class", "doc_id", "number")
+        numbered(classed, "size_class", key, "number")
         .join(F.broadcast(dealt), "size_class")
         .where((number >= F.col("first")) & (number < F.col("next")))
         .withColumn("sequence_id", F.expr("window + (number - first) div each"))
@@ -175,4 +178,5 @@ def packed(pieces: DataFrame) -> DataFrame:
 
 
 def op9_packing(docs: DataFrame) -> DataFrame:
-    return packed(materialize(tokenized_pieces(docs), "token-pieces"))
+    pieces = tokenized_pieces(docs).withColumn("row", F.monotonically_increasing_id())
+    return packed(materialize(pieces, "token-pieces"), "row").drop("row")
