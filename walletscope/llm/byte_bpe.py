@@ -6,9 +6,9 @@ left to right, without overlap), all sequences at once. Sequences without a pair
 to merge leave; the rest go on.
 
 Texts are cut at single spaces first: a space that stands alone always begins a
-pre-token. The pieces repeat, so each distinct one is encoded once per worker
-and kept in a cache of bounded size. What is a letter or a number is the
-library's answer, see ``characters``.
+pre-token. The pieces repeat: those of a batch are numbered, and each distinct
+one is looked up once a batch, in a cache of bounded size. What is a letter or
+a number is the library's answer, see ``characters``.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from walletscope.llm.characters import SPACES, Characters, characters
 from walletscope.llm.recent import Recent
@@ -34,7 +36,7 @@ def pattern(classes: Characters) -> re.Pattern[str]:
 
 
 RUN_OF_SPACE = re.compile(r" \s|\x00")
-_MARKS = frozenset(".,;:!?")
+_MARKS = ".,;:!?"
 _NO_RANK = np.iinfo(np.int32).max
 
 
@@ -48,6 +50,8 @@ def byte_alphabet() -> dict[str, int]:
 class ByteBpe:
     def __init__(self, path: str, classes: Characters):
         self.pattern, self._letters = pattern(classes), re.compile(f"[{classes.letters}]+")
+        self._loose_mark = re.compile(f"[{_MARKS}](?<![{classes.letters}{classes.numbers}].)[ \\n]")
+        self._long_break = re.compile(f"\\n(?:(?<=[{SPACES}]\\n)|[{SPACES}])")
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -135,9 +139,37 @@ class ByteBpe:
                 parts += part.replace(" ", "\0 ").split("\0")
         return parts
 
-    def _learn(self, cut: list[list[str]], cache: Recent, only_counts: bool) -> dict:
-        """Puts all pieces into the cache: their ids as bytes, or how many they have."""
-        new = list(cache.missing(set(chain.from_iterable(cut))).difference(self.special))
+    def _marked(self, text: str) -> str:
+        """The text with a NUL between its pieces.
+
+        A line break without spaces around it is a pre-token, and so is a mark between a word and a space or break.
+        """
+        cut = text.replace(" ", "\0 ")
+        if not self._long_break.search(text):
+            cut = cut.replace("\n", "\0\n\0")
+        if not self._loose_mark.search(text):
+            for mark in _MARKS:
+                cut = cut.replace(f"{mark}\0", f"\0{mark}\0")
+        return cut
+
+    def _cut(self, texts: list[str]) -> tuple[list[str], np.ndarray, list[int], np.ndarray]:
+        """Distinct pieces, their numbers at all places, the order of texts in these, and where each of them ends.
+
+        Texts that one search for spaces can't cut come last.
+        """
+        odd = [RUN_OF_SPACE.search(t) is not None or any(s in t for s in self.special) for t in texts]
+        order = sorted(range(len(texts)), key=odd.__getitem__)
+        plain = pa.array([self._marked(texts[i]) for i in order if not odd[i]], pa.large_string())
+        lists = pc.split_pattern(plain, "\0")
+        rest = [self.pieces(texts[i]) for i in order if odd[i]]
+        flat = pa.concat_arrays([lists.flatten(), pa.array(list(chain.from_iterable(rest)), pa.large_string())])
+        sizes = [*lists.value_lengths().to_pylist(), *map(len, rest)]
+        coded = flat.dictionary_encode()
+        return coded.dictionary.to_pylist(), coded.indices.to_numpy(), order, np.cumsum(sizes, dtype=np.int64)
+
+    def _learn(self, distinct_pieces: list[str], cache: Recent, only_counts: bool) -> list:
+        """For each piece its ids as bytes, or how many it has; they are in the cache from now on."""
+        new = list(cache.missing(set(distinct_pieces)).difference(self.special))
         cache.add((t, 1 if only_counts else np.uint32(i).tobytes()) for t, i in self.special.items())
         # A word with the space before it is a pre-token as it is.
         plain, mixed = [], []
@@ -156,23 +188,35 @@ class ByteBpe:
             cache.add(zip(plain, values, strict=False))
             of = dict(zip(distinct, values, strict=True))
             cache.add((p, join([of[x] for x in s])) for p, s in zip(mixed, split, strict=True))
-        return cache.young
+        elif mixed:
+            cache.add((p, 0 if only_counts else b"") for p in mixed)
+        return list(map(cache.young.__getitem__, distinct_pieces))
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        cut = list(map(self.pieces, texts))
-        known = self._learn(cut, self._ids, only_counts=False)
-        return [np.frombuffer(b"".join(map(known.__getitem__, c)), "<u4") for c in cut]
+        pieces, at, order, ends = self._cut(texts)
+        known = self._learn(pieces, self._ids, only_counts=False)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts, each = np.cumsum(sizes) - sizes, sizes[at]
+        done = np.concatenate([[0], np.cumsum(each)])  # ids before each place
+        ids = np.frombuffer(b"".join(known), "<u4")[np.repeat(starts[at] - done[:-1], each) + np.arange(done[-1])]
+        out: list[np.ndarray] = [ids] * len(texts)
+        for i, part in zip(order, np.split(ids, done[ends][:-1]), strict=False):
+            out[i] = part
+        return out
 
     def count_batch(self, texts: list[str]) -> list[int]:
         """How many symbols of each text survive."""
-        cut = list(map(self.pieces, texts))
-        known = self._learn(cut, self._counts, only_counts=True)
-        return [sum(map(known.__getitem__, c)) for c in cut]
+        pieces, at, order, ends = self._cut(texts)
+        sizes = np.array(self._learn(pieces, self._counts, only_counts=True), np.int64)
+        upto = np.concatenate([[0], np.cumsum(sizes[at])])[ends]
+        out = np.zeros(len(texts), np.int64)
+        out[order] = np.diff(upto, prepend=0)
+        return out.tolist()
 
     def pretokens(self, piece: str) -> list[str]:
         """The pre-tokens of a piece; a plain word with a mark behind it needs no search."""
-        if piece[-1:] in _MARKS:
+        if piece and piece[-1] in _MARKS:
             word = piece[1:-1] if piece[0] == " " else piece[:-1]
             if word.isascii() and word.isalpha():
                 return [piece[:-1], piece[-1]]

@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,23 @@ def _package() -> str:
     return str(path)
 
 
+#: Characters of text that tasks with work per batch take at a time.
+BATCH_CHARS = 4_000_000
+
+
+def by_size(batches: Iterator[pd.DataFrame], text_col: str, chars: int = BATCH_CHARS) -> Iterator[pd.DataFrame]:
+    """Batches put together until they have ``chars`` characters; nulls must be gone."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += sum(map(len, batch[text_col]))
+        if size >= chars:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is evaluated once however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from walletscope.llm import byte_bpe
 from walletscope.llm.characters import characters
-from walletscope.llm.common import vocabulary_file
+from walletscope.llm.common import by_size, vocabulary_file
 from walletscope.llm.sharding import numbered
 from walletscope.session import materialize
 
@@ -46,7 +46,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = byte_bpe.load(vocabulary, classes)
         end = np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
+        for batch in by_size(batches, "text"):
             rows = []
             for doc_id, ids in zip(batch["doc_id"], bpe.encode_batch(batch["text"].tolist()), strict=True):
                 data, total = memoryview(ids.tobytes() + end), len(ids) + 1
