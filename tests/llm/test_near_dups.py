@@ -185,3 +185,11 @@ def test_strangers_that_share_a_passage_stay_apart(spark):
     for a, b in combinations(got, 2):
         if got[a] == got[b] and got[a] == a:
             assert nd.similarity(words[a], words[b]) is not None
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 600), min_size=1, max_size=80), st.lists(st.integers(0, 600), min_size=1, max_size=80))
+def test_an_edit_changes_two_parities_at_most(a, b):
+    x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+    differing = sum(int(k).bit_count() for k in (nd.parity(x) ^ nd.parity(y)).view(np.uint64))
+    assert differing <= 2 * nd.edit_distance(x, y, 160)

@@ -16,7 +16,8 @@ the smallest id of all its keys. In keys that then hold more than one class, the
 members are compared with the key's centre, the text that has most members in its
 keys, and at last the members outside the largest class with those of other
 classes whose length and place allow a link; bands of both are part of the join's
-key. So a group of copies costs one comparison a member, and no candidates go
+key. Before texts are read, 256 bits of either text, each the parity of a class of
+words, are compared: every edit changes two of them at most, so no link is lost. So a group of copies costs one comparison a member, and no candidates go
 unseen unless their class is known. No row is dropped from a large group, and no
 group is gathered.
 
@@ -55,6 +56,9 @@ FEW_EDITS = 24
 BOUNDS_AFTER = 3  # edits tried before the bounds, which most pairs of strangers fail
 SHORT_SLIDE = 12
 
+PARITY_BITS = 256
+PARITY = [f"parity_{k}" for k in range(PARITY_BITS // 64)]
+
 _U = np.uint64
 _FACTORS = [_U(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, SAMPLES, dtype=np.uint64)
@@ -115,30 +119,38 @@ def order_keys(words: np.ndarray, size: int = WORDS, ordered: int = ORDERED) ->
     return keys, firsts
 
 
+def parity(words: np.ndarray) -> np.ndarray:
+    """Whether the words of each of ``PARITY_BITS`` hash classes are odd in number; an edit changes two bits at most."""
+    odd = np.bincount((words & _U(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sketches(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, content (128 bits of the words), n_words, keys, places and ``keep`` (long) of every row of (doc_id, text)."""
+    """doc_id, content (128 bits of the words), n_words, keys, places, parities and ``keep`` (long) of every row of (doc_id, text)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content, sizes, keys, places = [], [], [], []
+            content, sizes, keys, places, odd = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 words = word_hashes(text)
                 content.append(xxhash.xxh3_128_hexdigest(words.tobytes()))
                 sizes.append(len(words))
+                odd.append(parity(words))
                 of_text = order_keys(words)
                 keys.append(of_text[0])
                 places.append(of_text[1])
             ends = pa.array(np.arange(len(keys) + 1) * SAMPLES, pa.int32())
             flat = [np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((keys, np.uint64), (places, np.int32))]
             lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (flat[0].view(np.int64), flat[1])]
+            bits = [pa.array(x) for x in np.reshape(odd, (-1, len(PARITY))).astype(np.int64).T]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(content, pa.string()), pa.array(sizes, pa.int32()), *lists]
+                [batch.column("doc_id"), pa.array(content, pa.string()), pa.array(sizes, pa.int32()), *lists, *bits]
                 + [batch.column(c) for c in keep],
-                ["doc_id", "content", "n_words", "keys", "places", *keep],
+                ["doc_id", "content", "n_words", "keys", "places", *PARITY, *keep],
             )
 
     schema = "doc_id bigint, content string, n_words int, keys array<bigint>, places array<int>"
-    return docs.mapInArrow(sketch, schema + "".join(f", {c} bigint" for c in keep))
+    return docs.mapInArrow(sketch, schema + "".join(f", {c} bigint" for c in [*PARITY, *keep]))
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
@@ -268,9 +280,9 @@ def _judged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return with_both.select("a", "b", "text_a", "text_b").mapInPandas(align, "a bigint, b bigint, linked boolean")
 
 
-def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _open(members: DataFrame, labels: DataFrame, parities: DataFrame) -> DataFrame:
     """Members of keys that hold more than one class, with their class (label), whether it is the key's largest
-    (settled), and how many members their keys have together (known)."""
+    (settled), how many members their keys have together (known), and the parities of their words."""
     classed = members.select("id", "n_words", "key", "place").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     sizes = classed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
     tops = sizes.groupBy("key").agg(
@@ -281,12 +293,12 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     several = classed.join(tops.where("classes > 1"), "key")
     known = several.groupBy("id").agg(F.sum("known").alias("known"))
     settled = (F.col("label") == F.col("top")).alias("settled")
-    return several.select("id", "n_words", "key", "place", "label", settled).join(known, "id")
+    return several.select("id", "n_words", "key", "place", "label", settled).join(known, "id").join(parities, "id")
 
 
 def _centres(members: DataFrame) -> DataFrame:
     """Of each key's members the best known one: an original is in more keys of its copies than they are in each other's."""
-    best = F.max_by(F.struct("id", "n_words", "place", "label"), F.struct("known", -F.col("id")))
+    best = F.max_by(F.struct("id", "n_words", "place", "label", *PARITY), F.struct("known", -F.col("id")))
     return members.groupBy("key").agg(best.alias("c")).select("key", "c.*")
 
 
@@ -295,7 +307,7 @@ def _pairs(members: DataFrame, others: DataFrame, settled: bool) -> DataFrame:
     another class that a link allows.
 
     Lengths and places are compared in bands first: a text's band is its own or a neighbour of any text's
-    that it can be linked to.
+    that it can be linked to. Then come the parities, which show most strangers without their texts.
     """
     ratio = 1 / LEAST * (1 + 1e-9)
 
@@ -307,7 +319,7 @@ def _pairs(members: DataFrame, others: DataFrame, settled: bool) -> DataFrame:
         return F.floor(F.col(place) / (F.pow(F.lit(ratio), F.col("band") + 2) * (1 - LEAST) + 1))
 
     near = F.explode(F.array(*[band("n_words") + k for k in (-1, 0, 1)])).alias("band")
-    left = members.where("NOT settled" if settled else "true").select("key", near, "id", "n_words", "place", "label")
+    left = members.where("NOT settled" if settled else "true").select("key", near, "id", "n_words", "place", "label", *PARITY)
     left = left.select("*", F.explode(F.array(*[spot("place") + k for k in (-1, 0, 1)])).alias("spot"))
     right = others.select(
         "key",
@@ -316,9 +328,13 @@ def _pairs(members: DataFrame, others: DataFrame, settled: bool) -> DataFrame:
         F.col("n_words").alias("m_words"),
         F.col("place").alias("to_place"),
         F.col("label").alias("to_label"),
+        *[F.col(c).alias(f"to_{c}") for c in PARITY],
     )
     right = right.select("*", spot("to_place").alias("spot"))
-    pairs = left.join(right, ["key", "band", "spot"]).where((F.col("label") != F.col("to_label")) & _able("to_place", "m_words"))
+    differing = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"to_{c}"))) for c in PARITY)
+    few = differing <= 2 * F.floor(F.greatest("n_words", "m_words") * (1 - LEAST) + 1e-9)
+    able = (F.col("label") != F.col("to_label")) & _able("to_place", "m_words") & few
+    pairs = left.join(right, ["key", "band", "spot"]).where(able)
     return pairs.select(F.greatest("id", "to").alias("a"), F.least("id", "to").alias("b")).distinct()
 
 
@@ -335,7 +351,7 @@ def _first_pairs(members: DataFrame) -> DataFrame:
     return able.groupBy(F.col("id").alias("a")).agg(F.min("to").alias("b"))
 
 
-def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
+def _links(members: DataFrame, texts: DataFrame, parities: DataFrame) -> DataFrame:
     """Verified pairs (a, b) among texts that share a key; they connect all that any such pairs connect.
 
     After the last round, every text has met all candidates that are not in its class.
@@ -343,7 +359,7 @@ def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
     judged = materialize(_judged(_first_pairs(members), texts), "judged")
     for centres in (True, False):
         labels = components(judged.where("linked").select("a", "b"))
-        classed = materialize(_open(members, labels), "open-members")
+        classed = materialize(_open(members, labels, parities), "open-members")
         if classed.isEmpty():
             break
         fresh = _pairs(classed, _centres(classed) if centres else classed, settled=not centres)
@@ -403,15 +419,17 @@ def near_duplicates(
     nodes = materialize(rows.groupBy("content").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "nodes")
     # Equal words make equal keys, so any row of a node has them.
     copied = checked_broadcast(nodes.where("n > 1").select("content"))
-    columns = ("n_words", "keys", "places")
+    columns = ("n_words", "keys", "places", *PARITY)
     of_copies = rows.join(copied, "content", "left_semi").groupBy("content").agg(
         F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in columns]
     )
     single = rows.join(copied, "content", "left_anti").select(F.col("doc_id").alias("id"), *columns)
-    members = materialize(_members(single.unionByName(of_copies.drop("content"))), "members")
+    distinct = single.unionByName(of_copies.drop("content"))
+    members = materialize(_members(distinct), "members")
+    parities = materialize(distinct.select("id", *PARITY), "parities")
     ids = members.select(F.col("id").alias("doc_id")).distinct()
     texts = materialize(lean.join(ids, "doc_id", "left_semi"), "texts")
-    labels = components(_links(members, texts))
+    labels = components(_links(members, texts, parities))
     classes = nodes.select("content", "id").join(labels, "id", "left").select(
         "content", F.coalesce("label", "id").alias("class_id")
     )
