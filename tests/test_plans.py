@@ -158,3 +158,11 @@ def test_counts_nest_and_balances_add_up(spark):
     assert bad.count() == 0
     wrong = returns.where("balance <> tokens_bought - tokens_sold or entry_hours < 0 or hold_hours < 0")
     assert wrong.count() == 0
+
+
+def test_usd_trades_are_dealt_before_they_are_combined(spark):
+    """States of a hash aggregate, wider than the trades, are neither spilled by the scan's tasks nor shuffled."""
+    _, plans = scans(spark, lambda: BUILDS["usd"](spark, JoinLimits()))
+    (plan,) = [p for p in plans if "lineitem.parquet" in p]
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.index("partial_max_by") < plan.index("Exchange hashpartitioning")

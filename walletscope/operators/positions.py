@@ -76,11 +76,25 @@ def _enough(params: Params) -> Column:
     return (F.col("trade_count") > 0) & (F.col("invested") >= F.lit(params.min_invested))
 
 
+def _only_held(partials: DataFrame, enough: Column) -> DataFrame:
+    """Sums and times of partials that make no position, which nobody reads, become NULL before they are stored."""
+    marked = partials.withColumn("_held", enough)
+    unread = [c for c in (*SUMS, "first_trade", "last_trade", "trade_count") if c in partials.columns]
+    return marked.withColumns({c: F.when(F.col("_held"), F.col(c)) for c in unread}).drop("_held")
+
+
 def positions_usd(trades: DataFrame, params: Params, limits: JoinLimits = LIMITS) -> DataFrame:
-    """Positions without launch data: a token starts with its first trade in the window."""
+    """Positions without launch data: a token starts with its first trade in the window.
+
+    Trades are dealt by (token, wallet) before they are combined. Most wallets trade a token
+    once or twice, so combining first saved hardly a row, and its states, wider than the
+    trades, were spilled and shuffled.
+    """
+    needed = ("token", "wallet", "side", "quantity", "amount", "price", "position", "block_time")
+    rows = within(trades, params).select(*needed, T.is_real_usd().alias("_counted")).repartition("token", "wallet")
     seen = [F.min("block_time").alias("first_seen"), F.count("*").alias("all_trades")]
-    grouped = within(trades, params).groupBy("token", "wallet").agg(*book(T.is_real_usd()), *seen, *T.newest())
-    partials = materialize(grouped, "wallet-partials")
+    grouped = rows.groupBy("token", "wallet").agg(*book(F.col("_counted")), *seen, *T.newest())
+    partials = materialize(_only_held(grouped, _enough(params)), "wallet-partials")
     tokens = (
         partials.groupBy("token")
         .agg(F.min("first_seen").alias("launch_time"), F.sum("all_trades").alias("_trades"), *T.newest_merged())
