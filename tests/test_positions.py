@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 from datetime import datetime, timedelta
 from decimal import Decimal
 
@@ -342,3 +343,26 @@ def test_usd_sort_merge_route_gives_the_broadcast_result(spark):
     rows += [("B", "w1", 5, 70, 2.0, at(1))]
     raw = signed(spark, rows)
     assert rows_of(usd_flow(raw, P_USD).returns) == rows_of(usd_flow(raw, P_USD, SORT_MERGE).returns)
+
+
+@pytest.mark.parametrize("few", [0, 2, 16])
+@pytest.mark.parametrize("limits", [JoinLimits(), SORT_MERGE], ids=["broadcast", "sort-merge"])
+def test_few_and_many_launches_of_a_token_give_the_same_positions(spark, limits, few, monkeypatch):
+    """Tokens of one to seven launch times; those of up to ``few`` join as arrays, without a window over the trades."""
+    monkeypatch.setattr(positions, "FEW_LAUNCHES", few)
+    rng = random.Random(3)
+    launches = [(f"T{t}", at(rng.randrange(72), rng.randrange(60)), "c", PUMP) for t in range(1, 8) for _ in range(t)]
+    trades = [(f"T{rng.randrange(9)}", f"w{rng.randrange(4)}", "buy", 1, 1, 1.0, at(rng.randrange(-5, 96), 7)) for _ in range(400)]
+    params = P_SIDED.with_(launch_grain="event")
+    flow = sided_flow(narrow(spark, launches), sided(spark, trades), params, limits)
+    got = {(r["token"], r["launch_time"], r["wallet"]): (int(r["invested"]), r["trade_count"]) for r in dicts(flow.positions)}
+    want, copies = {}, Counter((token, born) for token, born, *_ in launches)
+    for (token, born), times in copies.items():
+        for of, wallet, *_, when in trades:
+            if of == token and when >= born:
+                invested, count = want.get((token, born, wallet), (0, 0))
+                want[token, born, wallet] = (invested + times, count + times)
+    assert got == want
+    table = T.LaunchTable(launches_narrow(narrow(spark, launches), params), limits)
+    placed = positions._in_interval(sided_trades(sided(spark, trades)), table, positions._moments(table), params)
+    assert ("Window" in placed._jdf.queryExecution().executedPlan().toString()) == (few < 7)

@@ -158,6 +158,7 @@ def _moments(launches: LaunchTable) -> DataFrame:
 
 
 _MARK = ("_from", "_copies", "_rank")
+FEW_LAUNCHES = 16  # launch times of a token that may pass along with each of its trades
 
 
 def _hour(time: str) -> Column:
@@ -186,6 +187,22 @@ def _hour_starts(moments: DataFrame) -> DataFrame:
 def _in_interval(rows: DataFrame, launches: LaunchTable, moments: DataFrame, params: Params) -> DataFrame:
     """Adds the last launch up to each trade (_from, _copies, _rank), NULL before the first.
 
+    A token's few launches join its trades as one array. Tokens with more are read apart, see ``_by_hour``.
+    """
+    lists = moments.where(F.col("_rank") <= FEW_LAUNCHES + 1).groupBy("token")
+    lists = materialize(lists.agg(F.array_sort(F.collect_list(F.struct(*_MARK))).alias("_marks")), "launch-lists")
+    many = lists.where(F.size("_marks") > FEW_LAUNCHES).select("token")
+    up_to = F.filter("_marks", lambda mark: mark["_from"] <= F.col("block_time"))
+    joined = launches.attach(rows, lists.where(F.size("_marks") <= FEW_LAUNCHES))
+    placed = joined.select(*rows.columns, F.try_element_at(up_to, F.lit(-1)).alias("_launch")).select(*rows.columns, "_launch.*")
+    if many.isEmpty():
+        return placed
+    return placed.unionByName(_by_hour(rows, many, launches, moments.join(many, "token", "left_semi"), params))
+
+
+def _by_hour(rows: DataFrame, tokens: DataFrame, launches: LaunchTable, moments: DataFrame, params: Params) -> DataFrame:
+    """As ``_in_interval``, for tokens of any number of launches.
+
     Trades and launches of a token and hour pass by in order of time, and the last launch is
     carried forward; what was launched in earlier hours and on earlier days joins as one row per
     token and hour, and per token and day. So no trade meets more than one launch, and a hot
@@ -200,7 +217,8 @@ def _in_interval(rows: DataFrame, launches: LaunchTable, moments: DataFrame, par
     )
     ordered = Window.partitionBy("token", "_hour").orderBy("block_time", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     carried = (
-        launches.trades_of(trades).unionByName(marks, allowMissingColumns=True)
+        join_by_key(trades, tokens, ["token"], "left_semi", limits=launches.limits)
+        .unionByName(marks, allowMissingColumns=True)
         .withColumn("_mark", F.last("_mark", ignorenulls=True).over(ordered))
         .where(F.col("_kind") == 1)
     )
