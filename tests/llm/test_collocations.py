@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,20 @@ def test_against_sql(spark, documents, monkeypatch, held):
     want = duck.execute(f"SELECT {', '.join(NAMES)} FROM ({co.ORACLE})").fetchall()
     docs = documents.repartition(6).withColumn("n", F.lit("x"))
     assert len(want) > 40 and _got(docs) == sorted(want)
+
+
+def test_words_are_numbered_and_keyed_by_arrow():
+    rng = random.Random(7)
+    words = [rng.choice(["a", "b", "é", "日本", "\x00x", co.BREAK]) for _ in range(500)]
+    found = co.Words("en", " ".join(words))
+    assert [found.distinct[int(c)].as_py() for c in found.codes] == words
+    for size in range(1, co.LONGEST + 1):
+        grams = [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
+        assert found.whole(size).tolist() == [co.BREAK not in g for g in grams]
+        numbers = {}
+        keys = found.keys(size).tolist()
+        assert all(numbers.setdefault(g, k) == k for g, k in zip(grams, keys, strict=True))
+        assert len(set(keys)) == len(set(grams))
+        assert found.phrases(np.arange(len(grams)), size).to_pylist() == [" ".join(g) for g in grams]
+    assert not set(found.keys(2).tolist()) & set(co.Words("de", " ".join(words)).keys(2).tolist())
+    assert len(co.Words("en", "a").keys(4)) == len(co.Words("en", "a").whole(4)) == 0

@@ -31,7 +31,9 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -135,32 +137,42 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of some texts of one language, one after another."""
+    """The words of some texts of one language, one after another: a text of words with single spaces between them."""
 
-    def __init__(self, lang: str, words: list[str]):
-        places = {word: i for i, word in enumerate(dict.fromkeys(words))}
-        self.codes = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
-        self.distinct = np.array(list(places), dtype=object)
+    def __init__(self, lang: str, text: str):
+        words = pc.split_pattern(pa.array([text], pa.large_string()), " ").flatten().dictionary_encode()
+        self.distinct = words.dictionary
+        self.codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        places = self.distinct.to_pylist()
         self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, places), np.uint64, len(places))
-        self.seed = _U(xxhash.xxh3_64_intdigest(lang))
-        self.is_word = self.codes != places.get(BREAK, -1)
+        self.no_break = np.fromiter((word != BREAK for word in places), bool, len(places))
+        # A hash of the language and the word; longer phrases' keys are made of shorter ones'.
+        self.word_keys = _mixed((self.hashes ^ _U(xxhash.xxh3_64_intdigest(lang))) * _MIX[0])
+        self._keys = [self.word_keys[self.codes]]
+        self._whole = [self.no_break[self.codes]]
+        self._of_place = None
 
     def keys(self, size: int) -> np.ndarray:
         """A hash of the language and the words of every place's phrase."""
-        of_word = self.hashes[self.codes]
-        width = max(0, len(of_word) - size + 1)
-        key = np.full(width, self.seed ^ _U(size))
-        for k in range(size):
-            key = _mixed(key * _MIX[0] + of_word[k : k + width])
-        return key
+        if size > 1 and self._of_place is None:
+            self._of_place = self.hashes[self.codes]
+        while len(self._keys) < size:
+            self._keys.append(_mixed(self._keys[-1][:-1] * _MIX[0] + self._of_place[len(self._keys) :]))
+        return self._keys[size - 1]
 
     def whole(self, size: int) -> np.ndarray:
         """Whether a place's phrase lies within a piece."""
-        width = max(0, len(self.codes) - size + 1)
-        whole = np.ones(width, bool)
-        for k in range(size):
-            whole &= self.is_word[k : k + width]
-        return whole
+        while len(self._whole) < size:
+            self._whole.append(self._whole[-1][:-1] & self._whole[0][len(self._whole) :])
+        return self._whole[size - 1]
+
+    def maybe(self, known: "Bitmap", size: int, salt: int) -> np.ndarray:
+        """Whether a place's phrase may be among the known ones."""
+        return known.has(self.word_keys, salt)[self.codes] if size == 1 else known.has(self.keys(size), salt)
+
+    def phrases(self, places: np.ndarray, size: int) -> pa.Array:
+        parts = [self.distinct.take(pa.array(self.codes[places + k])) for k in range(size)]
+        return (pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if size > 1 else parts[0]).cast(pa.string())
 
 
 class Bitmap:
@@ -192,22 +204,23 @@ def _counted(rows: DataFrame, count: Callable[..., Iterator[pa.RecordBatch]], sc
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list[str]] = {}
         size = 0
+
+        def words(texts: list[str], lang: str) -> Words:
+            return Words(lang, f" {BREAK} ".join([*texts, ""])[:-1])
+
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("lang", "salt", "text")]
             for lang, salt, text in zip(*columns, strict=True):
                 if not text:
                     continue
-                words = held.setdefault((lang, salt), [])
-                before = len(words)
-                words += text.split(" ")
-                words.append(BREAK)
-                size += len(words) - before
+                held.setdefault((lang, salt), []).append(text)
+                size += text.count(" ") + 2
                 if size >= HELD_WORDS:
-                    for (of, at), part in held.items():
-                        yield from count(Words(of, part), of, at)
+                    for (of, at), texts in held.items():
+                        yield from count(words(texts, of), of, at)
                     held, size = {}, 0
-        for (of, at), part in held.items():
-            yield from count(Words(of, part), of, at)
+        for (of, at), texts in held.items():
+            yield from count(words(texts, of), of, at)
 
     return rows.select("lang", "salt", "text").mapInArrow(scan, schema)
 
@@ -220,7 +233,7 @@ def frequent(rows: DataFrame, supports: DataFrame, size: int, shorter: bytes | N
     def count(words: Words, lang: str, salt: int) -> Iterator[pa.RecordBatch]:
         able = words.whole(size)
         if known is not None:
-            part = Bitmap(known.value).has(words.keys(size - 1), salt)
+            part = words.maybe(Bitmap(known.value), size - 1, salt)
             able &= part[:-1] & part[1:]
         keys, n = np.unique(words.keys(size)[able], return_counts=True)
         columns = [pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), salt)), pa.array(n.astype(np.int64))]
@@ -248,24 +261,28 @@ def counts_of(rows: DataFrame, candidates: bytes) -> DataFrame:
     """lang, size, phrase, f of every phrase that may be a candidate and has the support."""
     known = rows.sparkSession.sparkContext.broadcast(candidates)
 
+    def found(lang: str, size: int, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        of = [pa.array([lang] * len(n), pa.string()), pa.array([size] * len(n), pa.int32())]
+        return pa.RecordBatch.from_arrays([*of, phrases, pa.array(n.astype(np.int64))], ["lang", "size", "phrase", "f"])
+
     def count(words: Words, lang: str, salt: int) -> Iterator[pa.RecordBatch]:
         chosen = Bitmap(known.value)
-        same = words.codes  # a number for each place's phrase: equal ones have equal words
-        for size in range(1, LONGEST + 1):
-            if size > 1:
-                # A longer candidate's beginning is one too: other places need no number.
-                width = max(0, len(words.codes) - size + 1)
-                pair = same[:width] * len(words.distinct) + words.codes[size - 1 :]
-                same = np.full(width, -1)
-                same[able[:width]] = np.unique(pair[able[:width]], return_inverse=True)[1]
-            able = (words.whole(size) & chosen.has(words.keys(size))) & (same >= 0)
-            at, n = np.unique(same[able], return_index=True, return_counts=True)[1:]
-            at = np.flatnonzero(able)[at]
-            phrase = words.distinct[words.codes[at]]
-            for k in range(1, size):
-                phrase = phrase + " " + words.distinct[words.codes[at + k]]
-            columns = [pa.array([lang] * len(at), pa.string()), pa.array([size] * len(at), pa.int32()), pa.array(phrase, pa.string())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n.astype(np.int64))], ["lang", "size", "phrase", "f"])
+        kept = words.no_break & chosen.has(words.word_keys)
+        at = np.flatnonzero(kept)
+        yield found(lang, 1, words.distinct.take(pa.array(at)).cast(pa.string()), np.bincount(words.codes, minlength=len(kept))[at])
+        able, same = kept[words.codes], words.codes  # a number for each place's phrase: equal ones have equal words
+        for size in range(2, LONGEST + 1):
+            # A longer candidate's beginning is one too: other places need no number.
+            places = np.flatnonzero(able[:-1] & words.whole(size))
+            places = places[chosen.has(words.keys(size)[places])]
+            number, pairs = pd.factorize(same[places] * len(kept) + words.codes[places + size - 1])
+            able = np.zeros(len(able) - 1, bool)
+            able[places] = True
+            same = np.full(len(able), -1)
+            same[places] = number
+            first = np.zeros(len(pairs), np.int64)
+            first[number[::-1]] = places[::-1]
+            yield found(lang, size, words.phrases(first, size), np.bincount(number, minlength=len(pairs)))
 
     counts = _counted(rows, count, "lang string, size int, phrase string, f bigint")
     return counts.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= SUPPORT)
