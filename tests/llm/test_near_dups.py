@@ -193,3 +193,19 @@ def test_an_edit_changes_two_parities_at_most(a, b):
     x, y = np.array(a, np.uint64), np.array(b, np.uint64)
     differing = sum(int(k).bit_count() for k in (nd.parity(x) ^ nd.parity(y)).view(np.uint64))
     assert differing <= 2 * nd.edit_distance(x, y, 160)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 600), min_size=1, max_size=80), st.lists(st.integers(0, 600), min_size=1, max_size=80))
+def test_an_edit_of_the_length_changes_one_parity(a, b):
+    x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+    differing = sum(int(k).bit_count() for k in (nd.parity(x) ^ nd.parity(y)).view(np.uint64))
+    assert differing <= 2 * nd.edit_distance(x, y, 160) - abs(len(a) - len(b))
+
+
+def test_classes_are_joined_by_further_links(spark):
+    schema = "a bigint, b bigint"
+    first, more = [(i, i + 1) for i in range(0, 30, 2)] + [(101, 100)], [(1, 2), (7, 4), (29, 101), (200, 201), (300, 300)]
+    got = nd._joined(nd.components(spark.createDataFrame(first, schema)), spark.createDataFrame(more, schema))
+    want = nd.components(spark.createDataFrame(first + more, schema))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
