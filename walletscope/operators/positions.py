@@ -4,8 +4,8 @@ Canonical columns: launchpad_name, token, launch_time, wallet, invested,
 tokens_bought, received, tokens_sold, balance, first_trade, last_trade,
 trade_count, latest_price.
 
-The trades are read and shuffled once: combined by (token, wallet) before that
-shuffle, with the state of the newest price beside the sums, and stored. Token
+The trades are read and shuffled once: combined by (token, wallet), with the
+state of the newest price beside the sums, and stored. Token
 prices, token facts and positions all come from the stored table, which has a
 row per wallet and token. Rows that don't trade (zero amounts, or from before
 the launch) may still quote a price; they stay out of the sums.
