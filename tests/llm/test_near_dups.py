@@ -209,3 +209,76 @@ def test_classes_are_joined_by_further_links(spark):
     got = nd._joined(nd.components(spark.createDataFrame(first, schema)), spark.createDataFrame(more, schema))
     want = nd.components(spark.createDataFrame(first + more, schema))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 5000), min_size=1, max_size=80), st.lists(st.integers(0, 5000), min_size=1, max_size=80))
+def test_an_edit_changes_a_bag_by_two_at_most(a, b):
+    x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+    differing = int(np.abs(nd.bag(x).astype(int) - nd.bag(y)).sum())
+    assert differing <= 2 * nd.edit_distance(x, y, 160) - abs(len(a) - len(b))
+
+
+def _sharers(rng, n):
+    """Texts of which three quarters are passages that all share, in both halves; some have a copy of four fifths, some one that moves words."""
+    passages, texts = [_text(rng, 60) for _ in range(8)], []
+    for k in range(n):
+        own = [word for p in passages for word in [*p, *_text(rng, 20 + k % 4)]]
+        texts.append(own)
+        if k % 6 == 0:
+            texts.append(_edited(rng, own, len(own) // 5 - k % 5))
+        if k % 6 == 1:
+            texts.append(own[k:] + own[:k])
+    return texts
+
+
+def test_strangers_that_share_passages_are_not_all_read(spark, monkeypatch):
+    """Most of the pairs of a crowd that shares passages go without their texts, and no link goes."""
+    rows = [(i, " ".join(words)) for i, words in enumerate(_sharers(random.Random(12), 70))]
+    read, judged = [], nd._judged
+
+    def counted(pairs, texts):
+        read.append(pairs.count())
+        return judged(pairs, texts)
+
+    monkeypatch.setattr(nd, "_judged", counted)
+    monkeypatch.setattr(nd, "CROWD", 8, raising=False)
+    got = classes(nd.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)))
+    assert sum(read) < len(rows) * (len(rows) - 1) / 2 / 4, read
+    words = {i: nd.word_hashes(t) for i, t in rows}
+    keys = {i: nd.order_keys(w)[0] for i, w in words.items()}
+    edges = [(a, b) for a, b in combinations(words, 2) if (keys[a] == keys[b]).any() and nd.similarity(words[a], words[b])]
+    want = {i: i for i in words}
+    for _ in words:
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    assert edges and got == want
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_crowds_lose_no_link(spark, monkeypatch, block):
+    """Blocks give pairs that the join gives, once, and all that are linked; ids of two texts, null and copied rows among them."""
+    monkeypatch.setattr(nd, "BLOCK", block)
+    rng = random.Random(block)
+    texts = _sharers(rng, 20)
+    rows = [(k, " ".join(words)) for k, words in enumerate(texts)]
+    rows += [(3, " ".join(texts[9])), (200, rows[5][1]), (None, rows[6][1]), (201, None), (2, rows[2][1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id", "coalesce(text, '') text")
+    sketched = nd.sketches(docs).cache()
+    columns = ["n_words", "keys", "places", *nd.PARITY]
+    distinct = sketched.groupBy("content").agg(
+        nd.F.min("doc_id").alias("id"), *[nd.F.first(c).alias(c) for c in columns]
+    ).where("id IS NOT NULL").drop("content").cache()
+    members = nd._open(nd._members(distinct), spark.createDataFrame([], "id bigint, label bigint")).cache()
+    pairs = {}
+    for crowd in (0, 10**9):
+        monkeypatch.setattr(nd, "CROWD", crowd)
+        found = nd._other_pairs(members, distinct.select("id", *nd.PARITY), distinct.select("id", "keys", "places"), docs)
+        pairs[crowd] = [tuple(r) for r in found.collect()]
+        assert len(pairs[crowd]) == len(set(pairs[crowd]))
+    blocks, joined = (set(pairs[c]) for c in (0, 10**9))
+    own = {}
+    for i, t in docs.where("doc_id IS NOT NULL").collect():
+        own.setdefault(i, []).append(nd.word_hashes(t))
+    linked = {(a, b) for a, b in joined if any(nd.similarity(x, y) is not None for x in own[a] for y in own[b])}
+    assert linked and linked <= blocks <= joined and len(blocks) < len(joined)
