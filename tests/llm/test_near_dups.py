@@ -282,3 +282,14 @@ def test_crowds_lose_no_link(spark, monkeypatch, block):
         own.setdefault(i, []).append(nd.word_hashes(t))
     linked = {(a, b) for a, b in joined if any(nd.similarity(x, y) is not None for x in own[a] for y in own[b])}
     assert linked and linked <= blocks <= joined and len(blocks) < len(joined)
+
+
+def test_a_worker_holds_few_words_and_hashes(monkeypatch):
+    """Words known from texts before are bounded, and keys do not depend on how many hashes are made at a time."""
+    for k in range(30):
+        words = nd.word_hashes(" ".join(f"w{k * 5000 + i}" for i in range(5000)))
+    assert len(nd._known) <= 55_000 and nd.MATRIX <= 100_000
+    keys, places = nd.order_keys(words)
+    monkeypatch.setattr(nd, "MATRIX", 2_000_000)
+    again = nd.order_keys(words)
+    assert (keys == again[0]).all() and (places == again[1]).all()

@@ -53,8 +53,8 @@ SAMPLES = 80
 ORDERED = 2  # runs in a key, one from each part of the text
 LEAST = 0.8
 WORD = re.compile(r"\w+")
-KNOWN_WORDS = 500_000
-MATRIX = 2_000_000  # hashes held at a time for one text
+KNOWN_WORDS = 50_000
+MATRIX = 30_000  # hashes held at a time for one text
 FEW_EDITS = 24
 BOUNDS_AFTER = 3  # edits tried before the bounds, which most pairs of strangers fail
 SHORT_SLIDE = 12
